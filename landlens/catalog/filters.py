@@ -101,7 +101,7 @@ def f6_selected(spark, d):
 
 @query(
     "f7_measure_with_own_filter",
-    f"{CALC} SELECT city, avg(unit_price) FILTER (WHERE interior = 'Thô') AS bare_mean, sum(CAST(price_total AS BIGINT))::DOUBLE AS total FROM calc GROUP BY city",
+    f"{CALC} SELECT city, (sum(CAST(unit_price AS DECIMAL(18,4))) FILTER (WHERE interior = 'Thô'))::DOUBLE / count(*) FILTER (WHERE interior = 'Thô' AND unit_price IS NOT NULL) AS bare_mean, sum(CAST(price_total AS BIGINT))::DOUBLE AS total FROM calc GROUP BY city",
 )
 def f7(spark, d):
     bare = F.when(F.col("interior") == "Thô", F.col("unit_price"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import numeric as N
 from ..functions import rules as R
-from .quantiles import exact_medians
+from .quantiles import exact_medians, with_scalar
 
 TEXT_COLUMNS = [
     "title", "url", "description", "city", "district", "ward", "street", "full_address", "direction", "interior",
@@ -78,11 +78,11 @@ def impute_and_classify(df: DataFrame, medians: DataFrame) -> DataFrame:
 
     The one-row median frame enters as a scalar subquery: no join, no collect.
     """
-    med = medians.select(F.struct(*IMPUTED)).scalar()
+    med = {c: F.col(f"__med.{c}") for c in IMPUTED}
     fill = {c: F.coalesce(F.col(c).cast("double"), med[c]) for c in IMPUTED}
     beds = F.coalesce(F.col("bedrooms"), F.bround(med["bedrooms"], 0).cast("long"))
     baths = F.coalesce(F.col("bathrooms"), F.bround(med["bathrooms"], 0).cast("long"))
-    filled = df.withColumns(
+    filled = with_scalar(df, "__med", medians).withColumns(
         {
             "unit_price": N.guarded_unit_price(F.col("price_total"), F.col("area")),
             "road_width": N.segmented_road(fill["road_width"]),
@@ -100,7 +100,7 @@ def impute_and_classify(df: DataFrame, medians: DataFrame) -> DataFrame:
             "property_class": R.property_class(F.col("bedrooms"), F.col("bathrooms")),
             "trend_class": R.trend_class(F.col("price_trend_1y")),
         }
-    )
+    ).drop("__med")
 
 
 def clean_listings(raw: DataFrame, keep: list[str] | None = None) -> DataFrame:

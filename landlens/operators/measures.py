@@ -65,10 +65,8 @@ def bins(df: DataFrame, axis: str, extra: Sequence[Column] = ()) -> DataFrame:
 
 def with_peak(binned: DataFrame) -> DataFrame:
     """The count again on the fullest bins, blank elsewhere, and the reference line."""
-    top = overall(binned, F.max("n_listings"))
-    return binned.withColumns(
-        {"peak": F.when(F.col("n_listings") == top, F.col("n_listings")), "max_line": top}
-    )
+    marked = binned.withColumn("max_line", overall(binned, F.max("n_listings")))
+    return marked.withColumn("peak", F.when(F.col("n_listings") == F.col("max_line"), F.col("n_listings")))
 
 
 def peak_bins(binned: DataFrame, axis: str) -> DataFrame:
@@ -88,17 +86,19 @@ def highlight(lo: Column, hi: Column, peak: Column, mean: Column, radius: float
 
 def cheap_share(selected: DataFrame) -> DataFrame:
     """Limit, cheap listings, all listings and their quotient for a card."""
-    limit = cheap_limit(selected)
-    flagged = selected.select(ID, (blank_as_zero(F.col("unit_price")) <= limit).alias("is_cheap"))
-    # One listing may have dear and cheap rows, so reduce to a flag per listing first.
-    per_id = flagged.groupBy(ID).agg(F.max(F.coalesce(F.col("is_cheap"), F.lit(False))).alias("is_cheap"))
-    out = per_id.agg(F.count_if("is_cheap").alias("cheap_listings"), F.count(F.lit(1)).alias("listings"))
-    return out.select(
-        limit.alias("cheap_limit"),
-        "cheap_listings",
-        "listings",
-        safe_divide(F.col("cheap_listings").cast("double"), F.col("listings").cast("double")).alias("cheap_share"),
+    limited = selected.select(ID, "unit_price").withColumn("cheap_limit", cheap_limit(selected))
+    cheap = blank_as_zero(F.col("unit_price")) <= F.col("cheap_limit")
+    # A listing may have dear and cheap rows, so reduce to one flag per listing first.
+    per_id = limited.groupBy(ID).agg(
+        F.max(F.coalesce(cheap, F.lit(False))).alias("is_cheap"), F.max("cheap_limit").alias("cheap_limit")
+    )
+    out = per_id.agg(
+        F.max("cheap_limit").alias("cheap_limit"),
+        F.count_if("is_cheap").alias("cheap_listings"),
+        F.count(F.lit(1)).alias("listings"),
     )
+    quotient = safe_divide(F.col("cheap_listings").cast("double"), F.col("listings").cast("double"))
+    return out.withColumn("cheap_share", quotient)
 
 
 def share_within(df: DataFrame, category: str, series: str) -> DataFrame:

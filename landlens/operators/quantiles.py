@@ -2,8 +2,8 @@
 
 The built-in exact percentile keeps every distinct value of a group in one task.
 Here values are counted first (equal values collapse before the shuffle), the
-distinct values are cut into ranges, and only the ranges that hold a wanted rank
-are sorted. Interpolation is linear between the two neighbouring ranks.
+distinct values are cut into ordered ranges by their magnitude, and only the ranges
+that hold a wanted rank are sorted. Interpolation is linear between two ranks.
 """
 
 from __future__ import annotations
@@ -13,80 +13,84 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+STEPS = 64  # ranges per factor e of magnitude
+FLOOR = 746 * STEPS  # the logarithm of a double is never below -746
 
-def _same(left: DataFrame, right: DataFrame, by: Sequence[str]) -> Column:
-    cond = F.lit(True)
-    for c in by:
-        cond = cond & left[c].eqNullSafe(right[f"__{c}"])
-    return cond
+
+def magnitude_range(v: Column) -> Column:
+    """Ordered range number of a value: a step function of its sign and logarithm.
+
+    It needs no statistics of the data, so every task agrees on it. There are at most
+    a few thousand ranges over any realistic span, and under 200,000 over all doubles.
+    """
+    step = (F.floor(F.ln(F.abs(v)) * STEPS) + FLOOR).cast("int")
+    return F.when(v > 0, step).when(v < 0, -step).otherwise(0)
 
 
 def exact_percentiles(
-    df: DataFrame, value: str, ps: Sequence[float], names: Sequence[str], by: Sequence[str] = (), ranges: int = 64
+    df: DataFrame, value: str, ps: Sequence[float], names: Sequence[str], by: Sequence[str] = ()
 ) -> DataFrame:
     """One row per group: inclusive percentiles `ps` of `value` under `names`, and `n`.
 
     Missing values are left out; a group without values has no row.
     """
-    by = list(by)
+    # A constant joins the group columns, so an ungrouped call follows the same path.
+    keys = ["__g", *by]
     v = F.col(value).cast("double")
-    # Group columns plus a constant, so that an ungrouped call follows the same path.
     counts = (
-        df.select(*by, v.alias("__v"), F.lit(0).alias("__g"))
+        df.select(F.lit(0).alias("__g"), *by, v.alias("__v"))
         .where(F.col("__v").isNotNull())
-        .groupBy("__g", *by, "__v")
+        .groupBy(*keys, "__v")
         .agg(F.count(F.lit(1)).alias("__n"))
+        .withColumn("__r", magnitude_range(F.col("__v")))
     )
-    keys = ["__g", *by]
-    marks = [i / ranges for i in range(1, ranges)]
-    cuts = counts.groupBy(*keys).agg(F.percentile_approx("__v", marks, 1000).alias("__cuts"))
-    cuts = cuts.select(*[F.col(k).alias(f"__{k}") for k in keys], "__cuts")
-    ranged = (
-        counts.join(cuts, _same(counts, cuts, keys), "inner")
-        .withColumn("__r", F.size(F.filter("__cuts", lambda c: c < F.col("__v"))))
-        .select(*keys, "__v", "__n", "__r")
-    )
-
-    # At most `ranges` rows per group from here on.
-    totals = ranged.groupBy(*keys, "__r").agg(F.sum("__n").alias("__rn"))
+    # One row per range from here to the join.
+    totals = counts.groupBy(*keys, "__r").agg(F.sum("__n").alias("__rn"))
     run = Window.partitionBy(*keys).orderBy("__r")
-    totals = totals.withColumn("__upto", F.sum("__rn").over(run)).withColumn(
-        "__total", F.sum("__rn").over(Window.partitionBy(*keys))
+    target = totals.select(
+        *[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)],
+        F.col("__r").alias("__tr"),
+        (F.sum("__rn").over(run) - F.col("__rn")).alias("__before"),
+        "__rn",
+        F.sum("__rn").over(Window.partitionBy(*keys)).alias("__total"),
     )
-    before = F.col("__upto") - F.col("__rn")
     wanted = F.lit(False)
     for p in ps:
         pos = F.lit(float(p)) * (F.col("__total") - 1)
         for rank in (F.floor(pos), F.ceil(pos)):
-            wanted = wanted | ((rank >= before) & (rank < F.col("__upto")))
-    target = totals.where(wanted).select(
-        *[F.col(k).alias(f"__{k}") for k in keys],
-        F.col("__r").alias("__tr"),
-        before.alias("__before"),
-        F.col("__total"),
-    )
-    hits = ranged.join(target, _same(ranged, target, keys) & (ranged["__r"] == target["__tr"]), "inner")
+            wanted = wanted | ((rank >= F.col("__before")) & (rank < F.col("__before") + F.col("__rn")))
+    # Null-safe on every key: a plain equality would push a not-null filter into one of the
+    # two branches, and the counting shuffle could then not be shared between them.
+    same = F.col("__r").eqNullSafe(F.col("__tr"))
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"__k{i}"))
+    hits = counts.join(target.where(wanted), same, "inner")
     inside = Window.partitionBy(*keys, "__r").orderBy("__v")
-    ranked = hits.withColumn("__end", F.col("__before") + F.sum("__n").over(inside)).withColumn(
-        "__start", F.col("__end") - F.col("__n")
-    )
+    ranked = hits.withColumn("__end", F.col("__before") + F.sum("__n").over(inside))
 
     def at(rank: Column) -> Column:
-        return F.max(F.when((rank >= F.col("__start")) & (rank < F.col("__end")), F.col("__v")))
+        return F.max(F.when((rank >= F.col("__end") - F.col("__n")) & (rank < F.col("__end")), F.col("__v")))
 
-    outs = []
+    outs, cols = [], []
     for p, name in zip(ps, names, strict=True):
         pos = F.lit(float(p)) * (F.col("__total") - 1)
         outs += [at(F.floor(pos)).alias(f"__lo_{name}"), at(F.ceil(pos)).alias(f"__hi_{name}")]
-    got = ranked.groupBy(*keys).agg(F.max("__total").alias("n"), *outs)
-    cols = []
-    for p, name in zip(ps, names, strict=True):
         pos = F.lit(float(p)) * (F.col("n") - 1)
         lo, hi = F.col(f"__lo_{name}"), F.col(f"__hi_{name}")
         cols.append((lo + (hi - lo) * (pos - F.floor(pos))).alias(name))
+    got = ranked.groupBy(*keys).agg(F.max("__total").alias("n"), *outs)
     return got.select(*by, "n", *cols)
 
 
+def with_scalar(df: DataFrame, name: str, frame: DataFrame) -> DataFrame:
+    """Add the single row of `frame` as one struct column.
+
+    It is a scalar subquery that runs once, not a join; later columns read the struct,
+    so the plan holds the subquery a single time.
+    """
+    return df.withColumn(name, frame.select(F.struct(*[F.col(c) for c in frame.columns])).scalar())
+
+
 def exact_medians(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """One row with the median of each column, all from one pass over the table."""
     long = unpivot(df, columns)

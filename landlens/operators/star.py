@@ -9,7 +9,7 @@ from ..functions import dates as D
 from ..functions import numeric as N
 from ..functions import rules as R
 from ..session import materialise
-from .quantiles import exact_percentiles
+from .quantiles import exact_percentiles, with_scalar
 from .relational import first_per_key, null_safe_lookup, with_sequence_key
 
 LOCATION = ["city", "district", "ward", "street", "full_address"]
@@ -164,6 +164,6 @@ def with_calculated_columns(view: DataFrame) -> DataFrame:
 def with_price_segment(view: DataFrame, whole: DataFrame | None = None) -> DataFrame:
     """Segment by the quartiles of the whole table, whatever filters the view has."""
     marks = exact_percentiles(whole if whole is not None else view, "price_total", [0.25, 0.75], ["p25", "p75"])
-    s = marks.select(F.struct("p25", "p75")).scalar()
-    label, order = R.price_segment(F.col("price_total").cast("double"), s["p25"], s["p75"])
-    return view.withColumns({"segment": label, "segment_order": order})
+    label, order = R.price_segment(F.col("price_total").cast("double"), F.col("__q.p25"), F.col("__q.p75"))
+    marked = with_scalar(view, "__q", marks.select("p25", "p75"))
+    return marked.withColumns({"segment": label, "segment_order": order}).drop("__q")
