@@ -72,7 +72,7 @@ def with_peak(binned: DataFrame) -> DataFrame:
 def peak_bins(binned: DataFrame, axis: str) -> DataFrame:
     """Labels of the fullest bins in ascending order, joined by a comma."""
     top = binned.where(F.col("n_listings") == overall(binned, F.max("n_listings")))
-    text = F.format_number(F.col(axis), "0.00")
+    text = F.format_string("%.2f", F.col(axis).cast("double"))
     values = F.array_sort(F.collect_list(F.struct(F.col(axis), text.alias("label"))))
     return top.where(F.col(axis).isNotNull()).agg(F.array_join(F.transform(values, lambda x: x["label"]), ", ").alias("peak_bins"))
 
