@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import canonical, find_line_containing, keyed, let, line_keys, normalize_text
+from .text import canonical, find_line_containing, keyed, let, normalize_text
 
 # Tokens on the accent-free key.
 CITY_TOKENS = (
@@ -28,8 +28,9 @@ def _has_token(key: Column, tokens: tuple[str, ...]) -> Column:
     return key.rlike("|".join(t.replace(".", r"\.") for t in tokens))
 
 
-def _first_with(parts: Column, tokens: tuple[str, ...], fold_d: bool) -> Column:
-    return F.get(F.filter(keyed(parts, fold_d), lambda p: _has_token(p["key"], tokens)), F.lit(0))["line"]
+def _first_with(items: Column, tokens: tuple[str, ...]) -> Column:
+    """Line of the first (line, key) item whose key holds a token."""
+    return F.get(F.filter(items, lambda p: _has_token(p["key"], tokens)), F.lit(0))["line"]
 
 
 def street_part(parts: Column) -> Column:
@@ -39,49 +40,55 @@ def street_part(parts: Column) -> Column:
 
 def parse_address(address: Column, fold_d: bool = False) -> Column:
     """Struct of an address line, scanned from its end."""
-    return let(address_parts(F.coalesce(address, F.lit(""))), lambda parts: _address(parts, address, fold_d))
+    parts = address_parts(F.coalesce(address, F.lit("")))
+    return let(F.reverse(keyed(parts, fold_d)), lambda back: _address(back, address))
 
 
-def _address(parts: Column, address: Column, fold_d: bool) -> Column:
-    back = F.reverse(parts)
-    n = F.size(parts)
-    city = F.btrim(F.regexp_replace(_first_with(back, CITY_TOKENS_ADDRESS, fold_d), r"TP\.|Tp\.|TP", ""))
-    district = _first_with(back, DISTRICT_TOKENS, fold_d)
+def _address(back: Column, address: Column) -> Column:
+    city = F.btrim(F.regexp_replace(_first_with(back, CITY_TOKENS_ADDRESS), r"TP\.|Tp\.|TP", ""))
+    district = _first_with(back, DISTRICT_TOKENS)
     return F.struct(
-        F.coalesce(city, F.get(parts, n - 1), F.lit("")).alias("city"),
-        F.coalesce(district, F.get(parts, n - 2), F.lit("")).alias("district"),
-        _first_with(back, WARD_TOKENS, fold_d).alias("ward"),
-        street_part(parts).alias("street"),
+        F.coalesce(city, F.get(back, F.lit(0))["line"], F.lit("")).alias("city"),
+        F.coalesce(district, F.get(back, F.lit(1))["line"], F.lit("")).alias("district"),
+        _first_with(back, WARD_TOKENS).alias("ward"),
+        street_part(F.transform(F.reverse(back), lambda x: x["line"])).alias("street"),
         address.alias("full_address"),
     )
 
 
 def parse_location(lines: Column, title: Column, fold_d: bool = False) -> Column:
     """Struct of the address line found near the title, anywhere, or in the breadcrumb."""
-    at = F.array_position(line_keys(lines), canonical(title)).cast("int")
-    near = F.when(at > 0, F.slice(lines, at + 1, 9)).otherwise(F.slice(lines, 1, 20))
+    chosen = let(
+        F.struct(keyed(lines, fold_d).alias("items"), canonical(title, fold_d).alias("title")),
+        lambda x: _location_line(x["items"], x["title"], lines, title),
+    )
+    return let(chosen, lambda line: let(keyed(address_parts(line), fold_d), lambda items: _location(items, line)))
+
+
+def _location_line(items: Column, title_key: Column, lines: Column, title: Column) -> Column:
+    at = F.array_position(F.transform(items, lambda x: x["key"]), title_key).cast("int")
+    near = F.when(at > 0, F.slice(items, at + 1, 9)).otherwise(F.slice(items, 1, 20))
 
     def line_with(space: Column, tokens: tuple[str, ...]) -> Column:
-        hits = F.filter(keyed(space, fold_d), lambda x: x["line"].contains(",") & _has_token(x["key"], tokens))
+        hits = F.filter(space, lambda x: x["line"].contains(",") & _has_token(x["key"], tokens))
         return F.get(hits, F.lit(0))["line"]
 
-    chosen = F.coalesce(
+    return F.coalesce(
         line_with(near, NEAR_TITLE_TOKENS),
-        line_with(lines, ANYWHERE_TOKENS),
+        line_with(items, ANYWHERE_TOKENS),
         F.nullif(find_line_containing(lines, ["Bán/"]), F.lit("")),
         title,
     )
-    return let(chosen, lambda line: let(address_parts(line), lambda parts: _location(parts, line, fold_d)))
 
 
-def _location(parts: Column, line: Column, fold_d: bool) -> Column:
-    n = F.size(parts)
-    city = F.btrim(F.regexp_replace(_first_with(parts, CITY_TOKENS, fold_d), r"TP\.|Tp\.", ""))
+def _location(items: Column, line: Column) -> Column:
+    n = F.size(items)
+    city = F.btrim(F.regexp_replace(_first_with(items, CITY_TOKENS), r"TP\.|Tp\.", ""))
     two = n >= 2
     return F.struct(
-        F.coalesce(city, F.when(two, F.get(parts, n - 1)), F.lit("")).alias("city"),
-        F.coalesce(_first_with(parts, DISTRICT_TOKENS, fold_d), F.when(two, F.get(parts, n - 2)), F.lit("")).alias("district"),
-        _first_with(parts, WARD_TOKENS, fold_d).alias("ward"),
-        street_part(parts).alias("street"),
+        F.coalesce(city, F.when(two, F.get(items, n - 1)["line"]), F.lit("")).alias("city"),
+        F.coalesce(_first_with(items, DISTRICT_TOKENS), F.when(two, F.get(items, n - 2)["line"]), F.lit("")).alias("district"),
+        _first_with(items, WARD_TOKENS).alias("ward"),
+        street_part(F.transform(items, lambda x: x["line"])).alias("street"),
         line.alias("full_address"),
     )
