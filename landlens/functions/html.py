@@ -18,35 +18,63 @@ NO_TEXT = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>|<tem
 
 
 def drop_silent(page: Column) -> Column:
-    """Page without comments, scripts, styles and templates."""
-    return F.regexp_replace(page, NO_TEXT, " ")
+    """Page without comments, scripts, styles and templates, its references decoded.
 
+    References that stand for markup characters keep one spelling each and are
+    decoded by `unescape` after the tags are gone. All others are decoded here, once
+    per page.
+    """
+    return decode_references(F.regexp_replace(page, NO_TEXT, " "))
 
-def _named_entities() -> str:
-    table = {k[:-1]: v for k, v in _entities.entities.html5.items() if k.endswith(";")}
+
+# Markup characters and the reference each keeps until its text is cut out.
+MARKUP = {"&": "&amp;", "<": "&lt;", ">": "&gt;", '"': "&quot;", "'": "&apos;"}
+
+
+def _named_references() -> str:
+    table = {k[:-1]: MARKUP.get(v, v) for k, v in _entities.entities.html5.items() if k.endswith(";")}
     return json.dumps(table, ensure_ascii=False)
 
 
-def unescape(s: Column) -> Column:
-    """Replace named and numeric character references."""
-    table = F.from_json(F.lit(_named_entities()), "map<string,string>")
+def decode_references(s: Column) -> Column:
+    """Replace named and numeric character references that are not markup."""
+    table = F.from_json(F.lit(_named_references()), "map<string,string>")
 
     def code_point(n: Column) -> Column:
         ok = (n > 0) & (n < 0x110000) & ~n.between(0xD800, 0xDFFF)
-        return F.when(ok, F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32"))
+        char = F.when(ok, F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32"))
+        kept = F.lit(None).cast("string")
+        for mark, reference in MARKUP.items():
+            kept = F.coalesce(kept, F.when(n == ord(mark), F.lit(reference)))
+        return F.coalesce(kept, char)
 
-    def piece(p: Column) -> Column:
-        name = F.regexp_extract(p, r"^(#?\w{1,32});", 1)
+    def spelled(p: Column, name: Column) -> Column:
         dec = F.regexp_extract(name, r"^#(\d{1,8})$", 1).try_cast("bigint")
         hexa = F.conv(F.regexp_extract(name, r"^#[xX]([0-9a-fA-F]{1,6})$", 1), 16, 10).try_cast("bigint")
-        char = F.coalesce(code_point(dec), code_point(hexa), F.try_element_at(table, name))
-        spelled = F.concat(char, F.substr(p, F.length(name) + 2))
-        return F.coalesce(F.when(name != "", spelled), F.concat(F.lit("&"), p))
+        char = (
+            F.when(name.isin("amp", "lt", "gt", "quot", "apos"), F.concat(F.lit("&"), name, F.lit(";")))
+            .when(name == "nbsp", "\u00a0")
+            .when(name.startswith("#"), code_point(F.coalesce(dec, hexa)))
+            .otherwise(F.try_element_at(table, name))
+        )
+        return F.concat(char, F.substr(p, F.length(name) + 2))
 
-    parts = F.split(s, "&")
-    tail = F.transform(F.slice(parts, 2, F.greatest(F.size(parts), F.lit(1))), piece)
-    whole = F.concat(F.get(parts, F.lit(0)), F.array_join(tail, ""))
-    return F.when(s.contains("&"), whole).otherwise(s)
+    def piece(p: Column) -> Column:
+        found = let(F.regexp_extract(p, r"^(#?\w{1,32});", 1), lambda name: F.when(name != "", spelled(p, name)))
+        return F.coalesce(found, F.concat(F.lit("&"), p))
+
+    def joined(parts: Column) -> Column:
+        tail = F.transform(F.slice(parts, 2, F.greatest(F.size(parts), F.lit(1))), piece)
+        return F.concat(F.get(parts, F.lit(0)), F.array_join(tail, ""))
+
+    return let(F.split(s, "&"), joined)
+
+
+def unescape(s: Column) -> Column:
+    """Decode the markup references that `drop_silent` leaves; `&amp;` comes last."""
+    for mark, reference in reversed(MARKUP.items()):
+        s = F.replace(s, F.lit(reference), F.lit(mark))
+    return s
 
 
 def inner_text(markup: Column, gap: str = "") -> Column:
@@ -123,9 +151,8 @@ def attribute(head: Column, name: str) -> Column:
     return unescape(found)
 
 
-def page_title(page: Column, site: str, fallback: Column | None = None) -> Column:
-    """First h1, else the title element; the site suffix is removed."""
-    quiet = drop_silent(page)
+def page_title(quiet: Column, site: str, fallback: Column | None = None) -> Column:
+    """First h1, else the title element, of a page after `drop_silent`; the site suffix is removed."""
     h1 = F.get(F.regexp_extract_all(quiet, F.lit(r"(?is)<h1\b[^>]*>(.*?)</h1\s*>"), F.lit(1)), F.lit(0))
     title = F.get(F.regexp_extract_all(quiet, F.lit(r"(?is)<title\b[^>]*>(.*?)</title\s*>"), F.lit(1)), F.lit(0))
     text = F.coalesce(inner_text(h1, " "), inner_text(title, " "), fallback if fallback is not None else F.lit(""))

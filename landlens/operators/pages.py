@@ -11,6 +11,7 @@ from ..functions.address import parse_address, parse_location
 from ..functions.dates import default_dates
 from ..functions.description import section_description
 from ..functions.rules import contains_any
+from ..session import materialise
 
 # Markers of blocked pages and class names of the listing site's markup.
 BLOCK_STRONG = [
@@ -183,13 +184,13 @@ def page_fields(pages: DataFrame, site: str, as_of: Column, fold_d: bool = True)
     once, whatever number of fields reads them.
     """
     quiet = pages.select(
-        "url", is_blocked(F.col("html")).alias("blocked"), F.col("html"), H.drop_silent(F.col("html")).alias("quiet")
+        "url", is_blocked(F.col("html")).alias("blocked"), H.drop_silent(F.col("html")).alias("quiet")
     )
     parts = quiet.select(
         "url",
         "blocked",
         "quiet",
-        H.page_title(F.col("html"), site).alias("page_title"),
+        H.page_title(F.col("quiet"), site).alias("page_title"),
         H.inner_text(F.col("quiet"), " ").alias("text"),
         spec_items(F.col("quiet")).alias("specs"),
         info_items(F.col("quiet")).alias("infos"),
@@ -277,6 +278,17 @@ def extract_listings(pages: DataFrame, site: str, as_of: Column, fold_d: bool =
     return with_reject_reason(page_fields(pages, site, as_of, fold_d)).select(*LISTING_COLUMNS, "reject_reason")
 
 
+def split_listings(pages: DataFrame, site: str, as_of: Column, fold_d: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Valid listings and rejects.
+
+    Extraction is the dear step and both sides need it, so its result is written once
+    to the shared folder and the two sides are filters over that table.
+    """
+    table = materialise(extract_listings(pages, site, as_of, fold_d), "extracted")
+    valid = table.where(F.col("reject_reason").isNull()).drop("reject_reason")
+    return valid, table.where(F.col("reject_reason").isNotNull())
+
+
 def strict_fields(html: Column) -> Column:
     """Struct(frontage, road_width) read only from exact specification titles.
 
