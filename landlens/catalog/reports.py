@@ -1 +1,261 @@
-"""Section."""
+"""Composite queries: the cleaned table, the star, the report pages, the notebooks."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import measures as M
+from ..operators.profile import column_profile
+from ..operators.relational import sequence_order_sql
+from ..operators.star import DETAILS, FEATURES, LOCATION, build_star, star_view
+from ..plans import report as P
+from ..functions.description import clean_description
+from ..sources.listings import raw_listings
+from ..sources.pages import SITE
+from .checks import CALC, CLEAN, RAW, TYPED, has
+from .frames import as_dates, as_doubles, clean, r6, typed, view
+from .registry import query, table
+from ..functions.rules import DISTRESS_WORDS, HYPE_WORDS
+
+
+@query(
+    "q1_clean_listings",
+    f"{CLEAN} SELECT * EXCLUDE (posted_date, expiry_date), posted_date::STRING AS posted_date, expiry_date::STRING AS expiry_date FROM clean",
+)
+def q1(spark, d):
+    return as_dates(as_doubles(clean(spark, d)))
+
+
+def _dim(cols, name, digits=3):
+    return f"SELECT {', '.join(cols)}, row_number() OVER (ORDER BY {sequence_order_sql(cols, digits)}) AS {name} FROM (SELECT DISTINCT {', '.join(cols)} FROM clean)"
+
+
+_STAR = f"""{CALC}, dl AS ({_dim(LOCATION, 'location_skey')}), df AS ({_dim(FEATURES, 'feature_skey', 1)}), dd AS ({_dim(DETAILS, 'status_skey')}),
+ dp AS (SELECT product_id, row_number() OVER (ORDER BY {sequence_order_sql(['product_id'], 4)}) AS product_skey FROM (SELECT DISTINCT product_id FROM clean)),
+ fact AS (SELECT c.*, dl.location_skey, df.feature_skey, dd.status_skey, dp.product_skey FROM calc c
+   LEFT JOIN dl ON {' AND '.join(f'c.{k} IS NOT DISTINCT FROM dl.{k}' for k in LOCATION)}
+   LEFT JOIN df ON {' AND '.join(f'c.{k} IS NOT DISTINCT FROM df.{k}' for k in FEATURES)}
+   LEFT JOIN dd ON {' AND '.join(f'c.{k} IS NOT DISTINCT FROM dd.{k}' for k in DETAILS)}
+   LEFT JOIN dp ON c.product_id = dp.product_id)"""
+
+
+@query(
+    "q2_star_fact",
+    f"{_STAR} SELECT location_skey, feature_skey, status_skey, product_skey, price_total, area, unit_price, bedrooms, is_overcrowded, is_fire_risk, posted_date::STRING AS posted_date FROM fact",
+)
+def q2(spark, d):
+    fact = build_star(clean(spark, d))["fact"]
+    cols = ["location_skey", "feature_skey", "status_skey", "product_skey", "price_total", "area", "unit_price", "bedrooms", "is_overcrowded", "is_fire_risk", "posted_date"]
+    return as_dates(as_doubles(fact.select(*cols)))
+
+
+@query(
+    "q2_star_read_back",
+    f"{CALC} SELECT city, tier, title_group, has_ngop_kw, count(*) AS n, count(DISTINCT product_id) AS n_listings FROM calc GROUP BY ALL",
+)
+def q2_view(spark, d):
+    star = star_view(build_star(clean(spark, d)))
+    return star.groupBy("city", "tier", "title_group", "has_ngop_kw").agg(F.count(F.lit(1)).alias("n"), M.listing_count().alias("n_listings"))
+
+
+@query(
+    "q2_listing_ids_dense",
+    f"{CLEAN} SELECT count(*) AS n, 1 AS lo, count(*) AS hi, count(*) AS n_ids FROM dedup",
+)
+def q2_ids(spark, d):
+    fact = build_star(clean(spark, d))["fact"]
+    return fact.agg(F.count(F.lit(1)).alias("n"), F.min("listing_id").alias("lo"), F.max("listing_id").alias("hi"), F.count_distinct("listing_id").alias("n_ids"))
+
+
+@query(
+    "q3_segment_by_tier",
+    f"""{CALC}, q AS (SELECT quantile_cont(price_total, 0.25) AS p25, quantile_cont(price_total, 0.75) AS p75 FROM calc)
+    SELECT CASE WHEN price_total IS NULL THEN 'Không xác định' WHEN price_total <= round(p25) THEN 'Bình dân' WHEN price_total <= round(p75) THEN 'Trung bình' ELSE 'Cao cấp' END AS segment,
+    CASE WHEN price_total IS NULL THEN 4 WHEN price_total <= p25 THEN 1 WHEN price_total <= p75 THEN 2 ELSE 3 END AS segment_order, tier, count(DISTINCT product_id) AS n_listings FROM calc, q GROUP BY ALL""",
+)
+def q3_segment(spark, d):
+    return P.segment_by_tier(view(spark, d))
+
+
+@query(
+    "q3_quality_share",
+    f"{CALC} SELECT tier, quality_group, count(*) AS n_rows, count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY tier) AS share FROM calc WHERE quality_group <> 'Pháp lý yếu + Hẻm nhỏ' GROUP BY tier, quality_group",
+)
+def q3_quality(spark, d):
+    return P.paid_tier_page(view(spark, d))["quality_share"]
+
+
+@query(
+    "q3_days_points",
+    f"{CALC} SELECT product_id, posted_date::STRING AS posted_date, tier, days_shown, unit_price, (SELECT sum(unit_price::DECIMAL(18,4))::DOUBLE / count(unit_price) FROM calc) AS type_mean FROM calc",
+)
+def q3_days(spark, d):
+    v = view(spark, d)
+    page = P.paid_tier_page(v)
+    return as_dates(as_doubles(page["days_points"].withColumn("type_mean", page["days_reference"].scalar())))
+
+
+@query(
+    "q4_district_map",
+    f"{CALC}, s AS (SELECT CASE WHEN n_nationkey < 14 THEN 'Quận ' || (n_nationkey + 1) ELSE 'Huyện ' || (n_nationkey + 3) END AS name FROM nation) "
+    "SELECT s.name, round(avg(price_trend_1y), 6) + 0.0::DOUBLE AS trend FROM s LEFT JOIN calc ON calc.district = s.name GROUP BY 1",
+)
+def q4_map(spark, d):
+    k = F.col("n_nationkey")
+    name = F.when(k < 14, F.concat(F.lit("Quận "), k + 1)).otherwise(F.concat(F.lit("Huyện "), k + 3))
+    shapes = table(spark, d, "nation").select(name.alias("name"))
+    return P.district_trend(view(spark, d), shapes).withColumn("trend", r6(F.col("trend")))
+
+
+@query(
+    "q4_district_matrix",
+    f"{CALC} SELECT district, round(avg(price_trend_1y), 6) + 0.0::DOUBLE AS trend, grouping(district) AS is_total FROM calc WHERE district NOT IN ('Quận 2') GROUP BY ROLLUP (district)",
+)
+def q4_matrix(spark, d):
+    return P.district_matrix(view(spark, d)).withColumn("trend", r6(F.col("trend")))
+
+
+@query(
+    "q4_quality_box",
+    f"""{CALC}, s AS (SELECT quality_group, product_id, sum(unit_price::DECIMAL(18,4)) AS v FROM calc GROUP BY ALL)
+    SELECT quality_group, round(quantile_cont(v::DOUBLE, 0.25), 4) AS q1, round(quantile_cont(v::DOUBLE, 0.5), 4) AS q2, round(quantile_cont(v::DOUBLE, 0.75), 4) AS q3, min(v)::DOUBLE AS low, max(v)::DOUBLE AS high,
+    sum(v)::DOUBLE / count(v) AS mean, count(v) AS samples FROM s GROUP BY 1""",
+)
+def q4_box(spark, d):
+    out = M.box_stats(view(spark, d), "quality_group", "unit_price", sample="product_id")
+    return out.withColumns({c: F.round(c, 4) for c in ("q1", "q2", "q3")})
+
+
+@query(
+    "q4_kpi_card",
+    f"{CALC} SELECT round(avg(price_trend_1y), 6) AS mean_trend, sum(unit_price::DECIMAL(18,4))::DOUBLE / count(unit_price) AS mean_unit_price, count(*) FILTER (WHERE coalesce(area, 0) <= 40 AND coalesce(bedrooms, 0) >= 3)::DOUBLE / count(*) AS crowding, median(unit_price) AS median_unit_price FROM calc",
+)
+def q4_card(spark, d):
+    return P.kpi_card(view(spark, d)).withColumn("mean_trend", F.round("mean_trend", 6))
+
+
+@query(
+    "q4_area_bedroom_bubbles",
+    f"{CALC} SELECT property_class, area, bedrooms, count(*) AS size FROM calc WHERE coalesce(area, 0) < 250 GROUP BY ALL HAVING avg(bedrooms) < 30",
+)
+def q4_bubbles(spark, d):
+    return P.area_bedroom_bubbles(view(spark, d))
+
+
+@query(
+    "q5_price_histogram",
+    f"""{CALC}, b AS (SELECT price_bin, count(DISTINCT product_id) AS n_listings, round(sum(price_billion), 6) AS price_sum, min(price_billion) AS lo, max(price_billion) AS hi, min(city) AS city, min(district) AS district, min(post_rank) AS post_rank FROM calc GROUP BY 1),
+    s AS (SELECT (SELECT max(n_listings) FROM b) AS top, (SELECT min(price_bin) FROM b WHERE price_bin IS NOT NULL AND n_listings = (SELECT max(n_listings) FROM b WHERE price_bin IS NOT NULL)) AS top_bin, (SELECT avg(price_billion) FROM calc) AS mean)
+    SELECT price_bin, n_listings, price_sum, city, district, post_rank, top AS max_line, CASE WHEN n_listings = top THEN n_listings END AS peak,
+    CASE WHEN lo IS NULL THEN NULL WHEN hi BETWEEN top_bin - 2 AND top_bin + 2 OR mean BETWEEN lo AND hi THEN 'highlight' ELSE 'neutral' END AS colour FROM b, s""",
+)
+def q5_histogram(spark, d):
+    return P.price_histogram(view(spark, d)).withColumn("price_sum", F.round("price_sum", 6))
+
+
+@query(
+    "q5_unit_price_histogram",
+    f"""{CALC}, lim AS (SELECT quantile_cont(unit_price, 0.05) AS p05 FROM calc), b AS (SELECT unit_price_bin5, count(DISTINCT product_id) AS n_listings FROM calc GROUP BY 1)
+    SELECT unit_price_bin5, n_listings, (SELECT max(n_listings) FROM b) AS max_line, coalesce(unit_price_bin5, 0) < p05 AS is_cheap FROM b, lim""",
+)
+def q5_unit(spark, d):
+    return P.unit_price_histogram(view(spark, d))
+
+
+@query(
+    "q5_shape_points",
+    f"""{CALC}, lim AS (SELECT quantile_cont(unit_price, 0.05) AS p05 FROM calc) SELECT product_id, posted_date::STRING AS posted_date, plot_shape, round(depth_ratio, 6) AS x, unit_price AS y, price_total AS price, coalesce(unit_price, 0) < p05 AS is_cheap
+    FROM calc, lim WHERE coalesce(depth_ratio, 0) < 20""",
+)
+def q5_points(spark, d):
+    return as_dates(P.shape_points(view(spark, d)).withColumn("x", F.round("x", 6)))
+
+
+@query(
+    "q5_shape_trend",
+    f"{CALC} SELECT round(regr_slope(unit_price, depth_ratio), 4) AS slope, round(regr_intercept(unit_price, depth_ratio), 4) AS intercept, round(regr_r2(unit_price, depth_ratio), 6) AS r2 FROM calc WHERE coalesce(depth_ratio, 0) < 20",
+)
+def q5_trend(spark, d):
+    out = P.pricing_page(view(spark, d))["shape_trend"]
+    return out.select(F.round("slope", 4).alias("slope"), F.round("intercept", 4).alias("intercept"), F.round("r2", 6).alias("r2"))
+
+
+@query(
+    "q5_cheap_card",
+    f"{CALC}, lim AS (SELECT quantile_cont(unit_price, 0.05) AS cheap_limit FROM calc WHERE city = 'Thành phố Hồ Chí Minh'), s AS (SELECT * FROM calc WHERE city = 'Thành phố Hồ Chí Minh') SELECT cheap_limit, "
+    "count(DISTINCT product_id) FILTER (WHERE coalesce(unit_price, 0) <= cheap_limit) AS cheap_listings, count(DISTINCT product_id) AS listings, "
+    "count(DISTINCT product_id) FILTER (WHERE coalesce(unit_price, 0) <= cheap_limit)::DOUBLE / count(DISTINCT product_id) AS cheap_share FROM s, lim GROUP BY cheap_limit",
+)
+def q5_card(spark, d):
+    return P.pricing_page(view(spark, d), {"city": ["Thành phố Hồ Chí Minh"]})["card_cheap"]
+
+
+_FEATURES = f"{TYPED}, f AS (SELECT *, lower(coalesce(description, '')) AS low, CASE WHEN area > 0 THEN price_total / area END AS price FROM typed), g AS (SELECT *, {has('low', *DISTRESS_WORDS)} AS distress, {has('low', *HYPE_WORDS)} AS hype FROM f)"
+
+
+def _effects(spark, d):
+    price = F.when(F.col("area") > 0, F.col("price_total") / F.col("area"))
+    return P.text_effects(typed(spark, d), price)
+
+
+@query(
+    "q6_distress_price",
+    f"{_FEATURES} SELECT distress AS has_ngop_kw, count(price) AS n, round(quantile_cont(price, 0.25), 6) AS q1, round(median(price), 6) AS median, round(quantile_cont(price, 0.75), 6) AS q3 FROM g GROUP BY 1",
+)
+def q6_price(spark, d):
+    return _effects(spark, d)["distress_price"].withColumns({c: F.round(c, 6) for c in ("q1", "median", "q3")})
+
+
+@query("q6_hype_rate", f"{_FEATURES} SELECT post_rank, round(avg(hype::INT) * 100, 6) AS rate FROM g GROUP BY 1")
+def q6_rate(spark, d):
+    return _effects(spark, d)["hype_rate"].withColumn("rate", F.round("rate", 6))
+
+
+@query("q6_text_features", f"{RAW} SELECT src_pos, length(coalesce(description, '')) AS desc_len, length(coalesce(description, '')) - length(replace(coalesce(description, ''), '!', '')) AS exclamation_count, {has('lower(coalesce(description, chr(32)))', *HYPE_WORDS)} AS has_marketing_kw FROM listings")
+def q6_features(spark, d):
+    rows = raw_listings(spark, d).select("src_pos", "description")
+    return P.with_text_features(rows).select("src_pos", "desc_len", "exclamation_count", "has_marketing_kw")
+
+
+@query(
+    "q7_outlier_thresholds",
+    f"""{TYPED}, v AS (SELECT 'road_width' AS feature, 'road_width' AS source_column, road_width AS v FROM typed UNION ALL SELECT 'frontage', 'frontage', frontage FROM typed UNION ALL
+      SELECT 'bedroom', 'bedrooms', bedrooms FROM typed UNION ALL SELECT 'bathroom', 'bathrooms', bathrooms FROM typed UNION ALL SELECT 'price_trend_1y', 'price_trend_1y', price_trend_1y FROM typed),
+    s AS (SELECT feature, source_column, quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.75) AS q3, quantile_cont(v, 0.95) AS p95, quantile_cont(v, 0.99) AS p99, count(v) AS "count" FROM v GROUP BY ALL)
+    SELECT feature, source_column, round_even(q1, 3) AS q1, round_even(q3, 3) AS q3, round_even(q3 - q1, 3) AS iqr, round_even(q1 - 1.5 * (q3 - q1), 3) + 0.0::DOUBLE AS threshold_low,
+      round_even(q3 + 1.5 * (q3 - q1), 3) AS threshold_high, round_even(p95, 3) AS p95, round_even(p99, 3) AS p99, "count" FROM s""",
+)
+def q7(spark, d):
+    features = {"road_width": "road_width", "frontage": "frontage", "bedroom": "bedrooms", "bathroom": "bathrooms", "price_trend_1y": "price_trend_1y"}
+    return M.outlier_table(raw_listings(spark, d), features)
+
+
+_PROFILED = ["product_id", "city", "ward", "area", "bedrooms", "post_rank"]
+_NUMERIC = {"product_id", "area", "bedrooms"}
+
+
+@query(
+    "q8_profile_table",
+    TYPED
+    + " UNION ALL ".join(
+        f" SELECT '{c}' AS name, count(*) - count({s}) AS null_count, count(DISTINCT {s}) AS unique_count, "
+        + (f"min({s})::DOUBLE AS \"min\", max({s})::DOUBLE AS \"max\", round(avg({s}), 2) AS mean" if c in _NUMERIC else 'NULL::DOUBLE AS "min", NULL::DOUBLE AS "max", NULL::DOUBLE AS mean')
+        + " FROM typed"
+        for c, s in ((c, "raw_city" if c == "city" else c) for c in _PROFILED)
+    ),
+)
+def q8(spark, d):
+    return column_profile(typed(spark, d).select(*_PROFILED)).select("name", "null_count", "unique_count", "min", "max", "mean")
+
+
+@query("q10_clean_descriptions", f"{RAW} SELECT src_pos, product_id, coalesce(trim(description), title) AS description FROM listings")
+def q10(spark, d):
+    rows = raw_listings(spark, d)
+    cleaned = clean_description(F.col("description"), F.col("title"), SITE)
+    return rows.select("src_pos", "product_id", cleaned.alias("description"))
+
+
+@query("q10_clean_documents")
+def q10_documents(spark, d):
+    docs = table(spark, d, "documents")
+    return docs.select("doc_id", F.length(clean_description(F.col("text"), F.col("source"), SITE)).alias("n_chars"))

@@ -27,7 +27,8 @@ def first_by_url(rows: DataFrame) -> DataFrame:
 
     A rejected address stays open: its first valid version is still delivered.
     """
-    return rows.withColumn("valid", F.col("reject_reason").isNull()).dropDuplicates(["url", "valid"])
+    outcome = F.when(F.col("reject_reason").isNull(), "valid").otherwise("rejected")
+    return rows.withColumn("outcome", outcome).dropDuplicates(["url", "outcome"])
 
 
 def append_parquet(stream: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
@@ -61,7 +62,7 @@ def ingest_pages(
     rows = first_by_url(extract_listings(pages, site, as_of))
 
     def deliver(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").partitionBy("valid").parquet(f"{out}/batch={batch_id}")
+        batch.write.mode("overwrite").partitionBy("outcome").parquet(f"{out}/batch={batch_id}")
 
     return (
         rows.writeStream.foreachBatch(deliver)
@@ -72,9 +73,9 @@ def ingest_pages(
 
 
 def read_listings(spark: SparkSession, out: str) -> DataFrame:
-    return spark.read.option("basePath", out).parquet(out).where("valid").drop("valid", "batch", "reject_reason")
+    return spark.read.option("basePath", out).parquet(out).where("outcome = 'valid'").drop("outcome", "batch", "reject_reason")
 
 
 def read_rejects(spark: SparkSession, out: str) -> DataFrame:
     """Failed rows; their addresses are fed again on the next run of a repair job."""
-    return spark.read.option("basePath", out).parquet(out).where("NOT valid").drop("valid", "batch")
+    return spark.read.option("basePath", out).parquet(out).where("outcome = 'rejected'").drop("outcome", "batch")
