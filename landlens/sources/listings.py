@@ -112,11 +112,7 @@ def spread(df: DataFrame) -> DataFrame:
     would run on one core. Large inputs have splits enough and pass unchanged.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if len(df.inputFiles()) >= cores or splits(df) >= cores else df.repartition(cores)
-
-
-def splits(df: DataFrame) -> int:
-    return df.rdd.getNumPartitions()
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
 def raw_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
