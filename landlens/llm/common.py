@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Words kept per Python worker by the word caches; a full cache starts anew, so memory is bounded.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1_000_000
 #: Longer words are computed every time, so that one entry stays small.
 CACHE_CHARS = 64
 #: Rows a batch function sees at once.

@@ -46,24 +46,30 @@ class WordTokenizer:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         known = self.known
         split = [self.parts(t) if t else [] for t in texts]
-        new = list(set().union(*split).difference(known)) if split else []
-        extra: dict[str, bytes] = {}
-        if new:
-            short = [w for w in new if len(w) <= CACHE_CHARS]
-            if len(known) + len(short) > CACHE_WORDS:
-                known.clear()
-                new = list(set().union(*split))
-                short = [w for w in new if len(w) <= CACHE_CHARS]
-            known.update(zip(short, self._encode(short), strict=True))
-            for w in new:  # long ones singly: one may be a whole text
-                if len(w) > CACHE_CHARS:
-                    extra[w] = self._encode([w])[0]
+        new = set().union(*split).difference(known)
+        if len(known) + len(new) > CACHE_WORDS:
+            known.clear()
+            new = set().union(*split)
+        extra = self._learn(new) if new else {}
         if extra:
             return [b"".join([known[w] if w in known else extra[w] for w in parts]) for parts in split]
         get = known.__getitem__
         return [b"".join(map(get, parts)) for parts in split]
 
+    def _learn(self, new: set[str]) -> dict[str, bytes]:
+        """Encode new parts; those too long to be remembered are returned."""
+        known = self.known
+        long = [w for w in new if len(w) > CACHE_CHARS]
+        # letters with one sign behind them are always split in front of the sign
+        heads = {w: w[:-1] for w in new if w[-1] in _SIGNS and len(w) <= CACHE_CHARS and w[:-1].removeprefix(" ").isalpha()}
+        ask = [w for w in new.union(heads.values(), _SIGNS).difference(heads, known) if len(w) <= CACHE_CHARS]
+        known.update(zip(ask, self._encode(ask), strict=True))
+        for w, head in heads.items():
+            known[w] = known[head] + known[w[-1]]
+        return {w: self._encode([w])[0] for w in long}  # singly: one may be a whole text
+
 
+_SIGNS = ".,;:!?"
 #: Any white space beyond the ASCII kinds, and the separators that only some rules take for white space.
 _ODD_SPACE = re.compile(r"[\x1c-\x1f\x85\xa0 ᠎ -‍ -  ⁠　﻿]|\s[̀-ͯ҃ͅ-҉᪰-᫿᷀-᷿⃐-⃿゙゚︠-︯]")
 _SPACE_RUN = re.compile(r"\s \s|[\n\t\r\f\v\x1c-\x1f\x85\xa0  -  -  　] | [\n\t\r\f\v\x1c-\x1f\x85\xa0  -  -  　]")
