@@ -4,8 +4,8 @@ The kernel compares two words by the three-letter subsequences they share; a sub
 ``DECAY`` for each letter it skips. Inserted letters therefore lower the likeness of an insult to its plain form only a
 little, and signs between letters are not seen at all; letters written singly ("a b c d") are read as one word.
 
-Landmarks are words of labelled documents: those that lean most to the toxic side, and the most common of the clean side. A
-sentence's response to a landmark is that of its likest word, responses below ``LEAST`` are 0, and the Nyström map makes
+Landmarks are words of labelled documents that lean to the toxic side, at least ``LEAN_SHARE`` as much as the one that leans most
+(by the deviation of their document counts), so that words which stood in a few toxic documents are none. A sentence's response to a landmark is that of its likest word, responses below ``LEAST`` are 0, and the Nyström map makes
 them features of a linear machine (squared hinge, solved by Newton steps). It is trained on sentences: of each labelled document
 the ``SENTENCES`` with the strongest responses, of toxic documents the strongest alone. A document's score is that of its worst
 sentence, turned into a probability by a logistic fit on the training documents.
@@ -32,7 +32,8 @@ FIT_DOCS = 2000
 LANDMARKS = 32
 DECAY = 0.5
 SPAN = 5
-LEAST = 0.35
+LEAST = 0.45
+LEAN_SHARE = 0.5
 SENTENCES = 3
 MIN_LETTERS = 4
 #: Words that a worker remembers as unlike all landmarks.
@@ -205,19 +206,23 @@ def logistic(margins: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(max(p[0], 1e-3)), float(p[1])
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS) -> DataFrame:
-    """doc_id, toxic, text of the training sample. A doc_id labelled both ways counts as toxic."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS) -> tuple[DataFrame, float]:
+    """doc_id, toxic, text of the training sample, and the toxic share of all training labels (0 if there are none).
+
+    A doc_id labelled both ways counts as toxic.
+    """
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = known.where(fold("doc_id", FOLDS) != HELD_OUT)
     ids = docs.where(F.col("text").isNotNull()).select("doc_id").join(known, "doc_id").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     ids = materialise(ids, "toxicity-labels")
+    share = ids.agg(F.avg("toxic")).first()[0] or 0.0
     parts = [ids.where(F.col("toxic") == t).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_docs) for t in (1, 0)]
     ids = materialise(parts[0].unionByName(parts[1]), "toxicity-sample")  # at most twice fit_docs rows
-    return docs.select("doc_id", "text").join(ids, "doc_id").where(F.col("text").isNotNull())
+    return docs.select("doc_id", "text").join(ids, "doc_id").where(F.col("text").isNotNull()), share
 
 
 def choose_landmarks(sample: DataFrame, count: int = LANDMARKS) -> list[str]:
-    """The words that lean most to the toxic side (by the deviation of their document counts) and the commonest clean ones."""
+    """The words that lean most to the toxic side by the deviation of their document counts."""
 
     def make():
         def run(cols):
@@ -239,10 +244,9 @@ def choose_landmarks(sample: DataFrame, count: int = LANDMARKS) -> list[str]:
     share = totals[1] / (totals[0] + totals[1])
     expected = (F.col("t") + F.col("c")) * share
     lean = (F.col("t") - expected) / F.sqrt(expected * (1 - share) + 1.0)
-    words = counts.where("t + c >= 3").select("word", lean.alias("lean"), "c")
-    toxic = [r["word"] for r in words.orderBy(F.desc("lean"), "word").limit(count).collect()]
-    clean = [r["word"] for r in words.where("lean < 1").orderBy(F.desc("c"), "word").limit(count // 2).collect()]
-    return [*toxic, *[w for w in clean if w not in toxic]]
+    words = counts.where("t + c >= 3").select("word", lean.alias("lean"))
+    top = words.where("lean > 0").orderBy(F.desc("lean"), "word").limit(count).collect()
+    return [r["word"] for r in top if r["lean"] >= LEAN_SHARE * top[0]["lean"]]
 
 
 def responses(rows: DataFrame, landmarks: list[str], keep: int = SENTENCES) -> DataFrame:
@@ -268,7 +272,8 @@ def responses(rows: DataFrame, landmarks: list[str], keep: int = SENTENCES) -> D
 
 def train(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS) -> Machine:
     """Fit on the labelled sample. Without documents of both labels every score is the labels' share (0.5 without any)."""
-    sample = materialise(labelled_sample(docs, labels, fit_docs), "toxicity-texts")
+    sample, share = labelled_sample(docs, labels, fit_docs)
+    sample = materialise(sample, "toxicity-texts")
     half = F.xxhash64(F.col("doc_id"), F.lit("half")) % 2 == 0
     landmarks = choose_landmarks(sample.where(half))
     if not landmarks or sample.where(~half).select("toxic").distinct().count() < 2:
@@ -294,6 +299,9 @@ def train(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS) -> Machi
     w = squared_hinge(np.concatenate([x, np.ones((len(x), 1))], 1), y)
     machine = Machine(landmarks, root @ w[:-1], float(w[-1]), 1.0, 0.0)
     machine.slope, machine.shift = logistic(np.array([machine.margin(s) for s in owner]), np.array(docs_y))
+    # the sample holds more toxic documents than the labels do: back to their odds
+    drawn = float(np.mean(docs_y))
+    machine.shift += np.log(share / (1 - share)) - np.log(drawn / (1 - drawn))
     return machine
 
 
