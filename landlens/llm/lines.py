@@ -47,8 +47,9 @@ def chunks(text: Column) -> Column:
 
         def ends(i: Column) -> Column:  # is there a boundary behind unit i (from 1)?
             here, after = F.get(units, i - 1), F.get(units, i)
-            rolling = F.pmod(F.xxhash64(F.get(hashes, i - 2), F.get(hashes, i - 1)), F.lit(DIVISOR)) == 0
-            return (i == n) | here["last"] | after["first"] | rolling
+            # two neighbouring places are not both boundaries, and no sentence at the edge of a long line is left alone
+            chosen = [F.pmod(F.xxhash64(F.get(hashes, i - 2 - back), F.get(hashes, i - 1 - back)), F.lit(DIVISOR)) == 0 for back in (0, 1)]
+            return (i == n) | here["last"] | after["first"] | (chosen[0] & ~chosen[1] & ~here["first"] & ~after["last"])
 
         def build(stops: Column) -> Column:
             def one(stop: Column, k: Column) -> Column:
