@@ -27,8 +27,8 @@ MIN_LINES = 2
 
 
 def words_in(text: Column) -> Column:
-    """Number of words: a word starts where no white space is left of it."""
-    return F.size(F.filter(F.split(text, r"\s+"), lambda w: w != ""))
+    """Number of words; spaces and line ends separate them."""
+    return F.size(F.filter(F.split(F.replace(text, F.lit("\n"), F.lit(" ")), " "), lambda w: w != ""))
 
 
 def chunks(text: Column) -> Column:
