@@ -10,8 +10,7 @@ from __future__ import annotations
 
 import os
 import re
-
-import numpy as np
+from array import array
 
 from landlens.llm.common import CACHE_CHARS, CACHE_WORDS
 
@@ -27,8 +26,9 @@ class WordTokenizer:
         self.known: dict[str, bytes] = {}
 
     def _encode(self, parts: list[str]) -> list[bytes]:
-        got = self.tokenizer.encode_batch(parts, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in got]
+        # without offsets, which nobody asks for
+        got = self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)
+        return [array("I", e.ids).tobytes() for e in got]
 
     def parts(self, text: str) -> list[str]:
         """Parts whose ids, put together, are those of the text."""
@@ -36,9 +36,10 @@ class WordTokenizer:
             return [text]
         if self.drops_space:
             # white space is dropped; only ASCII white space is cut at, and only between characters that can't compose
-            return [text] if _ODD_SPACE.search(text) else text.split()
+            odd = any(c in text for c in _SEPARATORS) if text.isascii() else _ODD_SPACE.search(text)
+            return [text] if odd else text.split()
         # a space between two others belongs to a run of white space, whose last one may go to the next word
-        if "  " in text or _SPACE_RUN.search(text):
+        if "  " in text or ((not text.isascii() or any(c in text for c in _WHITE)) and _SPACE_RUN.search(text)):
             return [text]
         first, *rest = text.split(" ")
         return [first, *[" " + p for p in rest]] if first else [" " + p for p in rest]
@@ -70,6 +71,9 @@ class WordTokenizer:
 
 
 _SIGNS = ".,;:!?"
+#: ASCII characters that only some rules take for white space, and the ASCII white space beside the space and the line end.
+_SEPARATORS = "\x1c\x1d\x1e\x1f"
+_WHITE = ("\t", "\r", "\f", "\v", " \n", "\n ", *_SEPARATORS)
 #: Any white space beyond the ASCII kinds, and the separators that only some rules take for white space.
 _ODD_SPACE = re.compile(r"[\x1c-\x1f\x85\xa0 ᠎ -‍ -  ⁠　﻿]|\s[̀-ͯ҃ͅ-҉᪰-᫿᷀-᷿⃐-⃿゙゚︠-︯]")
 _SPACE_RUN = re.compile(r"\s \s|[\n\t\r\f\v\x1c-\x1f\x85\xa0  -  -  　] | [\n\t\r\f\v\x1c-\x1f\x85\xa0  -  -  　]")
