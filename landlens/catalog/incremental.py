@@ -22,7 +22,7 @@ def x1(spark, d):
     out, checkpoint = shared_dir(spark, "pages"), shared_dir(spark, "progress")
     # The second run resumes from the checkpoint and finds nothing new.
     for _ in range(2):
-        stream = I.page_stream(spark, d, glob="pages.parquet").select("page_id", "url")
+        stream = I.page_stream(spark, I.table_path(d, "pages"), glob=None).select("page_id", "url")
         I.append_parquet(stream, out, checkpoint).awaitTermination()
     return spark.read.schema("page_id bigint, url string").parquet(out)
 
@@ -30,7 +30,7 @@ def x1(spark, d):
 @query("x2_first_delivery_per_url", "SELECT user_id, event_type FROM events GROUP BY ALL")
 def x2(spark, d):
     schema = table(spark, d, "events").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    stream = spark.readStream.schema(schema).parquet(I.table_path(d, "events"))
     unique = stream.select("user_id", "event_type").dropDuplicates(["user_id", "event_type"])
     out = shared_dir(spark, "events")
     I.append_parquet(unique, out, shared_dir(spark, "progress")).awaitTermination()

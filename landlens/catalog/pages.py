@@ -8,7 +8,6 @@ from ..functions import html as H
 from ..functions.text import clean_numeric
 from ..operators import pages as P
 from ..operators.relational import update_by_key
-from ..sources.listings import spread
 from ..sources.pages import SITE, listing_pages
 from ..sources.tables import read_pages
 from .frames import as_dates
@@ -36,7 +35,7 @@ _URL = "'https://nha.example.com/ban-nha-' || lower(p_type) || '-pr' || p_partke
     r"""SELECT page_id, length(trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>|<template\b.*?</template\s*>', ' ', 'g'), '(?s)<[a-zA-Z/!?][^>]*>', ' ', 'g'), '\s+', ' ', 'g'))) > 0 AS has_text FROM pages""",
 )
 def h1(spark, d):
-    return spread(read_pages(spark, d)).select("page_id", (F.length(H.page_text(F.col("html"))) > 0).alias("has_text"))
+    return read_pages(spark, d).select("page_id", (F.length(H.page_text(F.col("html"))) > 0).alias("has_text"))
 
 
 @query(
@@ -45,7 +44,7 @@ def h1(spark, d):
     SELECT page_id, md5(trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(t, '&copy;', '©'), '&middot;', '·'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '[\s\x{a0}]+', ' ', 'g'))) AS digest FROM p""",
 )
 def h1_plain(spark, d):
-    return spread(read_pages(spark, d)).select("page_id", F.md5(H.page_text(F.col("html")).cast("binary")).alias("digest"))
+    return read_pages(spark, d).select("page_id", F.md5(H.page_text(F.col("html")).cast("binary")).alias("digest"))
 
 
 @query("h2_page_title", f"SELECT p_partkey AS page_id, {_TITLE} AS title FROM part")
@@ -64,7 +63,7 @@ def h3(spark, d):
 
 @query("h3_links_of_given_pages", "SELECT page_id, 0 AS n FROM pages WHERE regexp_matches(html, 'href=\"[^\"]*-pr[0-9]+[?\"]')")
 def h3_given(spark, d):
-    return P.page_links(spread(read_pages(spark, d)), "example").groupBy("page_id").agg(F.count(F.lit(1)).alias("n"))
+    return P.page_links(read_pages(spark, d), "example").groupBy("page_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(
@@ -162,5 +161,5 @@ def q9(spark, d):
 
 @query("q9_extract_given_pages")
 def q9_given(spark, d):
-    out = P.extract_listings(spread(read_pages(spark, d)), SITE, as_of())
+    out = P.extract_listings(read_pages(spark, d), SITE, as_of())
     return out.groupBy(F.coalesce("reject_reason", F.lit("valid")).alias("outcome")).agg(F.count(F.lit(1)).alias("n"))

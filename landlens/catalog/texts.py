@@ -11,7 +11,7 @@ from ..functions.rules import (
     CASHFLOW_WORDS, DISTRESS_WORDS, HYPE_WORDS, WEAK_TITLE_WORDS, clean_label, direction_label, interior_label,
     strip_trailing_dots, title_label,
 )
-from ..sources.listings import raw_listings, spread
+from ..sources.listings import raw_listings
 from ..sources.tables import read_pages
 from .checks import CLEAN, INTERIOR_SQL, RAW, TITLE_SQL, has
 from .registry import query, table
@@ -21,7 +21,7 @@ _NORM = rf"trim(regexp_replace(text, '{_WS}+', ' ', 'g'))"
 
 
 def documents(spark, d):
-    return spread(table(spark, d, "documents"))
+    return table(spark, d, "documents")
 
 
 @query("t1_normalize_text", f"SELECT doc_id, md5({_NORM}) AS digest FROM documents")

@@ -31,11 +31,17 @@ def half_step(x: Column) -> Column:
 
 def to_long(text: Column) -> Column:
     """Whole number from a text cell; decimals round half-even, bad cells are null."""
-    return F.bround(text.try_cast("double"), 0).cast("long")
+    return F.bround(to_double(text), 0).cast("long")
 
 
 def to_double(text: Column) -> Column:
-    return text.try_cast("double")
+    """Number from a text cell; a bad cell is null, and so is one that spells no finite number."""
+    return finite(text.try_cast("double"))
+
+
+def finite(x: Column) -> Column:
+    """NaN (how some writers spell a missing cell) and infinities become null."""
+    return F.when(F.abs(x) < F.lit(float("inf")), x)
 
 
 def bin_floor(x: Column, width: float) -> Column:

@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.numeric import finite
+
 STEPS = 64  # ranges per factor e of magnitude
 FLOOR = 746 * STEPS  # the logarithm of a double is never below -746
 
@@ -32,11 +34,11 @@ def exact_percentiles(
 ) -> DataFrame:
     """One row per group: inclusive percentiles `ps` of `value` under `names`, and `n`.
 
-    Missing values are left out; a group without values has no row.
+    Missing values, NaN and infinities are left out; a group without values has no row.
     """
     # A constant joins the group columns, so an ungrouped call follows the same path.
     keys = ["__g", *by]
-    v = F.col(value).cast("double")
+    v = finite(F.col(value).cast("double"))
     counts = (
         df.select(F.lit(0).alias("__g"), *by, v.alias("__v"))
         .where(F.col("__v").isNotNull())

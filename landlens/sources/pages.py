@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .listings import spread
 
 SITE = "nha.example.com"
 
@@ -23,7 +22,7 @@ def _spec(title: str, value: Column) -> Column:
 
 def listing_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """page_id, url and html; some pages are blocked or lack their prices."""
-    part = spread(spark.read.parquet(f"{sf_dir.rstrip('/')}/part.parquet"))
+    part = spark.read.parquet(f"{sf_dir.rstrip('/')}/part.parquet")
     k, size = F.col("p_partkey"), F.col("p_size")
     text = lambda c: c.cast("string")
     when = lambda cond, *parts: F.when(cond, F.concat(*parts)).otherwise("")

@@ -15,8 +15,18 @@ from ..operators.pages import extract_listings
 PAGE_SCHEMA = "page_id bigint, url string, html string"
 
 
-def page_stream(spark: SparkSession, folder: str, glob: str = "*.parquet", max_files: int | None = None) -> DataFrame:
-    reader = spark.readStream.schema(PAGE_SCHEMA).option("pathGlobFilter", glob)
+def table_path(sf_dir: str, name: str) -> str:
+    """A table's path for a stream, be the table one file or a folder of part files.
+
+    The pattern in it makes the source list what matches instead of taking a single file for a folder.
+    """
+    return f"{sf_dir.rstrip('/')}/{name}.parque[t]"
+
+
+def page_stream(spark: SparkSession, folder: str, glob: str | None = "*.parquet", max_files: int | None = None) -> DataFrame:
+    reader = spark.readStream.schema(PAGE_SCHEMA)
+    if glob:
+        reader = reader.option("pathGlobFilter", glob)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
     return reader.parquet(folder)
@@ -50,7 +60,7 @@ def ingest_pages(
     checkpoint: str,
     site: str,
     as_of: Column,
-    glob: str = "*.parquet",
+    glob: str | None = "*.parquet",
     max_files: int | None = None,
 ) -> StreamingQuery:
     """Pages to listings: valid rows and rejects go to two tables, one folder per batch.

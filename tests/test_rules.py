@@ -140,3 +140,32 @@ def test_nested_items_end_at_their_own_tag(spark):
     got = column(spark, [page], lambda c: F.transform(H.elements(H.drop_silent(c), "re__x"), lambda e: H.inner_text(e["body"])))
     assert got == [["mộthai", "ba", "hở"]]
     assert column(spark, ["&lt;b&gt; &#7879; &#x1EC7; &copy; &bad; &amp;amp; & x"], lambda c: H.page_text(c)) == ["<b> ệ ệ © &bad; &amp; & x"]
+
+
+def test_cells_that_are_no_finite_number_are_missing(spark):
+    from landlens.functions.numeric import to_double, to_long
+    from landlens.operators.quantiles import exact_percentiles
+
+    cells = spark.createDataFrame([(t,) for t in ("10", "20", "30", "nan", "inf", "-Infinity", "x", None)], "cell string")
+    got = cells.select(to_double(F.col("cell")).alias("d"), to_long(F.col("cell")).alias("l")).collect()
+    assert [tuple(r) for r in got] == [(10.0, 10), (20.0, 20), (30.0, 30)] + [(None, None)] * 5
+    raw = cells.select(F.col("cell").try_cast("double").alias("v"))
+    assert tuple(exact_percentiles(raw, "v", [0.25, 0.75], ["q1", "q3"]).select("q1", "q3", "n").first()) == (15.0, 25.0, 3)
+
+
+def test_questions_are_queries_only(spark, tmp_path):
+    from landlens.operators.adhoc import ask
+
+    df = spark.range(3).toDF("n")
+    assert ask(df, "SELECT 'a;b' AS x, n FROM listings;").count() == 3
+    for sql in (f"WITH a AS (SELECT 1 AS x) INSERT OVERWRITE DIRECTORY '{tmp_path}/out' USING parquet SELECT * FROM a", "CREATE TABLE t AS SELECT 1", "SELECT 1; SELECT 2", ""):
+        with pytest.raises(ValueError):
+            ask(df, sql)
+    assert not (tmp_path / "out").exists()
+
+
+def test_streams_read_tables_that_are_folders(spark, sf_dir, tmp_path):
+    from landlens.catalog.incremental import x1
+
+    spark.read.parquet(f"{sf_dir}/pages.parquet").repartition(4).write.parquet(f"{tmp_path}/pages.parquet")
+    assert x1(spark, str(tmp_path)).count() == 50
