@@ -4,15 +4,19 @@ The kernel compares two words by the three-letter subsequences they share; a sub
 ``DECAY`` for each letter it skips. Inserted letters therefore lower the likeness of an insult to its plain form only a
 little, and signs between letters are not seen at all; letters written singly ("a b c d") are read as one word.
 
-Landmarks are words of labelled documents that lean to the toxic side, at least ``LEAN_SHARE`` as much as the one that leans most
-(by the deviation of their document counts), so that words which stood in a few toxic documents are none. A sentence's response to a landmark is that of its likest word, responses below ``LEAST`` are 0, and the Nyström map makes
-them features of a linear machine (squared hinge, solved by Newton steps). It is trained on sentences: of each labelled document
+Insults also stand inside longer words (a stem with endings), so a word's likeness to a landmark is that of its likest part: parts
+are as long as the landmark and up to ``SLACK`` letters longer.
+
+Landmarks are words and word beginnings that lean to the toxic side, by the deviation of their document counts, at least ``LEAN_SHARE``
+as much as the one that leans most. They are chosen one after another, each for the documents that hold none of those before it; words that merely stand beside an insult, or stood in a few toxic documents, are none. A sentence's response to a landmark is
+that of its likest word, responses below ``LEAST`` are 0, and the Nyström map makes them features of a linear machine (squared hinge,
+solved by Newton steps). It is trained on sentences: of each labelled document
 the ``SENTENCES`` with the strongest responses, of toxic documents the strongest alone. A document's score is that of its worst
 sentence, turned into a probability by a logistic fit on the training documents.
 
 Landmarks and machine are fitted on a bounded sample, at most ``FIT_DOCS`` documents of each label (those with the smallest
-hash of the id), the landmarks on one half of it and the machine on the other, so that words that stood in toxic documents by
-chance gain no weight; the labels of held-out documents are never read. All texts are scored whole.
+hash of the id; equal texts count once), the landmarks on one half of it and the machine on the other, so that words that stood in
+toxic documents by chance gain no weight; the labels of held-out documents are never read. All texts are scored whole.
 """
 
 from __future__ import annotations
@@ -32,15 +36,21 @@ FIT_DOCS = 2000
 LANDMARKS = 32
 DECAY = 0.5
 SPAN = 5
-LEAST = 0.45
-LEAN_SHARE = 0.5
+SLACK = 2
+LEAST = 0.6
+LEAN_SHARE = 0.4
+#: Candidates for landmarks that are looked at document by document: those that lean most.
+CANDIDATES = 4000
+#: Word beginnings of up to so many letters are candidates beside whole words of up to 24.
+STEM_LETTERS = 12
 SENTENCES = 3
 MIN_LETTERS = 4
 #: Words that a worker remembers as unlike all landmarks.
 SEEN_WORDS = 600_000
 _LETTERS = re.compile(r"[\W_]+")
 _DIGITS = str.maketrans("01345", "oieas")
-_SENTENCE = re.compile(r"[.!?\n]+")
+#: A sign inside a word ends no sentence.
+_SENTENCE = re.compile(r"[.!?]+(?=\s|$)|\n+")
 #: Four or more single characters in a row, with a space or sign between each.
 _SPELLED = re.compile(r"(?<!\w)\w(?:[ .\-_*]\w){3,}(?!\w)")
 
@@ -67,6 +77,22 @@ def likeness(a: dict[str, float], b: dict[str, float]) -> float:
     return dot / (sum(v * v for v in a.values()) * sum(v * v for v in b.values())) ** 0.5 if dot else 0.0
 
 
+def least_norms(size: int) -> np.ndarray:
+    """The square root of the least self-likeness of words of 0 to ``size`` letters."""
+    sizes = np.arange(size + 1)
+    gaps = np.arange(2, SPAN + 1)
+    return np.sqrt((np.maximum(0, sizes[:, None] - gaps) * (gaps - 1) * DECAY ** (2.0 * (gaps - 2))).sum(axis=1).clip(1e-9))
+
+
+def part_likeness(word: str, mark: dict[str, float], size: int) -> float:
+    """The likeness of the word's likest part to a landmark of ``size`` letters."""
+    best = likeness(subsequences(word), mark)
+    for n in range(size, min(len(word) - 1, size + SLACK) + 1):
+        for at in range(len(word) - n + 1):
+            best = max(best, likeness(subsequences(word[at : at + n]), mark))
+    return best
+
+
 class Landmarks:
     """Responses of words to the landmarks; words that no landmark answers to are found in bulk."""
 
@@ -84,6 +110,8 @@ class Landmarks:
             norm = sum(v * v for v in m.values()) ** 0.5 or 1.0
             for u, v in m.items():
                 self.weights[place[self._code(u)], j] += v / norm
+        self.norms = least_norms(max([0, *map(len, words)]))
+        self.sizes = np.array([len(w) for w in words], np.int64)
         self.hot: dict[str, dict[int, float]] = {}
         self.seen: set[str] = set()
 
@@ -96,14 +124,12 @@ class Landmarks:
         return a << 12 | b << 6 | c
 
     def bounds(self, words: list[str]) -> np.ndarray:
-        """An upper bound of each word's likeness to its likest landmark."""
+        """An upper bound of the likeness of each word's likest part to each landmark."""
         sizes = np.array([len(w) for w in words], np.int64)
         letters = self._letter(np.frombuffer("".join(words).encode("utf-32-le"), "<u4").astype(np.int64))
         owner = np.repeat(np.arange(len(words)), sizes)
         at, code, weight = [], [], []
-        norm = np.zeros(len(words))
         for gap in range(2, SPAN + 1):
-            norm += np.maximum(0, sizes - gap) * (gap - 1) * DECAY ** (2 * (gap - 2))
             if len(letters) <= gap:
                 continue
             inside = owner[:-gap] == owner[gap:]
@@ -114,14 +140,14 @@ class Landmarks:
                 at.append(owner[hit])
                 code.append(found[hit])
                 weight.append(np.full(len(hit), DECAY ** (gap - 2), np.float32))
-        best = np.zeros(len(words))
+        best = np.zeros((len(words), len(self.words)))
         if at and len(owners := np.concatenate(at)):
             order = np.argsort(owners, kind="stable")
             owners = owners[order]
             rows = self.weights[np.concatenate(code)[order]] * np.concatenate(weight)[order][:, None]
             starts = np.flatnonzero(np.diff(owners, prepend=-1))
-            best[owners[starts]] = np.add.reduceat(rows, starts, axis=0).max(axis=1)
-        return best / np.sqrt(np.maximum(norm, 1e-9))
+            best[owners[starts]] = np.add.reduceat(rows, starts, axis=0)
+        return best / self.norms[np.minimum(sizes[:, None], self.sizes)]
 
     def learn(self, words: set[str]) -> None:
         """Sort words not met before into those that a landmark answers to and the others."""
@@ -136,12 +162,11 @@ class Landmarks:
             letters = [plain(w) for w in part]
             long = [i for i, w in enumerate(letters) if len(w) >= MIN_LETTERS]
             bound = self.bounds([letters[i] for i in long]) if long else []
-            for i, most in zip(long, bound, strict=True):
-                if most >= LEAST:
-                    mine = subsequences(letters[i])
-                    got = {j: v for j, m in enumerate(self.maps) if (v := likeness(mine, m)) >= LEAST}
-                    if got:
-                        self.hot[part[i]] = got
+            for row, j in zip(*(x.tolist() for x in np.nonzero(np.asarray(bound) >= LEAST)), strict=True) if long else ():
+                i = long[row]
+                v = part_likeness(letters[i], self.maps[j], len(self.words[j]))
+                if v >= LEAST:
+                    self.hot.setdefault(part[i], {})[j] = v
         self.seen.update(w for w in new if w not in self.hot and len(w) <= 64)
 
     def sentences(self, text: str, words: set[str]) -> list[dict[int, float]]:
@@ -218,19 +243,35 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS
     share = ids.agg(F.avg("toxic")).first()[0] or 0.0
     parts = [ids.where(F.col("toxic") == t).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_docs) for t in (1, 0)]
     ids = materialise(parts[0].unionByName(parts[1]), "toxicity-sample")  # at most twice fit_docs rows
-    return docs.select("doc_id", "text").join(ids, "doc_id").where(F.col("text").isNotNull()), share
+    texts = docs.select("doc_id", "text").join(ids, "doc_id").where(F.col("text").isNotNull())
+    return texts.groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.max("toxic").alias("toxic")), share
+
+
+def stems(text: str | None) -> set[str]:
+    """The plain words of a text and their beginnings."""
+    out = set()
+    for w in {plain(w) for w in text_words(text)}:
+        if MIN_LETTERS <= len(w) <= 24:
+            out.add(w)
+        out.update(w[:n] for n in range(MIN_LETTERS, min(len(w), STEM_LETTERS + 1)))
+    return out
+
+
+def lean(toxic, clean, share, root):
+    """Deviation of the toxic count from the expected one; for columns and numbers alike."""
+    expected = (toxic + clean) * share
+    return (toxic - expected) / root(expected * (1 - share) + 1.0)
 
 
 def choose_landmarks(sample: DataFrame, count: int = LANDMARKS) -> list[str]:
-    """The words that lean most to the toxic side by the deviation of their document counts."""
+    """Words and word beginnings that lean most to the toxic side, each over the documents that hold none chosen before."""
 
     def make():
         def run(cols):
             out: dict[tuple[str, int], int] = defaultdict(int)
             for text, toxic in zip(cols["text"], cols["toxic"], strict=True):
-                for w in {plain(w) for w in text_words(text)}:
-                    if MIN_LETTERS <= len(w) <= 24:
-                        out[w, toxic] += 1
+                for w in stems(text):
+                    out[w, toxic] += 1
             return {"word": [k[0] for k in out], "toxic": [k[1] for k in out], "n": list(out.values())}
 
         return run
@@ -242,11 +283,32 @@ def choose_landmarks(sample: DataFrame, count: int = LANDMARKS) -> list[str]:
         F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("t"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("c")
     )
     share = totals[1] / (totals[0] + totals[1])
-    expected = (F.col("t") + F.col("c")) * share
-    lean = (F.col("t") - expected) / F.sqrt(expected * (1 - share) + 1.0)
-    words = counts.where("t + c >= 3").select("word", lean.alias("lean"))
-    top = words.where("lean > 0").orderBy(F.desc("lean"), "word").limit(count).collect()
-    return [r["word"] for r in top if r["lean"] >= LEAN_SHARE * top[0]["lean"]]
+    ranked = counts.where("t >= 3").select("word", lean(F.col("t"), F.col("c"), share, F.sqrt).alias("lean")).where("lean > 0")
+    # longer ones first among equals: a stem, not its first letters
+    words = [r["word"] for r in ranked.orderBy(F.desc("lean"), F.desc(F.length("word")), "word").limit(CANDIDATES).collect()]
+    place = {w: i for i, w in enumerate(words)}
+
+    def find():
+        return lambda cols: {"toxic": cols["toxic"], "held": [sorted(place[w] for w in stems(t) if w in place) for t in cols["text"]]}
+
+    rows = map_rows(sample.select("toxic", "text"), find, "toxic int, held array<int>").where(F.size("held") > 0).collect()  # of the bounded sample
+    held = np.zeros((len(rows), len(words)), bool)
+    for k, r in enumerate(rows):
+        held[k, r["held"]] = True
+    toxic = np.array([r["toxic"] for r in rows], bool)
+    clean = held[~toxic].sum(axis=0)
+    first = lean(held[toxic].sum(axis=0), clean, share, np.sqrt)
+    leaning = first >= LEAN_SHARE * first.max(initial=0.0)
+    left, chosen = held[toxic], []
+    while len(chosen) < count and len(left) and words:
+        t = left.sum(axis=0)
+        leans = np.where(leaning & (t > 0), lean(t, clean, share, np.sqrt), 0.0)
+        best = int(leans.argmax())
+        if leans[best] <= 0:
+            break
+        chosen.append(words[best])
+        left = left[~left[:, best]]
+    return chosen
 
 
 def responses(rows: DataFrame, landmarks: list[str], keep: int = SENTENCES) -> DataFrame:
@@ -274,7 +336,7 @@ def train(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS) -> Machi
     """Fit on the labelled sample. Without documents of both labels every score is the labels' share (0.5 without any)."""
     sample, share = labelled_sample(docs, labels, fit_docs)
     sample = materialise(sample, "toxicity-texts")
-    half = F.xxhash64(F.col("doc_id"), F.lit("half")) % 2 == 0
+    half = F.xxhash64(F.col("text"), F.lit("half")) % 2 == 0  # copies fall in one half
     landmarks = choose_landmarks(sample.where(half))
     if not landmarks or sample.where(~half).select("toxic").distinct().count() < 2:
         shares = [r["toxic"] for r in sample.select("toxic").limit(1).collect()]

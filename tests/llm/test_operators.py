@@ -250,6 +250,28 @@ def test_toxicity_tolerates_gaps(spark, odd, empty):
     assert sorted(toxicity.without_toxic(odd, marks).columns) == sorted(odd.columns)
 
 
+def test_toxicity_finds_stems_and_every_insult(spark):
+    """Insults of two kinds, one a stem with ever new endings and one that seldom stands alone, are both learnt."""
+    rng = random.Random(8)
+    letters = "abdegiklmnoprstuvz"
+
+    def word(n):
+        return "".join(rng.choice(letters) for _ in range(n))
+
+    docs = []
+    for i in range(900):
+        text = [word(rng.randrange(3, 9)) for _ in range(40)]
+        if i % 5 == 0:
+            text[rng.randrange(40)] = "qwerf" + word(rng.randrange(2, 7)) if i % 2 else "snotwhack"
+        docs.append((i, " ".join(text)))
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    machine = toxicity.train(table, spark.createDataFrame([(i, 1, int(i % 5 == 0)) for i, _ in docs], "doc_id long, quality int, toxic int"))
+    assert any(w.startswith("qwerf") for w in machine.landmarks) and "snotwhack" in machine.landmarks
+    asked = spark.createDataFrame([(1, "qwerfzuletta mino"), (2, "mino snot.whack"), (3, "mino zuletta"), (4, "mino.zuletta")], "doc_id long, text string")
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.score(asked, machine).selectExpr("doc_id", "int(score >= 0.5) AS predicted").collect()}
+    assert got == {1: 1, 2: 1, 3: 0, 4: 0}
+
+
 def test_gru_gradients_and_scores(spark, odd, empty):
     rng = np.random.default_rng(0)
     net = gru.Network(None, np.ones(gru.CLASSES * gru.SLOTS))
