@@ -1,22 +1,29 @@
-"""Line dedup by content-defined chunks of lines.
+"""Line dedup by exact runs of lines and by content-defined chunks of them.
 
-A text is read as lines; a line of ``LONG_WORDS`` words or more is read as the sentences it is made of, and chunks begin and end
-with it. Elsewhere a rolling hash over the hashes of two neighbouring lines chooses where a chunk ends, so that boundaries
-depend on the lines around them alone and inserted or dropped lines move no boundary beyond them. Chunks of several lines
-(or of one sentence of ``LONG_WORDS`` words) that occur more than once anywhere are removed, but for their first occurrence
-(smallest doc_id, then place).
+A text is read as units: its lines, and of a line of ``LONG_WORDS`` words or more the sentences it is made of. Two kinds of spans
+are looked for everywhere:
 
-Only hashes and places are matched across documents; whether equal hashes are equal chunks is decided by grouping on the bytes
-themselves. Chunks whose hash belongs to two different texts stay where they are. Everything is DataFrame expressions.
+- Runs: from every unit that has words on to the first unit that brings ``LONG_WORDS`` words, and the runs that end at a unit
+  and have no shorter ones with so many words. A passage of ``LONG_WORDS`` words or more is the union of the runs inside it, so
+  it is found whole wherever it stands, whatever its neighbours.
+- Chunks, for shorter passages: a rolling hash over the hashes of two neighbouring units chooses where a chunk ends, so that
+  boundaries depend on the units around them alone. They have several units (or one of ``LONG_WORDS`` words).
+
+Spans that occur more than once are removed, but for their first occurrence (smallest doc_id, then place). Hashes choose the
+candidates; whether they are equal is decided by grouping on the bytes themselves. Spans whose hash belongs to two different
+texts stay where they are. Everything is DataFrame expressions.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from landlens.llm.common import table
 from landlens.llm.fingerprints import let
+from landlens.session import materialise
 
 LONG_WORDS = 50
 #: One in so many places is a boundary.
@@ -24,6 +31,9 @@ DIVISOR = 3
 #: Chunks below this many words, or of a single short line, are too common to tell copies from chance.
 MIN_WORDS = 10
 MIN_LINES = 2
+#: Most runs end within so many units; the others are looked for among ``LONG_WORDS`` units, as each has a word.
+NEAR_UNITS = 10
+SPAN = "array<struct<k:int,s:int,n:int,h:bigint>>"
 
 
 def words_in(text: Column) -> Column:
@@ -31,8 +41,8 @@ def words_in(text: Column) -> Column:
     return F.size(F.filter(F.split(F.replace(text, F.lit("\n"), F.lit(" ")), " "), lambda w: w != ""))
 
 
-def chunks(text: Column) -> Column:
-    """array<struct(n, text)>: the chunks of a text in order, n lines each; their texts put together are the text."""
+def units(text: Column) -> Column:
+    """array<struct(u, first, last)>: lines, and the sentences of long lines; put together they are the text."""
 
     def line_units(line: Column) -> Column:
         sentences = F.filter(F.split(line, r"(?<=[.!?]\s)"), lambda s: s != "")
@@ -40,60 +50,149 @@ def chunks(text: Column) -> Column:
         whole = F.array(F.struct(line.alias("u"), F.lit(False).alias("first"), F.lit(False).alias("last")))
         return F.when((F.length(line) >= 2 * LONG_WORDS - 1) & (words_in(line) >= LONG_WORDS), own).otherwise(whole)
 
-    lines = F.filter(F.split(text, r"(?<=\n)"), lambda x: x != "")
+    lines = F.filter(F.split(F.coalesce(text, F.lit("")), r"(?<=\n)"), lambda x: x != "")
+    return F.flatten(F.transform(lines, line_units))
+
+
+def without_end(text: Column) -> Column:
+    """What follows a passage, a space or the end of a line, is no part of it."""
+    return F.rtrim(text, F.lit(" \n\r\t"))
+
+
+def joined(u: Column, s: Column, n: Column) -> Column:
+    return F.array_join(F.transform(F.slice(u, s + 1, n), lambda x: x["u"]), "")
+
+
+def chunk_spans(u: Column, words: Column, hashes: Column) -> Column:
+    """The chunks that count, as SPAN with k = -1."""
+    size = F.size(u)
+
+    def ends(i: Column) -> Column:  # is there a boundary behind unit i (from 1)?
+        here, after = F.get(u, i - 1), F.get(u, i)
+        # two neighbouring places are not both boundaries, and no sentence at the edge of a long line is left alone
+        chosen = [F.pmod(F.xxhash64(F.get(hashes, i - 2 - back), F.get(hashes, i - 1 - back)), F.lit(DIVISOR)) == 0 for back in (0, 1)]
+        return (i == size) | here["last"] | after["first"] | (chosen[0] & ~chosen[1] & ~here["first"] & ~after["last"])
+
+    def one(stops: Column, stop: Column, k: Column) -> Column:
+        start = F.when(k == 0, 0).otherwise(F.get(stops, k - 1))
+        return F.struct(F.lit(-1).alias("k"), start.alias("s"), (stop - start).alias("n"), F.xxhash64(F.slice(hashes, start + 1, stop - start)).alias("h"))
+
+    def counts(c: Column) -> Column:
+        def enough(total: Column) -> Column:
+            return (total >= MIN_WORDS) & ((c["n"] >= MIN_LINES) | (total >= LONG_WORDS))
+
+        return let(F.aggregate(F.slice(words, c["s"] + 1, c["n"]), F.lit(0), lambda a, w: a + w), enough)
+
+    stops = F.filter(F.sequence(F.lit(1), size), ends)
+    return F.filter(let(stops, lambda found: F.transform(found, lambda stop, k: one(found, stop, k))), counts)
+
+
+def with_reach(words: Column, body: Callable[[Column, Column], Column]) -> Column:
+    """``body`` of the places of the units that have words, and for each of these the number (in this list) of the one with
+    which ``LONG_WORDS`` words are reached, or null. There must be such a unit."""
+    places = F.filter(F.transform(words, lambda w, i: F.when(w > 0, i)), lambda i: i.isNotNull())
+
+    def reach(counts: Column, k: Column) -> Column:
+        def within(n: int) -> Column:
+            start = F.struct(F.lit(0).alias("sum"), F.lit(0).alias("n"))
+            total = F.aggregate(F.slice(counts, k + 1, n), start, lambda a, w: F.struct((a["sum"] + w).alias("sum"), (a["n"] + F.when(a["sum"] < LONG_WORDS, 1).otherwise(0)).alias("n")))
+            return let(total, lambda t: F.when(t["sum"] >= LONG_WORDS, k + t["n"] - 1))
+
+        return F.coalesce(within(NEAR_UNITS), within(LONG_WORDS))
+
+    def bound(p: Column) -> Column:
+        counts = F.filter(words, lambda w: w > 0)
+        reached = let(counts, lambda c: F.transform(c, lambda _, k: reach(c, k)))
+        return let(reached, lambda m: body(p, m))
+
+    return let(places, bound)
+
+
+def spans(text: Column) -> Column:
+    """SPAN: chunks, and the runs that start at each unit (k: its number among the units with words); n units from unit s on."""
+
+    def both(u: Column, words: Column, hashes: Column, edges: Column) -> Column:
+        def runs(p: Column, m: Column) -> Column:
+            def one(end: Column, k: Column) -> Column:
+                s, e = F.get(p, k), F.get(p, end)
+                return F.when(end.isNotNull(), F.struct(k.alias("k"), s.alias("s"), (e - s + 1).alias("n"), F.xxhash64(F.slice(hashes, s + 1, e - s), F.get(edges, e)).alias("h")))
+
+            return F.filter(F.transform(m, one), lambda x: x.isNotNull())
+
+        enough = F.aggregate(words, F.lit(0), lambda a, w: a + w) >= LONG_WORDS
+        chunks = chunk_spans(u, words, hashes)
+        return F.when(enough, F.concat(chunks.cast(SPAN), with_reach(words, runs).cast(SPAN))).otherwise(chunks.cast(SPAN))
+
+    def read(u: Column) -> Column:
+        facts = F.struct(
+            F.transform(u, lambda x: words_in(x["u"])).alias("words"),
+            F.transform(u, lambda x: F.xxhash64(x["u"])).alias("hashes"),
+            F.transform(u, lambda x: F.xxhash64(without_end(x["u"]))).alias("edges"),
+        )
+        return F.when(F.size(u) > 0, let(facts, lambda f: both(u, f["words"], f["hashes"], f["edges"])))
+
+    return F.coalesce(let(units(text), read), F.array().cast(SPAN))
+
 
-    def cut(units: Column, hashes: Column) -> Column:
-        n = F.size(units)
+def texts_of(text: Column, found: Column) -> Column:
+    """array<struct(s, n, text)>: the spans among ``found`` (k, s, n), and the longer runs from the same units on that are the
+    shortest with their end. A run's text is without the white space at its end."""
 
-        def ends(i: Column) -> Column:  # is there a boundary behind unit i (from 1)?
-            here, after = F.get(units, i - 1), F.get(units, i)
-            # two neighbouring places are not both boundaries, and no sentence at the edge of a long line is left alone
-            chosen = [F.pmod(F.xxhash64(F.get(hashes, i - 2 - back), F.get(hashes, i - 1 - back)), F.lit(DIVISOR)) == 0 for back in (0, 1)]
-            return (i == n) | here["last"] | after["first"] | (chosen[0] & ~chosen[1] & ~here["first"] & ~after["last"])
+    def each(u: Column) -> Column:
+        def take(p: Column, m: Column) -> Column:
+            def runs(k: Column) -> Column:
+                end = F.get(m, k)
+                last = F.greatest(end, F.coalesce(F.get(m, k + 1), F.size(p)) - 1)
+                s = F.get(p, k)
+                return F.transform(F.sequence(end, last), lambda e: let(F.get(p, e) - s + 1, lambda n: F.struct(s.alias("s"), n.alias("n"), without_end(joined(u, s, n)).alias("text"))))
 
-        def build(stops: Column) -> Column:
-            def one(stop: Column, k: Column) -> Column:
-                start = F.when(k == 0, 0).otherwise(F.get(stops, k - 1))
-                return F.struct((stop - start).alias("n"), F.array_join(F.transform(F.slice(units, start + 1, stop - start), lambda u: u["u"]), "").alias("text"))
+            def one(c: Column) -> Column:
+                return F.when(c["k"] >= 0, runs(c["k"])).otherwise(F.array(F.struct(c["s"].alias("s"), c["n"].alias("n"), joined(u, c["s"], c["n"]).alias("text"))))
 
-            return F.transform(stops, one)
+            return F.flatten(F.transform(found, one))
 
-        return let(F.filter(F.sequence(F.lit(1), n), ends), build)
+        return let(F.transform(u, lambda x: words_in(x["u"])), lambda words: with_reach(words, take))
 
-    units = F.flatten(F.transform(lines, line_units))
-    made = let(units, lambda u: F.when(F.size(u) > 0, let(F.transform(u, lambda x: F.xxhash64(x["u"])), lambda h: cut(u, h))))
-    return F.coalesce(made, F.array().cast("array<struct<n:int,text:string>>"))
+    return let(units(text), each)
 
 
 def repeated(docs: DataFrame) -> DataFrame:
-    """doc_id, drop array<int>: the chunk numbers (from 0) that go from each document that loses any."""
-    known = docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.posexplode(chunks(F.coalesce("text", F.lit("")))).alias("k", "c"))
-    words = words_in(F.col("c.text"))
-    wanted = (words >= MIN_WORDS) & ((F.col("c.n") >= MIN_LINES) | (words >= LONG_WORDS))
-    rows = known.where(wanted).select("doc_id", "k", F.col("c.text").alias("text")).withColumn("h", F.xxhash64("text"))
+    """doc_id, t (the text's hash), drop array<int>: the units (from 0) that go from each document that loses any."""
+    docs = docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.xxhash64("text").alias("t"), "text")
+    seeds = materialise(docs.select("doc_id", "t", F.explode(spans(F.col("text"))).alias("c")).select("doc_id", "t", "c.*"), "line-seeds")
+    # written first, so that the join on a frequent span's hash can be split
+    several = materialise(seeds.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "line-several")
+    found = seeds.join(several, "h", "left_semi").groupBy("doc_id", "t").agg(F.array_distinct(F.collect_list(F.struct("k", "s", "n"))).alias("found"))
+    found = materialise(found, "line-found")
     # a place as one number, so that its minimum needs no sort
-    place = F.col("doc_id").cast("decimal(20,0)") * F.lit(1 << 31).cast("decimal(10,0)") + F.col("k")
+    base = F.col("doc_id").cast("decimal(20,0)") * F.lit(1 << 31).cast("decimal(10,0)")
+    place = base + F.col("s")
+    rows = docs.join(found, ["doc_id", "t"]).select("doc_id", "t", F.explode(texts_of(F.col("text"), F.col("found"))).alias("c")).select("doc_id", "t", "c.*")
+    rows = rows.withColumn("h", F.xxhash64("text"))
     same = rows.groupBy("h", "text").agg(F.min(place).alias("first"), F.count("*").alias("n"))
     copies = same.groupBy("h").agg(F.count("*").alias("texts"), F.min("first").alias("first"), F.sum("n").alias("n")).where("texts = 1 AND n > 1")
-    found = rows.select("h", "doc_id", "k", place.alias("place")).join(copies.select("h", "first"), "h").where(F.col("place") != F.col("first"))
-    return found.groupBy("doc_id").agg(F.collect_list("k").alias("drop"))
+    copies = materialise(copies.select("h", "first"), "line-copies")
+    gone = rows.select("h", "doc_id", "t", "s", "n", place.alias("place"), base.alias("base")).join(copies, "h").where("place <> first")
+    # a copy that overlaps the first occurrence begins behind it
+    start = F.when(F.col("first") >= F.col("base"), F.greatest("s", (F.col("first") - F.col("base")).cast("int") + F.col("n"))).otherwise(F.col("s"))
+    gone = gone.select("doc_id", "t", start.alias("start"), (F.col("s") + F.col("n") - 1).alias("stop")).where("start <= stop").distinct()
+    return gone.groupBy("doc_id", "t").agg(F.array_distinct(F.flatten(F.collect_list(F.sequence("start", "stop")))).alias("drop"))
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
-    """``docs`` with repeated chunks removed from ``text``, and n_chunks and n_dropped beside it.
+    """``docs`` with repeated spans removed from ``text``, and n_dropped (units that went) beside it.
 
     All rows and other columns stay. Rows with a null doc_id are left as they are; rows with equal doc_ids count as copies of
-    each other's place, so equal chunks at equal places in them all stay. A null text stays null, an empty one empty.
+    each other's place, so equal spans at equal places in them all stay. A null text stays null, an empty one empty.
     """
-    drops = repeated(docs).select(F.col("doc_id").alias("__doc"), F.col("drop").alias("__drop"))
-    rows = docs.join(drops, docs["doc_id"] == F.col("__doc"), "left").drop("__doc")
-    made = chunks(F.coalesce(docs["text"], F.lit("")))
+    drops = repeated(docs).select(F.col("doc_id").alias("__doc"), F.col("t").alias("__t"), F.col("drop").alias("__drop"))
+    rows = docs.join(drops, (docs["doc_id"] == F.col("__doc")) & (F.xxhash64(docs["text"]) == F.col("__t")), "left").drop("__doc", "__t")
 
     def without(parts: Column) -> Column:
         left = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("__drop"))
-        return F.array_join(F.transform(left, lambda i: F.get(parts, i)["text"]), "")
+        return F.array_join(F.transform(left, lambda i: F.get(parts, i)["u"]), "")
 
-    return rows.withColumn("text", F.when(F.col("__drop").isNull(), F.col("text")).otherwise(let(made, without))).withColumn(
+    return rows.withColumn("text", F.when(F.col("__drop").isNull(), F.col("text")).otherwise(let(units(docs["text"]), without))).withColumn(
         "n_dropped", F.coalesce(F.size("__drop"), F.lit(0))
     ).drop("__drop")
 

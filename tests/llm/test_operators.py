@@ -193,6 +193,36 @@ def test_lines_keep_first_copies(spark, odd, empty):
     assert lines.dedup_lines(empty).count() == 0
 
 
+def test_lines_find_passages_between_unlike_neighbours(spark):
+    rng, rows, passages = random.Random(9), [], {}
+    own = lambda n: " ".join(f"own{rng.randrange(10**9)}" for _ in range(n))
+    shapes = [(4, 15), (5, 12), (6, 10), (8, 8), (17, 3), (52, 1), (3, 20), (20, 3)]
+    for k in range(80):
+        units, words = shapes[k % len(shapes)]
+        passages[k] = [own(words) for _ in range(units)]
+        sentences = k % 16 >= 8
+        for j in (0, 1):
+            around = [own(rng.randrange(1, 9)) for _ in range(6)]
+            if sentences:
+                text = " ".join(x + "." for x in [*around[:3], *passages[k], *around[3:]])
+            else:
+                text = "\n".join([*around[:3], "", *passages[k], *around[3 : 3 + rng.randrange(4)]])
+            rows.append((2 * k + j, text))
+    got = {r["doc_id"]: r["text"] for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k, passage in passages.items():
+        assert got[2 * k] == rows[2 * k][1]
+        assert not set(" ".join(passage).split()) & set(got[2 * k + 1].replace(".", " ").split())
+        assert set(rows[2 * k + 1][1].replace(".", " ").split()) - set(" ".join(passage).split()) <= set(got[2 * k + 1].replace(".", " ").split())
+
+
+def test_lines_keep_the_first_run_of_a_repeated_line(spark):
+    line = " ".join(f"w{k}" for k in range(20)) + "\n"
+    docs = spark.createDataFrame([(1, line * 12), (2, "a\n" + line * 9 + "b"), (3, "other text"), (3, "c\n" + line * 3)], "doc_id long, text string")
+    got = sorted((r["doc_id"], r["text"]) for r in lines.dedup_lines(docs).collect())
+    assert got[0][1].startswith(line * 3) and len(got[0][1]) < len(line) * 12
+    assert got[1:] == [(2, "a\nb"), (3, "c\n"), (3, "other text")]
+
+
 def test_near_copies_against_brute_force(spark, odd, empty):
     rng = random.Random(5)
     rows = []
