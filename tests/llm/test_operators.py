@@ -257,6 +257,21 @@ def test_near_copies_against_brute_force(spark, odd, empty):
     assert nearcopies.near_classes(empty).count() == 0
 
 
+def test_shingle_weights_against_brute_force(spark, empty):
+    rng = random.Random(8)
+    common = [f"c{k}" for k in range(40)]
+    rows = [(k, " ".join([*common[: rng.randrange(40)], *[f"w{rng.randrange(10**9)}" for _ in range(1500)]])) for k in range(1200)]
+    docs, shingle = spark.createDataFrame(rows, "doc_id long, text string"), nearcopies.Shingler()
+    weight = nearcopies.inverse_frequencies(docs)
+    sets = [shingle(t)[0] for _, t in rows]
+    df = collections.Counter(h for s in sets for h in s.tolist())
+    for h in sets[:50]:
+        assert np.allclose(weight(h), [math.log(math.log1p(len(rows) / df[x])) for x in h.tolist()])
+    few = nearcopies.inverse_frequencies(docs, listed=10)
+    assert 0 < len(few.listed) <= 10 and np.isclose(few.rest, math.log(math.log1p(len(rows))))
+    assert len(nearcopies.inverse_frequencies(empty).listed) == 0
+
+
 def test_toxicity_tolerates_gaps(spark, odd, empty):
     rng = random.Random(6)
     words = [f"{a}{b}{c}" for a in ("ban", "tor", "mel") for b in ("dil", "ven", "sor") for c in ("ka", "mo", "tu", "ly")]
