@@ -16,6 +16,9 @@ OPERATORS = [
     ("gru", "op8_gru_scores"),
     ("fingerprints", "op9_document_fingerprints"),
     ("topk", "op10_exact_top_k"),
+    ("repeats", "op11_periodic_runs"),
+    ("maintext", "op12_html_extraction"),
+    ("alignment", "op13_token_alignment"),
 ]
 
 
