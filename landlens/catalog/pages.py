@@ -21,6 +21,10 @@ def quiet_pages(spark, d):
     return listing_pages(spark, d).select("page_id", "url", H.drop_silent(F.col("html")).alias("quiet"))
 
 
+def cut_pages(spark, d):
+    return quiet_pages(spark, d).withColumn("tags", H.tags(F.col("quiet")))
+
+
 _FRONT = "CASE WHEN p_partkey % 8 = 0 THEN 7.5::DOUBLE WHEN p_partkey % 4 = 0 THEN NULL ELSE (p_size * 0.5)::DECIMAL(18,2)::DOUBLE END"
 _ROAD = "(p_size * 0.9)::DECIMAL(18,2)::DOUBLE"
 _PRICE = "CASE WHEN p_partkey % 50 <> 9 THEN p_retailprice::DECIMAL(18,2)::DOUBLE * 1000 END"
@@ -49,7 +53,7 @@ def h1_plain(spark, d):
 
 @query("h2_page_title", f"SELECT p_partkey AS page_id, {_TITLE} AS title FROM part")
 def h2(spark, d):
-    return quiet_pages(spark, d).select("page_id", H.page_title(F.col("quiet"), SITE).alias("title"))
+    return cut_pages(spark, d).select("page_id", H.page_title("tags", SITE).alias("title"))
 
 
 @query(
@@ -71,7 +75,7 @@ def h3_given(spark, d):
     f"SELECT p_partkey AS page_id, (p_size % 7)::DOUBLE AS bedrooms, (1 + p_size % 5)::DOUBLE AS bathrooms, (1 + p_size % 6)::DOUBLE AS floors, 'Đông - Nam' AS direction, {_ROAD} AS road_width, 'Sổ đỏ/Sổ hồng' AS legal_status, 'Đầy đủ' AS interior FROM part",
 )
 def h4(spark, d):
-    rows = quiet_pages(spark, d).select("page_id", P.spec_items(F.col("quiet")).alias("specs"))
+    rows = cut_pages(spark, d).select("page_id", P.spec_items("tags").alias("specs"))
     v = lambda f: P.spec_value(F.col("specs"), f)
     numbers = [clean_numeric(v(f)).alias(f) for f in ("bedrooms", "bathrooms", "floors", "road_width")]
     return rows.select("page_id", *numbers, *[v(f).alias(f) for f in ("direction", "legal_status", "interior")])
@@ -79,12 +83,12 @@ def h4(spark, d):
 
 @query("h5_area_and_frontage", f"SELECT p_partkey AS page_id, (p_size * 3)::DOUBLE AS area, {_FRONT} AS frontage FROM part")
 def h5(spark, d):
-    rows = quiet_pages(spark, d).select("page_id", "quiet", P.spec_items(F.col("quiet")).alias("specs"))
-    return rows.select("page_id", P.area_value(F.col("specs")).alias("area"), P.frontage_value(F.col("specs"), F.col("quiet")).alias("frontage"))
+    rows = cut_pages(spark, d).select("page_id", "tags", P.spec_items("tags").alias("specs"))
+    return rows.select("page_id", P.area_value(F.col("specs")).alias("area"), P.frontage_value(F.col("specs"), "tags").alias("frontage"))
 
 
 def _infos(spark, d):
-    return quiet_pages(spark, d).select("page_id", P.info_items(F.col("quiet")).alias("infos"))
+    return cut_pages(spark, d).select("page_id", P.info_items("tags").alias("infos"))
 
 
 @query("h6_total_price", f"SELECT p_partkey AS page_id, {_PRICE} AS price_total FROM part")
@@ -105,7 +109,7 @@ def h8(spark, d):
 
 @query("h9_price_trend", f"SELECT p_partkey AS page_id, {_TREND} AS price_trend_1y FROM part")
 def h9(spark, d):
-    return quiet_pages(spark, d).select("page_id", P.price_trend_value(F.col("quiet")).alias("price_trend_1y"))
+    return cut_pages(spark, d).select("page_id", P.price_trend_value("tags").alias("price_trend_1y"))
 
 
 @query(
@@ -113,15 +117,14 @@ def h9(spark, d):
     f"SELECT p_partkey AS page_id, p_size::DOUBLE AS lo, (p_size * 2)::DOUBLE AS hi, 'Đường D' || p_size || ', Phường ' || p_brand || ', Quận ' || p_size || ', Hồ Chí Minh' AS address, {_ID} AS product_id, p_partkey % 2 = 0 AS is_verified FROM part",
 )
 def h10(spark, d):
-    q = F.col("quiet")
-    return quiet_pages(spark, d).select(
+    found = cut_pages(spark, d).select(
         "page_id",
-        P.price_range(q, "min").alias("lo"),
-        P.price_range(q, "max").alias("hi"),
-        H.first_text(q, "re__address-line-1").alias("address"),
-        P.page_product_id(q, F.col("url"), F.lit("")).alias("product_id"),
-        (F.size(F.coalesce(H.elements(q, "marking-product__KYC"), F.array())) > 0).alias("is_verified"),
+        P.price_range("tags").alias("range"),
+        F.expr(H.first_text("tags", "re__address-line-1")).alias("address"),
+        P.page_product_id(F.col("quiet"), F.col("url"), F.lit("")).alias("product_id"),
+        P.is_verified("tags").alias("is_verified"),
     )
+    return found.select("page_id", F.col("range.lo").alias("lo"), F.col("range.hi").alias("hi"), "address", "product_id", "is_verified")
 
 
 _COLUMNS = ["product_id", "title", "url", "city", "district", "ward", "street", "price_total", "area", "frontage", "road_width", "bedrooms", "bathrooms", "floors", "legal_status", "price_trend_1y", "is_verified", "has_elevator", "posted_date", "expiry_date"]
@@ -142,7 +145,7 @@ def h11(spark, d):
 
 @query("h12_strict_backfill", f"SELECT {_URL} AS url, CASE WHEN p_partkey % 4 <> 0 THEN (p_size * 0.5)::DECIMAL(18,2)::DOUBLE END AS frontage, {_ROAD} AS road_width FROM part")
 def h12(spark, d):
-    pages = listing_pages(spark, d).select("url", P.strict_fields(F.col("html")).alias("f"))
+    pages = cut_pages(spark, d).select("url", P.spec_items("tags").alias("specs")).select("url", P.strict_fields(F.col("specs")).alias("f"))
     found = pages.select("url", F.col("f.frontage").alias("frontage"), F.col("f.road_width").alias("road_width"))
     base = listing_pages(spark, d).select("url", F.lit(None).cast("double").alias("frontage"), F.lit(None).cast("double").alias("road_width"))
     return update_by_key(base, found, "url", ["frontage", "road_width"])

@@ -1,4 +1,4 @@
-"""Page rules without a DOM: elements are found by class and cut at their own end tag.
+"""Page rules without a DOM: a page is cut into tags once; elements are runs of tags up to their own end tag.
 
 Every helper is a native column expression. Patterns use no nested repetition, so a
 broken page costs linear time and cannot exhaust the matcher's stack.
@@ -8,11 +8,13 @@ from __future__ import annotations
 
 import html as _entities
 import json
+from collections.abc import Callable
+from itertools import count
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import let, normalize_text
+from .text import SPACE, let, normalize_text
 
 NO_TEXT = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>|<template\b.*?</template\s*>"
 
@@ -87,74 +89,146 @@ def page_text(page: Column) -> Column:
     return inner_text(drop_silent(page), " ")
 
 
-def _open_tag(token: str) -> str:
-    """Opening tag whose class list holds the token; group 1 is the tag name."""
-    edge = r"[\w-]"
+def tags(quiet: Column) -> Column:
+    """Tags of a page after `drop_silent`, in order: array of (name, end, head, classes, text).
+
+    The page is cut once, at every "<". `head` is what stands between the angle brackets of
+    an opening tag, `classes` its class list with a space on both sides of every class, and
+    `text` what follows up to the next tag. Text in front of the first tag, and a "<" that
+    opens no tag, make entries without a name.
+    """
+
+    def entry(piece: Column, i: Column) -> Column:
+        head = F.regexp_extract(piece, r"^[a-zA-Z/!?][^>]*(?=>)", 0)
+
+        def parts(h: Column) -> Column:
+            # a class list is rare among tags, so most skip its pattern
+            listed = F.when(
+                h.contains("class") | h.contains("CLASS"), F.regexp_replace(_value(h, "class"), r"\s+", " ")
+            ).otherwise("")
+            return F.struct(
+                F.lower(F.regexp_extract(h, r"^/?([a-zA-Z][\w-]*)", 1)).alias("name"),
+                h.startswith("/").alias("end"),
+                F.when(h.startswith("/"), "").otherwise(h).alias("head"),
+                F.concat(F.lit(" "), listed, F.lit(" ")).alias("classes"),
+                F.substr(piece, F.length(h) + 2).alias("text"),
+            )
+
+        def plain(text: Column) -> Column:
+            return F.struct(
+                F.lit("").alias("name"), F.lit(False).alias("end"), F.lit("").alias("head"), F.lit(" ").alias("classes"), text.alias("text")
+            )
+
+        return let(
+            head, lambda h: F.when((i > 0) & (h != ""), parts(h)).otherwise(plain(F.when(i == 0, piece).otherwise(F.concat(F.lit("<"), piece))))
+        )
+
+    return F.transform(F.split(quiet, "<"), entry)
+
+
+# The rules below are SQL text over the name of a column (or of a lambda's variable): an
+# expression of many parts then reaches Spark in one call, where a column object takes a
+# call for every part of it. `F.expr` makes a column of the text.
+
+# Tags looked through for an end tag before all the rest of the page is.
+NEAR = 24
+_fresh = count()
+
+
+def bound(value: str, body: Callable[[str], str]) -> str:
+    """`let` for SQL text."""
+    name = f"b{next(_fresh)}"
+    return f"get(transform(array({value}), {name} -> {body(name)}), 0)"
+
+
+def _closing(inside: str, name: str) -> str:
+    """Number of tags in front of the one that ends an open element of a name, null when none does."""
     return (
-        rf"<([a-zA-Z][\w-]*)\b[^>]*?\bclass\s*=\s*(?:\"[^\">]*?(?<!{edge}){token}(?!{edge})[^\">]*\""
-        rf"|'[^'>]*?(?<!{edge}){token}(?!{edge})[^'>]*')[^>]*>"
+        f"aggregate({inside}, named_struct('depth', 1, 'n', 0), (s, t) -> CASE WHEN s.depth = 0 THEN s ELSE named_struct("
+        f"'depth', s.depth + CASE WHEN t.name <> {name} THEN 0 WHEN t.end THEN -1 ELSE 1 END, 'n', s.n + 1) END, "
+        "s -> CASE WHEN s.depth = 0 THEN s.n - 1 END)"
     )
 
 
-def _cut_at_end(chunk: Column, tag: Column) -> Column:
-    """The part of a chunk that lies before the end tag matching its opening tag."""
-    end = F.concat(F.lit("(?i)</"), tag, F.lit(r"\s*>"))
-    start = F.concat(F.lit("(?i)<"), tag, F.lit(r"(?=[\s>/])"))
-    zero = F.struct(F.lit(0).alias("n"), F.lit(1).alias("depth"))
-
-    def join_own(parts: Column) -> Column:
-        opens = F.transform(parts, lambda p: F.regexp_count(p, start))
-        found = F.aggregate(
-            opens,
-            zero,
-            lambda acc, o: F.when(acc["depth"] <= 0, acc).otherwise(
-                F.struct((acc["n"] + 1).alias("n"), (acc["depth"] + o - 1).alias("depth"))
-            ),
-        )
-        return F.call_function("array_join", F.slice(parts, 1, found["n"]), F.concat(F.lit("</"), tag, F.lit(">")))
+def elements(page: str, token: str, name: str | None = None) -> str:
+    """Elements of a class among tags, in page order: array of (name, head, classes, inner).
+
+    `inner` holds the tags inside an element; its first entry is the opening tag without its
+    name and classes, for the text behind it. An element that is never closed reaches to the
+    end. Without a token the elements of a tag name are found.
+    """
+    wanted = (f"contains(t.classes, ' {token} ') AND " if token else "") + (f"t.name = '{name}'" if name else "t.name <> ''")
 
-    return let(F.split(chunk, end), join_own)
+    def found(every: str) -> str:
+        def element(own: str) -> str:
+            near, rest = _closing(f"slice({every}, i + 2, {NEAR})", f"{own}.name"), _closing(f"slice({every}, i + 2, size({every}))", f"{own}.name")
+            first = f"named_struct('name', '', 'end', false, 'head', '', 'classes', ' ', 'text', {own}.text)"
+            inner = f"concat(array({first}), slice({every}, i + 2, coalesce({near}, {rest}, size({every}))))"
+            return f"named_struct('name', {own}.name, 'head', {own}.head, 'classes', {own}.classes, 'inner', {inner})"
 
+        places = f"filter(transform({every}, (t, k) -> CASE WHEN {wanted} AND NOT t.end THEN k END), k -> k IS NOT NULL)"
+        return f"transform({places}, i -> {bound(f'get({every}, i)', element)})"
 
-def elements(markup: Column, token: str) -> Column:
-    """Elements of a class in page order: array of (head = opening tag, body = inner markup)."""
-    pattern = "(?s)" + _open_tag(token)
-    heads = F.regexp_extract_all(markup, F.lit(pattern), F.lit(0))
-    tags = F.regexp_extract_all(markup, F.lit(pattern), F.lit(1))
-    pieces = F.split(markup, pattern)
-    bodies = F.slice(pieces, 2, F.greatest(F.size(pieces), F.lit(1)))
+    return bound(page, found)
 
-    def build(head_tag: Column, body: Column) -> Column:
-        return F.struct(
-            head_tag["head"].alias("head"), _cut_at_end(body, head_tag["tag"]).alias("body")
-        )
 
-    pairs = F.zip_with(heads, tags, lambda h, t: F.struct(h.alias("head"), t.alias("tag")))
-    return F.when(markup.contains(token), F.zip_with(pairs, bodies, build))
+def has_class(page: str, token: str) -> str:
+    return f"exists({page}, t -> contains(t.classes, ' {token} '))"
 
 
-def first_body(markup: Column, token: str) -> Column:
-    return F.get(elements(markup, token), F.lit(0))["body"]
+def _normalized(text: str) -> str:
+    return f"btrim(regexp_replace({text}, {literal(f'(?U){SPACE}+')}, ' '))"
 
 
-def first_text(markup: Column, token: str) -> Column:
+def tag_text(inner: str, gap: str = "") -> str:
+    """Text of a run of tags: tags become `gap`, references are decoded."""
+    text = f"array_join(transform({inner}, t -> t.text), '{gap}')"
+    return _normalized(_decoded(text))
+
+
+def first_inner(page: str, token: str, name: str | None = None) -> str:
+    return f"get({elements(page, token, name)}, 0).inner"
+
+
+def first_text(page: str, token: str, name: str | None = None) -> str:
     """Normalised text of the first element of a class, null when there is none."""
-    return inner_text(first_body(markup, token))
+    return tag_text(first_inner(page, token, name))
+
+
+def literal(text: str) -> str:
+    """SQL string literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _decoded(text: str) -> str:
+    for mark, reference in reversed(MARKUP.items()):
+        text = f"replace({text}, {literal(reference)}, {literal(mark)})"
+    return text
+
+
+def attribute(head: str, name: str) -> str:
+    """Attribute value of an opening tag, null when it is absent or empty."""
+
+    def value(found: str) -> str:
+        plain = f"CASE WHEN left({found}, 1) IN ({literal(QUOTES[0])}, {literal(QUOTES[1])}) THEN substr({found}, 2, length({found}) - 2) ELSE {found} END"
+        return f"nullif({_decoded(plain)}, '')"
+
+    return bound(f"regexp_extract({head}, {literal(_VALUE.format(name=name))}, 1)", value)
+
+
+QUOTES = "\"'"
+_VALUE = r"""(?is)\s{name}\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
 
 
-def attribute(head: Column, name: str) -> Column:
-    """Attribute value of an opening tag, null when it is absent."""
-    double = F.regexp_extract(head, rf"(?is)\s{name}\s*=\s*\"([^\"]*)\"", 1)
-    single = F.regexp_extract(head, rf"(?is)\s{name}\s*=\s*'([^']*)'", 1)
-    bare = F.regexp_extract(head, rf"(?is)\s{name}\s*=\s*([^\s\"'>]+)", 1)
-    found = F.coalesce(F.nullif(double, F.lit("")), F.nullif(single, F.lit("")), F.nullif(bare, F.lit("")))
-    return unescape(found)
+def _value(head: Column, name: str) -> Column:
+    """Value of an attribute as it is written, empty when it is absent."""
+    found = F.regexp_extract(head, _VALUE.format(name=name), 1)
+    return F.when(F.substr(found, F.lit(1), F.lit(1)).isin(*QUOTES), F.substr(found, F.lit(2), F.length(found) - 2)).otherwise(found)
 
 
-def page_title(quiet: Column, site: str, fallback: Column | None = None) -> Column:
-    """First h1, else the title element, of a page after `drop_silent`; the site suffix is removed."""
-    h1 = F.get(F.regexp_extract_all(quiet, F.lit(r"(?is)<h1\b[^>]*>(.*?)</h1\s*>"), F.lit(1)), F.lit(0))
-    title = F.get(F.regexp_extract_all(quiet, F.lit(r"(?is)<title\b[^>]*>(.*?)</title\s*>"), F.lit(1)), F.lit(0))
-    text = F.coalesce(inner_text(h1, " "), inner_text(title, " "), fallback if fallback is not None else F.lit(""))
+def page_title(page: str, site: str, fallback: Column | None = None) -> Column:
+    """First h1, else the title element, of a page's tags; the site suffix is removed."""
+    h1, title = (F.expr(tag_text(first_inner(page, "", name), " ")) for name in ("h1", "title"))
+    text = F.coalesce(h1, title, fallback if fallback is not None else F.lit(""))
     suffix = r"(?iU)\s*\|\s*" + site.replace(".", r"\.") + r".*$"
     return F.regexp_replace(text, suffix, "") if site else text

@@ -69,16 +69,69 @@ def _accent_tables() -> tuple[str, str, str, str]:
 
 
 def strip_accents(s: Column) -> Column:
-    """Letters without their marks; ligatures and compatibility forms spelled out."""
+    """Letters without their marks; ligatures and compatibility forms spelled out.
+
+    Characters with a longer spelling are looked up once per text, however often they occur.
+    """
     singles, targets, marks, longer = _accent_tables()
     long_chars = "".join(json.loads(longer))
     table = F.from_json(F.lit(longer), "map<string,string>")
-    simple = F.translate(s, singles + marks, targets)
-    spelled = F.array_join(
-        F.transform(F.split(simple, ""), lambda c: F.coalesce(F.try_element_at(table, c), c)), ""
-    )
-    has_long = F.length(F.translate(s, long_chars, "")) != F.length(s)
-    return F.when(~s.rlike(r"[^\x00-\x7f]"), s).when(has_long, spelled).otherwise(simple)
+    ascii_chars = "".join(map(chr, range(0x80)))
+
+    def spelled(simple: Column) -> Column:
+        others = F.array_distinct(F.split(F.translate(simple, ascii_chars, ""), ""))
+        hits = F.filter(
+            F.transform(others, lambda c: F.struct(c.alias("char"), F.try_element_at(table, c).alias("plain"))), lambda h: h["plain"].isNotNull()
+        )
+        return F.aggregate(hits, simple, lambda acc, h: F.replace(acc, h["char"], h["plain"]))
+
+    def folded(simple: Column) -> Column:
+        has_long = F.length(F.translate(simple, long_chars, "")) != F.length(simple)
+        return F.when(has_long, spelled(simple)).otherwise(simple)
+
+    return F.when(~s.rlike(r"[^\x00-\x7f]"), s).otherwise(let(F.translate(s, singles + marks, targets), folded))
+
+
+@lru_cache(maxsize=1)
+def _composed_letters() -> str:
+    """JSON of letter + mark -> composed letter over the basic plane, by rule from the Unicode database.
+
+    A letter of several marks is reached from each of its marks last, so their order in a text does not matter.
+    """
+    table = {}
+    for code in range(0xC0, 0x10000):
+        if 0xAC00 <= code <= 0xD7A3 or 0xD800 <= code <= 0xDFFF:
+            continue
+        letter = chr(code)
+        base, *marks = unicodedata.normalize("NFD", letter)
+        if not marks or unicodedata.normalize("NFC", letter) != letter:
+            continue
+        for k, mark in enumerate(marks):
+            rest = unicodedata.normalize("NFC", base + "".join(marks[:k] + marks[k + 1 :]))
+            if len(rest) == 1 and unicodedata.normalize("NFC", rest + mark) == letter:
+                table[rest + mark] = letter
+    return json.dumps(table, ensure_ascii=False)
+
+
+def compose(s: Column) -> Column:
+    """Letters and the marks behind them as composed letters, where there are such.
+
+    Only the distinct runs of a letter and its marks are looked up, the longest first.
+    """
+    table = F.from_json(F.lit(_composed_letters()), "map<string,string>")
+
+    def letter(run: Column) -> Column:
+        def joined(chars: Column) -> Column:
+            def add(acc: Column, mark: Column) -> Column:
+                return let(F.concat(acc, mark), lambda both: F.coalesce(F.try_element_at(table, both), both))
+
+            return F.aggregate(F.slice(chars, 2, F.size(chars)), F.get(chars, F.lit(0)), add)
+
+        return F.struct((-F.length(run)).alias("order"), run.alias("run"), let(F.split(run, ""), joined).alias("letter"))
+
+    runs = F.array_distinct(F.regexp_extract_all(s, F.lit(r"\P{M}\p{M}+"), F.lit(0)))
+    composed = F.aggregate(F.array_sort(F.transform(runs, letter)), s, lambda acc, r: F.replace(acc, r["run"], r["letter"]))
+    return F.when(s.rlike(r"\p{M}"), composed).otherwise(s)
 
 
 def canonical(s: Column, fold_d: bool = False) -> Column:
@@ -117,6 +170,7 @@ def clean_numeric(s: Column) -> Column:
     return let(number, plain).try_cast("double")
 
 
+# Fixed value: how prices in millions are written, on the accent-free key.
 _MILLION = r"trieu|\btr\.?/"
 
 
@@ -206,7 +260,12 @@ def _date_below(lines: Column, label: str) -> Column:
 
 
 def numeric_features(text: Column, lines: Column, line_labels: tuple[str, str] = ("ngay dang", "ngay het han")) -> dict[str, Column]:
-    """The twelve figures of a free text, each by its ordered patterns."""
+    """The twelve figures of a free text, each by its ordered patterns; marks may stand apart from their letters."""
+    return figures_of_composed(compose(text), lines, line_labels)
+
+
+def figures_of_composed(text: Column, lines: Column, line_labels: tuple[str, str] = ("ngay dang", "ngay het han")) -> dict[str, Column]:
+    """`numeric_features` of a text that `compose` gave."""
     from .dates import parse_date
 
     raw = {name: first_match(text, patterns) for name, patterns in FEATURE_PATTERNS.items()}

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import ParseException
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import let
@@ -28,34 +29,19 @@ def bind_parameters(parameters: Sequence[Mapping]) -> dict:
     return args
 
 
-def is_query(spark: SparkSession, sql: str) -> bool:
-    """Does Spark's parser read the text as one query that writes and defines nothing? Nothing runs."""
-    jvm, plans = spark._jvm, "org.apache.spark.sql.catalyst.plans.logical"
-    refused = [jvm.java.lang.Class.forName(f"{plans}.{c}") for c in ("Command", "ParsedStatement", "InsertIntoDir")]
-    try:
-        nodes = [spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)]
-    except Exception as error:  # the parser's own words
-        raise ValueError(f"one SELECT statement is expected: {error}") from error
-    while nodes:
-        node = nodes.pop()
-        if any(c.isInstance(node) for c in refused):
-            return False
-        children = node.children()
-        nodes += [children.apply(i) for i in range(children.size())]
-    return True
-
-
 def ask(df: DataFrame, sql: str, parameters: Sequence[Mapping] = (), name: str = "listings") -> DataFrame:
     """Run one SELECT over a table with typed parameters.
 
-    Values travel as parameter markers, never as text. The input cannot change: the
-    statement must be a query, and frames are immutable.
+    Values travel as parameter markers, never as text. The statement is asked as a subquery, where nothing but a query can
+    stand, so it writes and defines nothing; the table's name holds inside it only, and the session's own views stay.
     """
-    text = sql.strip().rstrip(";")
-    if not text or not is_query(df.sparkSession, text):
+    text = sql.strip().rstrip(";").replace("{", "{{").replace("}", "}}")
+    if not text:
         raise ValueError("one SELECT statement is expected")
-    df.createOrReplaceTempView(name)
-    return df.sparkSession.sql(text, args=bind_parameters(parameters))
+    try:
+        return df.sparkSession.sql(f"WITH `{name}` AS (SELECT * FROM {{asked}}) SELECT * FROM (\n{text}\n)", args=bind_parameters(parameters), asked=df)
+    except ParseException as error:
+        raise ValueError(f"one SELECT statement is expected: {error}") from error
 
 
 def records_json(df: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from ..functions.address import parse_address, parse_location
 from ..functions.dates import default_dates
 from ..functions.description import section_description
 from ..functions.rules import contains_any
+from ..functions.text import let
 from ..session import materialise
 
 # Markers of blocked pages and class names of the listing site's markup.
@@ -49,45 +50,48 @@ def is_blocked(html: Column) -> Column:
     return F.coalesce(html == "", F.lit(True)) | contains_any(low, BLOCK_STRONG) | weak
 
 
-def spec_items(quiet: Column) -> Column:
-    """Array of (title, key, value, strict) for the specification items of a page.
+def spec_items(tags: str) -> Column:
+    """Array of (title, key, value, strict) for the specification items among a page's tags.
 
     `strict` marks items that have both a title and a value element.
     """
+    title, value = (H.first_text("e.inner", f"{SPEC_ITEM}-{part}") for part in ("title", "value"))
+    items = F.expr(
+        f"transform({H.elements(tags, SPEC_ITEM)}, e -> named_struct('title', {title}, 'value', {value}, "
+        f"'attr', {H.attribute('e.head', 'title')}, 'text', {H.tag_text('e.inner')}))"
+    )
 
-    def item(e: Column) -> Column:
-        title = H.first_text(e["body"], SPEC_ITEM + "-title")
-        value = H.first_text(e["body"], SPEC_ITEM + "-value")
-        shown = F.coalesce(title, H.attribute(e["head"], "title"), F.lit(""))
-        return F.struct(
-            shown.alias("title"),
-            F.coalesce(value, H.inner_text(e["body"])).alias("value"),
-            (title.isNotNull() & value.isNotNull()).alias("strict"),
+    def item(i: Column) -> Column:
+        return let(
+            F.coalesce(i["title"], i["attr"], F.lit("")),
+            lambda shown: F.struct(
+                F.lower(shown).alias("title"),
+                T.canonical(shown).alias("key"),
+                F.coalesce(i["value"], i["text"]).alias("value"),
+                (i["title"].isNotNull() & i["value"].isNotNull()).alias("strict"),
+            ),
         )
 
-    items = F.transform(H.elements(quiet, SPEC_ITEM), item)
-    return F.transform(
-        items,
-        lambda i: F.struct(
-            F.lower(i["title"]).alias("title"), T.canonical(i["title"]).alias("key"), i["value"].alias("value"), i["strict"].alias("strict")
-        ),
-    )
+    return F.transform(items, item)
 
 
-def info_items(quiet: Column) -> Column:
-    """Array of (title, attr, value, text) for the short-info items of a page."""
+def info_items(tags: str) -> Column:
+    """Array of (title, attr, value, text) for the short-info items among a page's tags."""
+    title, value = (H.first_text("e.inner", part) for part in ("title", "value"))
+    items = F.expr(
+        f"transform({H.elements(tags, INFO_ITEM)}, e -> named_struct('title', {title}, 'value', {value}, "
+        f"'attr', coalesce({H.attribute('e.head', 'title')}, ''), 'text', {H.tag_text('e.inner')}))"
+    )
 
-    def item(e: Column) -> Column:
-        attr = F.coalesce(H.attribute(e["head"], "title"), F.lit(""))
-        text = H.inner_text(e["body"])
+    def item(i: Column) -> Column:
         return F.struct(
-            T.canonical(F.coalesce(H.first_text(e["body"], "title"), attr)).alias("title"),
-            F.lower(attr).alias("attr"),
-            F.coalesce(H.first_text(e["body"], "value"), text).alias("value"),
-            text.alias("text"),
+            T.canonical(F.coalesce(i["title"], i["attr"])).alias("title"),
+            F.lower(i["attr"]).alias("attr"),
+            F.coalesce(i["value"], i["text"]).alias("value"),
+            i["text"].alias("text"),
         )
 
-    return F.transform(H.elements(quiet, INFO_ITEM), item)
+    return F.transform(items, item)
 
 
 def spec_value(specs: Column, field: str) -> Column:
@@ -112,16 +116,23 @@ def area_value(specs: Column) -> Column:
     return T.clean_numeric(hit["value"])
 
 
-def frontage_value(specs: Column, quiet: Column) -> Column:
-    """Frontage item, else an `ext` span that names the frontage and no price."""
+def listed_frontage(specs: Column) -> Column:
     own = F.filter(specs, lambda i: ~i["key"].contains("dien tich") & i["key"].contains("mat tien"))
-    listed = T.clean_numeric(F.get(F.reverse(own), F.lit(0))["value"])
-    spans = F.filter(H.elements(quiet, "ext"), lambda e: F.lower(e["head"]).startswith("<span"))
-    texts = F.transform(spans, lambda e: H.inner_text(e["body"]))
+    return T.clean_numeric(F.get(F.reverse(own), F.lit(0))["value"])
+
+
+def span_frontage(tags: str) -> Column:
+    """Figure of the first `ext` span that names the frontage and no price."""
+    texts = F.expr(f"transform({H.elements(tags, 'ext', 'span')}, e -> {H.tag_text('e.inner')})")
     named = F.filter(
         texts, lambda x: ~contains_any(F.lower(x), PRICE_UNITS) & T.canonical(x).contains("mat tien")
     )
-    return F.coalesce(listed, T.clean_numeric(F.get(named, F.lit(0))))
+    return T.clean_numeric(F.get(named, F.lit(0)))
+
+
+def frontage_value(specs: Column, tags: str) -> Column:
+    """Frontage item, else the span's."""
+    return F.coalesce(listed_frontage(specs), span_frontage(tags))
 
 
 def total_price_value(infos: Column) -> Column:
@@ -129,7 +140,7 @@ def total_price_value(infos: Column) -> Column:
 
     def priced(i: Column) -> Column:
         amount = T.clean_numeric(i["text"])
-        scale = T.let(
+        scale = let(
             T.canonical(i["text"]),
             lambda k: F.when(k.contains("ty"), 1000.0).when(k.contains("trieu") | k.contains("tr"), 1.0),
         )
@@ -150,26 +161,33 @@ def post_rank_value(infos: Column) -> Column:
     return F.nullif(F.get(hits, F.lit(0))["value"], F.lit(""))
 
 
-def price_trend_value(quiet: Column) -> Column:
+def price_trend_value(tags: str) -> Column:
     """Trend figure; a block of the falling class makes it negative."""
-    block = F.get(H.elements(quiet, "re__block-ldp-pricing-cta"), F.lit(0))
-    value = T.clean_numeric(H.first_text(block["body"], "cta-number"))
-    falling = H.attribute(block["head"], "class").contains("down-trend")
-    signed = F.when(falling, -F.abs(value)).otherwise(value)
-    old = F.filter(
-        H.elements(quiet, r"re__chart-col"), lambda e: H.attribute(e["head"], "class").rlike(r"(^|\s)re__col-2(\s|$)")
-    )
-    strong = F.regexp_extract(F.get(old, F.lit(0))["body"], r"(?is)<strong\b[^>]*>(.*?)</strong\s*>", 1)
-    return F.coalesce(signed, T.clean_numeric(H.inner_text(strong)))
+    block = f"transform({H.elements(tags, 're__block-ldp-pricing-cta')}, e -> named_struct('classes', e.classes, 'text', {H.first_text('e.inner', 'cta-number')}))"
+    charts = f"filter({H.elements(tags, 're__chart-col')}, e -> contains(e.classes, ' re__col-2 '))"
+    old = f"transform({charts}, e -> {H.first_text('e.inner', '', 'strong')})"
+
+    def figure(first: Column) -> Column:
+        value = T.clean_numeric(first["text"])
+        return F.when(first["classes"].contains("down-trend"), -F.abs(value)).otherwise(value)
 
+    return F.coalesce(let(F.get(F.expr(block), F.lit(0)), figure), T.clean_numeric(F.get(F.expr(old), F.lit(0))))
 
-def price_range(quiet: Column, side: str) -> Column:
-    return T.clean_numeric(H.first_text(H.first_body(quiet, "meter-range"), side))
+
+def price_range(tags: str) -> Column:
+    """Struct(lo, hi) of the range block, which is cut once for both."""
+    both = H.bound(H.first_inner(tags, "meter-range"), lambda b: f"named_struct('lo', {H.first_text(b, 'min')}, 'hi', {H.first_text(b, 'max')})")
+    return let(F.expr(both), lambda r: F.struct(T.clean_numeric(r["lo"]).alias("lo"), T.clean_numeric(r["hi"]).alias("hi")))
+
+
+def is_verified(tags: str) -> Column:
+    return F.coalesce(F.expr(H.has_class(tags, "marking-product__KYC")), F.lit(False))
 
 
 def page_product_id(quiet: Column, url: Column, text: Column) -> Column:
     head = F.nullif(F.regexp_extract(quiet, r"(?is)<[a-z][^>]*\bid\s*=\s*[\"']?product-detail-web(?![\w-])[^>]*>", 0), F.lit(""))
-    return F.coalesce(F.nullif(F.btrim(H.attribute(head, "prid")), F.lit("")), T.product_id(url, text))
+    own = F.regexp_extract(head, r"(?is)\sprid\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", 0)
+    return F.coalesce(F.nullif(F.btrim(F.regexp_replace(own, r"(?is)^\sprid\s*=\s*[\"']?|[\"']$", "")), F.lit("")), T.product_id(url, text))
 
 
 def non_zero(x: Column) -> Column:
@@ -180,21 +198,26 @@ def non_zero(x: Column) -> Column:
 def page_fields(pages: DataFrame, site: str, as_of: Column, fold_d: bool = True) -> DataFrame:
     """All listing fields of each page, before validation.
 
-    Each stage is its own projection, so a page is stripped once and its items are cut
-    once, whatever number of fields reads them.
+    Each stage is its own projection, so a page is stripped and cut into tags once, and its
+    items are built once, whatever number of fields reads them.
     """
     quiet = pages.select(
         "url", is_blocked(F.col("html")).alias("blocked"), H.drop_silent(F.col("html")).alias("quiet")
     )
-    parts = quiet.select(
+    cut = quiet.withColumn("tags", H.tags(F.col("quiet")))
+    parts = cut.select(
         "url",
         "blocked",
         "quiet",
-        H.page_title(F.col("quiet"), site).alias("page_title"),
-        H.inner_text(F.col("quiet"), " ").alias("text"),
-        spec_items(F.col("quiet")).alias("specs"),
-        info_items(F.col("quiet")).alias("infos"),
-        H.first_text(F.col("quiet"), "re__address-line-1").alias("address_line"),
+        H.page_title("tags", site).alias("page_title"),
+        T.compose(H.inner_text(F.col("quiet"), " ")).alias("text"),
+        spec_items("tags").alias("specs"),
+        info_items("tags").alias("infos"),
+        F.expr(H.first_text("tags", "re__address-line-1")).alias("address_line"),
+        price_range("tags").alias("range"),
+        price_trend_value("tags").alias("price_trend_1y"),
+        is_verified("tags").alias("marked"),
+        span_frontage("tags").alias("span_frontage"),
     )
     lines = F.filter(F.array("text"), lambda x: x != "")
     # The visible text is one line, so it is also its own key source.
@@ -203,7 +226,7 @@ def page_fields(pages: DataFrame, site: str, as_of: Column, fold_d: bool = True)
     )
     near = parse_address(F.col("address_line"), fold_d)
     far = parse_location(F.col("lines"), F.col("page_title"), fold_d)
-    text_figures = T.numeric_features(F.col("text"), F.col("lines"))
+    text_figures = T.figures_of_composed(F.col("text"), F.col("lines"))
     placed = keyed.withColumns(
         {
             "near": near,
@@ -215,7 +238,10 @@ def page_fields(pages: DataFrame, site: str, as_of: Column, fold_d: bool = True)
 
     spec = lambda f: spec_value(F.col("specs"), f)
     figure = lambda f: F.col(f"fig.{f}")
-    count = lambda f: F.coalesce(non_zero(F.floor(T.clean_numeric(spec(f))).cast("double")), figure(f).cast("double")).cast("int")
+    whole = lambda f: non_zero(F.floor(T.clean_numeric(spec(f))).cast("double"))
+    count = lambda f: F.coalesce(whole(f), figure(f).cast("double")).cast("int")
+    # an item for the floors stands for one floor at least
+    floors = F.coalesce(whole("floors"), F.when(spec("floors").isNotNull(), 1.0), figure("floors").cast("double")).cast("int")
     filled = lambda c: F.nullif(c, F.lit(""))
     posted, expiry = default_dates(figure("posted_date"), figure("expiry_date"), as_of)
     verified_words = ["tin xac thuc", "da xac thuc"]
@@ -231,25 +257,22 @@ def page_fields(pages: DataFrame, site: str, as_of: Column, fold_d: bool = True)
         F.col("place.full_address").alias("full_address"),
         F.coalesce(non_zero(total_price_value(F.col("infos"))), figure("price_total") * 1000.0).alias("price_total"),
         F.coalesce(non_zero(unit_price_value(F.col("infos"))), figure("price_per_m2")).alias("price_per_m2"),
-        price_range(F.col("quiet"), "min").alias("price_min_range"),
-        price_range(F.col("quiet"), "max").alias("price_max_range"),
+        F.col("range.lo").alias("price_min_range"),
+        F.col("range.hi").alias("price_max_range"),
         F.coalesce(non_zero(area_value(F.col("specs"))), figure("area")).alias("area"),
         F.coalesce(
-            non_zero(frontage_value(F.col("specs"), F.col("quiet"))), non_zero(T.clean_numeric(spec("frontage"))), figure("frontage")
+            non_zero(F.coalesce(listed_frontage(F.col("specs")), F.col("span_frontage"))), non_zero(T.clean_numeric(spec("frontage"))), figure("frontage")
         ).alias("frontage"),
         F.coalesce(non_zero(T.clean_numeric(spec("road_width"))), figure("road_width")).alias("road_width"),
         count("bedrooms").alias("bedrooms"),
         count("bathrooms").alias("bathrooms"),
-        count("floors").alias("floors"),
+        floors.alias("floors"),
         F.coalesce(filled(spec("direction")), figure("direction")).alias("direction"),
         spec("interior").alias("interior"),
         F.coalesce(filled(spec("legal_status")), figure("legal_status")).alias("legal_status"),
         F.coalesce(post_rank_value(F.col("infos")), F.lit("")).alias("post_rank"),
-        price_trend_value(F.col("quiet")).alias("price_trend_1y"),
-        (
-            (F.size(F.coalesce(H.elements(F.col("quiet"), "marking-product__KYC"), F.array())) > 0)
-            | contains_any(F.col("text_key"), verified_words)
-        ).alias("is_verified"),
+        "price_trend_1y",
+        (F.col("marked") | contains_any(F.col("text_key"), verified_words)).alias("is_verified"),
         F.col("amenity.has_elevator").alias("has_elevator"),
         F.col("amenity.near_park").alias("near_park"),
         F.col("amenity.is_frontage_road").alias("is_frontage_road"),
@@ -289,25 +312,36 @@ def split_listings(pages: DataFrame, site: str, as_of: Column, fold_d: bool = Tr
     return valid, table.where(F.col("reject_reason").isNotNull())
 
 
-def strict_fields(html: Column) -> Column:
+def strict_fields(specs: Column) -> Column:
     """Struct(frontage, road_width) read only from exact specification titles.
 
     Values that name a price or an area unit are skipped; the first figure wins.
     """
-    specs = spec_items(H.drop_silent(html))
 
-    def figure(items: Column, label: str) -> Column:
-        own = F.filter(items, lambda i: i["strict"] & (i["key"] == label) & ~contains_any(F.lower(i["value"]), PRICE_UNITS))
+    def figure(label: str) -> Column:
+        own = F.filter(specs, lambda i: i["strict"] & (i["key"] == label) & ~contains_any(F.lower(i["value"]), PRICE_UNITS))
         values = F.filter(F.transform(own, lambda i: T.clean_numeric(i["value"])), lambda x: x.isNotNull())
         return F.get(values, F.lit(0))
 
-    return T.let(
-        specs,
-        lambda items: F.struct(
-            figure(items, T.plain_key("Mặt tiền")).alias("frontage"),
-            figure(items, T.plain_key("Đường vào")).alias("road_width"),
-        ),
-    )
+    return F.struct(figure(T.plain_key("Mặt tiền")).alias("frontage"), figure(T.plain_key("Đường vào")).alias("road_width"))
+
+
+def resolved_path(reference: Column) -> Column:
+    """An absolute path, with what follows it, without its `.` and `..` segments."""
+    path = F.regexp_extract(reference, r"^[^?#]*", 0)
+
+    def step(kept: Column, part: Column) -> Column:
+        up = F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(0)))
+        return F.when(part == "..", up).when(part == ".", kept).otherwise(F.concat(kept, F.array(part)))
+
+    def clean(parts: Column) -> Column:
+        kept = F.aggregate(F.slice(parts, 2, F.size(parts)), F.array().cast("array<string>"), step)
+        # a path that ends in a dot segment names a folder
+        folder = F.when(F.element_at(parts, -1).isin(".", ".."), F.lit("/")).otherwise("")
+        return let(F.concat(F.lit("/"), F.array_join(kept, "/")), lambda p: F.concat(p, F.when(p == "/", "").otherwise(folder)))
+
+    dotted = F.concat(let(F.split(path, "/"), clean), F.substr(reference, F.length(path) + 1))
+    return F.when(path.rlike(r"/\.\.?(?:/|$)"), dotted).otherwise(reference)
 
 
 def page_links(pages: DataFrame, host: str) -> DataFrame:
@@ -328,11 +362,11 @@ def page_links(pages: DataFrame, host: str) -> DataFrame:
     absolute = (
         F.when(link.rlike(r"^[a-zA-Z][\w+.-]*:"), link)
         .when(link.startswith("//"), F.concat(scheme, F.lit(":"), link))
-        .when(link.startswith("/"), F.concat(origin, link))
+        .when(link.startswith("/"), F.concat(origin, resolved_path(link)))
         .when(link.startswith("?"), F.concat(origin, path, link))
         .when(link.startswith("#"), F.concat(F.regexp_replace("url", r"#.*$", ""), link))
         .when(link == "", F.col("url"))
-        .otherwise(F.concat(origin, F.when(folder == "", "/").otherwise(folder), link))
+        .otherwise(F.concat(origin, resolved_path(F.concat(F.when(folder == "", "/").otherwise(folder), link))))
     )
     resolved = found.withColumn("href", href).withColumn("link", absolute)
     netloc = F.regexp_extract("link", r"^[a-zA-Z][\w+.-]*://([^/?#]*)", 1)

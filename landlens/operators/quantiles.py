@@ -2,8 +2,10 @@
 
 The built-in exact percentile keeps every distinct value of a group in one task.
 Here values are counted first (equal values collapse before the shuffle), the
-distinct values are cut into ordered ranges by their magnitude, and only the ranges
-that hold a wanted rank are sorted. Interpolation is linear between two ranks.
+distinct values are cut into ordered ranges by their magnitude, the ranges that hold a
+wanted rank are cut again into equal parts of their own span, twice, and only the parts
+that hold a wanted rank are sorted. However values are concentrated, a part holds no more
+than 2**16 different ones. Interpolation is linear between two ranks.
 """
 
 from __future__ import annotations
@@ -17,6 +19,8 @@ from ..functions.numeric import finite
 
 STEPS = 64  # ranges per factor e of magnitude
 FLOOR = 746 * STEPS  # the logarithm of a double is never below -746
+PARTS = 1 << 15  # parts into which a range with a wanted rank is cut again
+LEVELS = 2  # times that this is done: a range holds less than 2**46 doubles, so a last part holds 2**16 of them at most
 
 
 def magnitude_range(v: Column) -> Column:
@@ -29,6 +33,45 @@ def magnitude_range(v: Column) -> Column:
     return F.when(v > 0, step).when(v < 0, -step).otherwise(0)
 
 
+def _wanted_ranges(counts: DataFrame, keys: list[str], parents: list[str], digit: str, ps: Sequence[float]) -> DataFrame:
+    """The ranges that hold a wanted rank, with the rows in front of them and their least and greatest value."""
+    known = ["__before", "__total"] if parents else []
+    totals = counts.groupBy(*keys, *parents, digit, *known).agg(F.sum("__n").alias("__rn"), F.min("__v").alias("__lo"), F.max("__v").alias("__hi"))
+    run = Window.partitionBy(*keys, *parents).orderBy(digit)
+    total = F.col("__total") if parents else F.sum("__rn").over(Window.partitionBy(*keys))
+    before = F.sum("__rn").over(run) - F.col("__rn") + (F.col("__before") if parents else F.lit(0))
+    target = totals.select(*keys, *parents, digit, "__rn", "__lo", "__hi", before.alias("__before"), total.alias("__total"))
+    wanted = F.lit(False)
+    for p in ps:
+        pos = F.lit(float(p)) * (F.col("__total") - 1)
+        for rank in (F.floor(pos), F.ceil(pos)):
+            wanted = wanted | ((rank >= F.col("__before")) & (rank < F.col("__before") + F.col("__rn")))
+    return target.where(wanted)
+
+
+def _inside(counts: DataFrame, ranges: DataFrame, keys: list[str], parents: list[str]) -> DataFrame:
+    """The values of the wanted ranges, with what is known of their range.
+
+    Null-safe on every key: a plain equality would push a not-null filter into one of the two branches, and the counting
+    shuffle could then not be shared between them.
+    """
+    own = [*keys, *parents]
+    facts = ["__before", "__total", "__lo", "__hi"]
+    other = ranges.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(own)], *[F.col(x).alias(f"_{x}") for x in facts])
+    same = F.lit(True)
+    for i, k in enumerate(own):
+        same = same & F.col(k).eqNullSafe(F.col(f"__k{i}"))
+    found = counts.select(*own, "__v", "__n").join(other, same, "inner")
+    return found.select(*own, "__v", "__n", *[F.col(f"_{x}").alias(x) for x in facts])
+
+
+def _sub_range() -> Column:
+    """Number of a value's part of its range, in order of values: equal parts from the least to the greatest."""
+    width = F.col("__hi") - F.col("__lo")
+    part = F.floor((F.col("__v") - F.col("__lo")) / width * PARTS).cast("int")
+    return F.when(width > 0, F.least(part, F.lit(PARTS - 1))).otherwise(0)
+
+
 def exact_percentiles(
     df: DataFrame, value: str, ps: Sequence[float], names: Sequence[str], by: Sequence[str] = ()
 ) -> DataFrame:
@@ -44,30 +87,17 @@ def exact_percentiles(
         .where(F.col("__v").isNotNull())
         .groupBy(*keys, "__v")
         .agg(F.count(F.lit(1)).alias("__n"))
-        .withColumn("__r", magnitude_range(F.col("__v")))
+        .withColumn("__r0", magnitude_range(F.col("__v")))
     )
-    # One row per range from here to the join.
-    totals = counts.groupBy(*keys, "__r").agg(F.sum("__n").alias("__rn"))
-    run = Window.partitionBy(*keys).orderBy("__r")
-    target = totals.select(
-        *[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)],
-        F.col("__r").alias("__tr"),
-        (F.sum("__rn").over(run) - F.col("__rn")).alias("__before"),
-        "__rn",
-        F.sum("__rn").over(Window.partitionBy(*keys)).alias("__total"),
-    )
-    wanted = F.lit(False)
-    for p in ps:
-        pos = F.lit(float(p)) * (F.col("__total") - 1)
-        for rank in (F.floor(pos), F.ceil(pos)):
-            wanted = wanted | ((rank >= F.col("__before")) & (rank < F.col("__before") + F.col("__rn")))
-    # Null-safe on every key: a plain equality would push a not-null filter into one of the
-    # two branches, and the counting shuffle could then not be shared between them.
-    same = F.col("__r").eqNullSafe(F.col("__tr"))
-    for i, k in enumerate(keys):
-        same = same & F.col(k).eqNullSafe(F.col(f"__k{i}"))
-    hits = counts.join(target.where(wanted), same, "inner")
-    inside = Window.partitionBy(*keys, "__r").orderBy("__v")
+    found, parents = None, []
+    for level in range(LEVELS + 1):
+        digit = f"__r{level}"
+        if found is not None:
+            counts = _inside(counts, found, keys, parents).withColumn(digit, _sub_range())
+        found = _wanted_ranges(counts, keys, parents, digit, ps)
+        parents = [*parents, digit]
+    hits = _inside(counts, found, keys, parents)
+    inside = Window.partitionBy(*keys, *parents).orderBy("__v")
     ranked = hits.withColumn("__end", F.col("__before") + F.sum("__n").over(inside))
 
     def at(rank: Column) -> Column:

@@ -7,6 +7,8 @@ booleans in mixed spelling, Vietnamese labels that reach every rule branch.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 BASE_TABLES = ("region", "nation", "customer", "part", "orders", "lineitem")
@@ -106,7 +108,12 @@ listings AS (
 
 
 def raw_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All raw records as text columns; `src_pos` orders rows like a file does."""
-    for name in BASE_TABLES:
-        spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet").createOrReplaceTempView(name)
-    return spark.sql(f"WITH {LISTINGS_CTE} SELECT * FROM listings")
+    """All raw records as text columns; `src_pos` orders rows like a file does.
+
+    Lines are dealt by their order, which the join with orders asks for anyway: a table may be one
+    file with one row group, and its rows would stay in one task behind broadcast joins.
+    """
+    base = {name: spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet") for name in BASE_TABLES}
+    base["lineitem"] = base["lineitem"].repartition("l_orderkey")
+    sql = re.sub(r"\b(FROM|JOIN) (%s)\b" % "|".join(BASE_TABLES), r"\1 {\2}", LISTINGS_CTE)
+    return spark.sql(f"WITH {sql} SELECT * FROM listings", **base)

@@ -21,8 +21,12 @@ def _spec(title: str, value: Column) -> Column:
 
 
 def listing_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """page_id, url and html; some pages are blocked or lack their prices."""
+    """page_id, url and html; some pages are blocked or lack their prices.
+
+    Parts are dealt by their key before pages are rendered: the table may be one file with one row group.
+    """
     part = spark.read.parquet(f"{sf_dir.rstrip('/')}/part.parquet")
+    part = part.select("p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice").repartition("p_partkey")
     k, size = F.col("p_partkey"), F.col("p_size")
     text = lambda c: c.cast("string")
     when = lambda cond, *parts: F.when(cond, F.concat(*parts)).otherwise("")

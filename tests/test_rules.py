@@ -1,6 +1,7 @@
 """Truth tables and golden cases for the column rules."""
 
 import datetime as dt
+import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
@@ -128,8 +129,47 @@ def test_description_demo(spark):
 
 
 def test_decomposed_markers(spark):
-    text = "Mô tả: nhà rộng " + X.split_tones("Hình ảnh") + " 5"
-    assert column(spark, [text], lambda c: X.trim_between_markers(c, "s", "")) == ["nhà rộng"]
+    apart = unicodedata.normalize("NFD", "Mô tả: nhà rộng Hình ảnh 5")
+    tones = "Mô tả: nhà rộng Hình ảnh 5".replace("ả", "ả").replace("ì", "ì")
+    assert column(spark, [apart, tones], lambda c: X.trim_between_markers(c, "s", "")) == ["nhà rộng", "nhà rộng"]
+    noise = unicodedata.normalize("NFD", "Đăng ký nhà Tin đăng đã lưu 5")
+    assert column(spark, [noise], X.remove_noise) == ["nhà 5"]
+
+
+def test_marks_join_their_letters_in_any_order(spark):
+    letters = "ệ ở ữ ǭ é ñ ậ ế Ǻ"
+    forms = [unicodedata.normalize("NFD", letters), letters, "e\u0302\u0323 ê\u0323 ẹ\u0302", "x\u0301\u0323 中 a", None, "e\u0301 e\u0301\u0323"]
+    got = column(spark, forms, T.compose)
+    assert got[:2] == [letters, letters] and got[2] == "ệ ệ ệ" and got[3].startswith("x") and got[4] is None
+    assert got[5].split() [0] == "é"
+    text = unicodedata.normalize("NFD", "Mặt tiền 5 m, Đường vào 4 m")
+    df = spark.createDataFrame([(text,)], "s string")
+    f = T.numeric_features(F.col("s"), F.array("s"))
+    assert tuple(df.select(f["frontage"], f["road_width"]).first()) == (5.0, 4.0)
+
+
+def test_long_spellings_cost_no_more_than_twice(spark):
+    import time
+
+    plain = spark.range(3000).select(F.repeat(F.concat(F.lit("Đường số "), F.col("id").cast("string"), F.lit(" ")), 60).alias("s"))
+    times = []
+    for df in (plain, plain, plain.select(F.concat("s", F.lit("… ﬁ")).alias("s"))):
+        start = time.perf_counter()
+        df.select(T.strip_accents(F.col("s"))).write.format("noop").mode("overwrite").save()
+        times.append(time.perf_counter() - start)
+    assert times[2] < 2 * times[1] + 1.0
+    assert column(spark, ["½ … ﬁ đé Ⅷ"], T.strip_accents) == ["1⁄2 ... fi đe VIII"]
+
+
+def test_dot_segments_of_references(spark):
+    from urllib.parse import urljoin
+
+    from landlens.operators.pages import resolved_path
+
+    base = "http://a/b/c/d;p?q"
+    references = ["g", "./g", "g/", "/g", ".", "./", "..", "../", "../g", "../..", "../../", "../../g", "../../../g", "/./g", "/../g", "g.", ".g", "..g", "./../g", "./g/.", "g/./h", "g/../h", "g?y/./x", "g#s/../x"]
+    paths = [r if r.startswith("/") else "/b/c/" + r for r in references]
+    assert ["http://a" + x for x in column(spark, paths, resolved_path)] == [urljoin(base, r) for r in references]
 
 
 def test_nested_items_end_at_their_own_tag(spark):
@@ -137,8 +177,11 @@ def test_nested_items_end_at_their_own_tag(spark):
         "<div class='a re__x b' title=\"K&amp;L\"><div><b>một</b></div>hai</div><p>ngoài</p><div class=\"re__x\">ba<br></div>"
         "<div class='re__x-title'>không</div><div class='re__x'>hở"
     )
-    got = column(spark, [page], lambda c: F.transform(H.elements(H.drop_silent(c), "re__x"), lambda e: H.inner_text(e["body"])))
-    assert got == [["mộthai", "ba", "hở"]]
+    df = spark.createDataFrame([(page,)], "s string").select(H.tags(H.drop_silent(F.col("s"))).alias("tags"))
+    got = df.select(F.expr(f"transform({H.elements('tags', 're__x')}, e -> {H.tag_text('e.inner')})").alias("o")).first().o
+    assert got == ["mộthai", "ba", "hở"]
+    heads = df.select(F.expr(f"transform({H.elements('tags', 're__x')}, e -> {H.attribute('e.head', 'title')})").alias("o")).first().o
+    assert heads == ["K&L", None, None]
     assert column(spark, ["&lt;b&gt; &#7879; &#x1EC7; &copy; &bad; &amp;amp; & x"], lambda c: H.page_text(c)) == ["<b> ệ ệ © &bad; &amp; & x"]
 
 

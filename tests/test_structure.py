@@ -51,6 +51,25 @@ def test_percentiles_with_one_hot_value_and_group(spark):
     assert (got["b"].q2, got[None].q2) == (-1.5, 2.5) and "c" not in got
 
 
+def test_percentiles_of_concentrated_values(spark):
+    from landlens.operators import quantiles as Q
+
+    n = 1_000_000
+    df = spark.range(n).select((F.lit(1000.0) + F.pmod(F.col("id") * 7919, F.lit(n)) * 1e-5).alias("v"))
+    got = exact_percentiles(df, "v", [0.25, 0.5, 0.999], ["a", "b", "c"]).first()
+    want = [1000.0 + p * (n - 1) * 1e-5 for p in (0.25, 0.5, 0.999)]
+    assert all(abs(x - y) < 1e-6 for x, y in zip((got.a, got.b, got.c), want, strict=True)) and got.n == n
+    # the values of the last parts, which are sorted, are few
+    tight = spark.range(200_000).select(F.lit(0).alias("__g"), (F.lit(1.0) + F.col("id") * 1e-15 * 4).alias("__v"), F.lit(1).alias("__n"))
+    counts, parents, found = tight.withColumn("__r0", magnitude_range(F.col("__v"))), [], None
+    for level in range(Q.LEVELS + 1):
+        if found is not None:
+            counts = Q._inside(counts, found, ["__g"], parents).withColumn(f"__r{level}", Q._sub_range())
+        found = Q._wanted_ranges(counts, ["__g"], parents, f"__r{level}", [0.5])
+        parents.append(f"__r{level}")
+    assert Q._inside(counts, found, ["__g"], parents).count() <= 2
+
+
 def test_magnitude_ranges_keep_order(spark):
     values = sorted([0.0, -0.0, 1e-300, -1e-300, 1e300, -1e300] + [random.uniform(-1e9, 1e9) for _ in range(500)])
     df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double")
