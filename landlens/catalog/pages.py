@@ -127,10 +127,26 @@ def h10(spark, d):
     return found.select("page_id", F.col("range.lo").alias("lo"), F.col("range.hi").alias("hi"), "address", "product_id", "is_verified")
 
 
-_COLUMNS = ["product_id", "title", "url", "city", "district", "ward", "street", "price_total", "area", "frontage", "road_width", "bedrooms", "bathrooms", "floors", "legal_status", "price_trend_1y", "is_verified", "has_elevator", "posted_date", "expiry_date"]
+def _comma(x: str) -> str:
+    return f"replace(({x})::DECIMAL(18,2)::VARCHAR, '.', ',')"
+
+
+_ADDRESS = "'Đường D' || p_size || ', Phường ' || p_brand || ', Quận ' || p_size || ', Hồ Chí Minh'"
+# The visible text of a rendered page, which has no description section and so is the description.
+_PAGE_TEXT = f"""concat_ws(' ', 'Nhà ' || p_name || ' | nha.example.com - bán', CASE WHEN p_partkey % 2 = 0 THEN 'Nhà ' || p_name || ' & sân' END,
+  CASE WHEN p_partkey % 3 = 0 THEN '..' END, {_ADDRESS},
+  CASE WHEN p_partkey % 50 <> 9 THEN 'Khoảng giá ' || {_comma("p_retailprice")} || ' tỷ ~' || {_comma("p_size * 1.5")} || ' triệu/m² Loại tin Tin VIP ' || p_type END,
+  'Diện tích ' || {_comma("p_size * 3")} || ' m ²', CASE WHEN p_partkey % 4 <> 0 THEN 'Mặt tiền ' || {_comma("p_size * 0.5")} || ' m' END,
+  CASE WHEN p_partkey % 8 = 0 THEN 'Mặt tiền 7,5 m' END, 'Đường vào ' || {_comma("p_size * 0.9")} || ' m', 'Số phòng ngủ ' || p_size % 7 || ' phòng',
+  'Số phòng tắm, vệ sinh ' || (1 + p_size % 5) || ' phòng', 'Số tầng ' || (1 + p_size % 6) || ' tầng', 'Hướng nhà Đông - Nam Pháp lý Sổ đỏ/Sổ hồng Nội thất Đầy đủ',
+  {_comma("p_size * 0.1")} || '%', p_size || ' - ' || p_size * 2, CASE WHEN p_partkey % 5 = 0 THEN 'Có thang máy' END,
+  'Ngày đăng 01/02/2024 Ngày hết hạn 15/03/2024 sau ngoài này')"""
 _MERGED = f"""SELECT {_ID} AS product_id, {_TITLE} AS title, {_URL} AS url, 'Hồ Chí Minh' AS city, 'Quận ' || p_size AS district, 'Phường ' || p_brand AS ward, 'Đường D' || p_size AS street,
-  {_PRICE} AS price_total, (p_size * 3)::DOUBLE AS area, {_FRONT} AS frontage, {_ROAD} AS road_width, p_size % 7 AS bedrooms, 1 + p_size % 5 AS bathrooms, 1 + p_size % 6 AS floors,
-  'Sổ đỏ/Sổ hồng' AS legal_status, {_TREND} AS price_trend_1y, p_partkey % 2 = 0 AS is_verified, p_partkey % 5 = 0 AS has_elevator, '2024-02-01' AS posted_date, '2024-03-15' AS expiry_date,
+  {_ADDRESS} AS full_address, {_PRICE} AS price_total, CASE WHEN p_partkey % 50 <> 9 THEN p_retailprice::DECIMAL(18,2)::DOUBLE END AS price_per_m2,
+  p_size::DOUBLE AS price_min_range, (p_size * 2)::DOUBLE AS price_max_range, (p_size * 3)::DOUBLE AS area, {_FRONT} AS frontage, {_ROAD} AS road_width,
+  p_size % 7 AS bedrooms, 1 + p_size % 5 AS bathrooms, 1 + p_size % 6 AS floors, 'Đông - Nam' AS direction, 'Đầy đủ' AS interior, 'Sổ đỏ/Sổ hồng' AS legal_status,
+  CASE WHEN p_partkey % 50 <> 9 THEN 'Tin VIP ' || p_type ELSE '' END AS post_rank, {_TREND} AS price_trend_1y, p_partkey % 2 = 0 AS is_verified, p_partkey % 5 = 0 AS has_elevator,
+  false AS near_park, false AS is_frontage_road, {_PAGE_TEXT} AS description, '2024-02-01' AS posted_date, '2024-03-15' AS expiry_date,
   CASE WHEN p_partkey % 50 = 7 THEN 'blocked page' WHEN p_partkey % 50 = 9 THEN 'no price or area' END AS reject_reason FROM part"""
 
 
@@ -140,7 +156,7 @@ def extracted(spark, d):
 
 @query("h11_merge_priority", _MERGED)
 def h11(spark, d):
-    return as_dates(extracted(spark, d).select(*_COLUMNS, "reject_reason"))
+    return as_dates(extracted(spark, d))
 
 
 @query("h12_strict_backfill", f"SELECT {_URL} AS url, CASE WHEN p_partkey % 4 <> 0 THEN (p_size * 0.5)::DECIMAL(18,2)::DOUBLE END AS frontage, {_ROAD} AS road_width FROM part")
@@ -159,10 +175,22 @@ def h13(spark, d):
 @query("q9_extract_listings", f"SELECT * EXCLUDE (reject_reason) FROM ({_MERGED}) WHERE reject_reason IS NULL")
 def q9(spark, d):
     valid, _ = P.split_listings(listing_pages(spark, d), SITE, as_of())
-    return as_dates(valid.select(*_COLUMNS))
+    return as_dates(valid)
 
 
-@query("q9_extract_given_pages")
+# Title, id and outcome of every given page by patterns of their own; a page with an id would go on to its location.
+_SILENT = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>|<template\b.*?</template\s*>"
+_DECODED = "replace(replace(replace(replace(replace(replace(replace({}, '&copy;', '©'), '&middot;', '·'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;', '&')"
+_PLAIN = "trim(regexp_replace(" + _DECODED.format("regexp_replace({}, '(?s)<[a-zA-Z/!?][^>]*>', ' ', 'g')") + r", '[\s\x{{a0}}]+', ' ', 'g'))"
+
+
+@query(
+    "q9_extract_given_pages",
+    rf"""WITH quiet AS (SELECT url, regexp_replace(html, '{_SILENT}', ' ', 'g') AS q FROM pages),
+    cut AS (SELECT url, {_PLAIN.format(r"regexp_extract(q, '(?is)<h1\b[^>]*>(.*?)</h1\s*>', 1)")} AS title,
+      coalesce(nullif(regexp_extract(url, '(?i)pr(\d+)', 1), ''), regexp_extract({_PLAIN.format('q')}, '(?i)pr(\d+)', 1)) AS product_id FROM quiet)
+    SELECT url, coalesce(nullif(title, ''), url) AS title, product_id, CASE WHEN product_id = '' THEN 'no product id' ELSE 'valid' END AS outcome FROM cut""",
+)
 def q9_given(spark, d):
     out = P.extract_listings(read_pages(spark, d), SITE, as_of())
-    return out.groupBy(F.coalesce("reject_reason", F.lit("valid")).alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
+    return out.select("url", "title", "product_id", F.coalesce("reject_reason", F.lit("valid")).alias("outcome"))

@@ -264,13 +264,12 @@ _CLEANED = "coalesce(description || chr(10) || '- Nội dung:', 'Nội dung:') |
 
 @query(
     "t23_cut_between_markers",
-    f"{RAW} SELECT src_pos, product_id, trim(coalesce(description, '- - Nội dung')) AS body FROM listings",
+    f"{RAW} SELECT src_pos, product_id, trim(coalesce(description, 'Nội dung')) AS body FROM listings",
 )
 def t23(spark, d):
     text = F.concat(F.lit("đầu trang MÔ TẢ: "), F.coalesce("description", F.lit("- - Nội dung")), F.lit(" MÃ TIN 5 Loại tin"))
     rows = raw_listings(spark, d)
-    body = D.trim_between_markers(text, "nha.example.com", "")
-    return rows.select("src_pos", "product_id", F.when(F.col("description").isNull(), F.concat(F.lit("- - "), body)).otherwise(body).alias("body"))
+    return rows.select("src_pos", "product_id", D.trim_between_markers(text, "nha.example.com", "").alias("body"))
 
 
 @query("t24_title_prefix", f"{RAW} SELECT src_pos, product_id, coalesce(description, 'x') AS rest FROM listings")

@@ -50,24 +50,32 @@ def decode_references(s: Column) -> Column:
             kept = F.coalesce(kept, F.when(n == ord(mark), F.lit(reference)))
         return F.coalesce(kept, char)
 
-    def spelled(p: Column, name: Column) -> Column:
+    def character(name: Column) -> Column:
         dec = F.regexp_extract(name, r"^#(\d{1,8})$", 1).try_cast("bigint")
         hexa = F.conv(F.regexp_extract(name, r"^#[xX]([0-9a-fA-F]{1,6})$", 1), 16, 10).try_cast("bigint")
-        char = (
+        return (
             F.when(name.isin("amp", "lt", "gt", "quot", "apos"), F.concat(F.lit("&"), name, F.lit(";")))
             .when(name == "nbsp", "\u00a0")
             .when(name.startswith("#"), code_point(F.coalesce(dec, hexa)))
             .otherwise(F.try_element_at(table, name))
         )
-        return F.concat(char, F.substr(p, F.length(name) + 2))
-
-    def piece(p: Column) -> Column:
-        found = let(F.regexp_extract(p, r"^(#?\w{1,32});", 1), lambda name: F.when(name != "", spelled(p, name)))
-        return F.coalesce(found, F.concat(F.lit("&"), p))
 
     def joined(parts: Column) -> Column:
-        tail = F.transform(F.slice(parts, 2, F.greatest(F.size(parts), F.lit(1))), piece)
-        return F.concat(F.get(parts, F.lit(0)), F.array_join(tail, ""))
+        named = F.transform(
+            F.slice(parts, 2, F.greatest(F.size(parts), F.lit(1))),
+            lambda p: F.struct(p.alias("text"), F.regexp_extract(p, r"^(#?\w{1,32});", 1).alias("name")),
+        )
+        return let(named, lambda tail: F.concat(F.get(parts, F.lit(0)), F.array_join(spelled(tail), "")))
+
+    def spelled(tail: Column) -> Column:
+        # every name is looked up once per page
+        names = F.array_distinct(F.transform(tail, lambda p: p["name"]))
+        found = F.filter(F.transform(names, lambda n: F.struct(n.alias("name"), character(n).alias("char"))), lambda e: e["char"].isNotNull())
+
+        def piece(p: Column, char: Column) -> Column:
+            return F.when(char.isNull(), F.concat(F.lit("&"), p["text"])).otherwise(F.concat(char, F.substr(p["text"], F.length(p["name"]) + 2)))
+
+        return let(F.map_from_entries(found), lambda known: F.transform(tail, lambda p: let(F.try_element_at(known, p["name"]), lambda c: piece(p, c))))
 
     return let(F.split(s, "&"), joined)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import date_parts
@@ -19,27 +19,65 @@ SHAPES_SCHEMA = (
 )
 
 
-def read_csv(spark: SparkSession, path: str | Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """Comma-separated UTF-8 with a header row; every cell arrives as text.
+# An unquoted empty cell is read as `nullValue`, which no cell holds, and so told from a quoted one.
+CSV_FORMAT = {
+    "nullValue": "\x00", "quote": '"', "escape": '"', "emptyValue": "", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false", "mode": "PERMISSIVE",
+}
 
-    The schema is given, so no pass over the data infers it. Quoted cells may hold
-    line breaks. A file with quoted line breaks cannot be split, so a large dataset
-    should hold many files.
+
+def csv_records(spark: SparkSession, path: str) -> DataFrame:
+    """Records of CSV files as text, `first` for the first of a file; quoted cells may hold line breaks.
+
+    Files are read by splits. A line ends inside a cell if the quotes up to it are odd in number: lines are counted within
+    their split, splits within their file, so no task reads a whole file. Lines of one record are put together in their
+    split; only what crosses the edge of a split is gathered again.
     """
+    value = F.col("value")
+    lines = (
+        spark.read.option("lineSep", "\n").option("recursiveFileLookup", True).text(path)
+        .select(
+            value, F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+            F.monotonically_increasing_id().alias("line"), ((F.length(value) - F.length(F.replace(value, F.lit('"'), F.lit("")))) % 2).alias("odd"),
+        )
+    )
+    # one row a split
+    by_file = Window.partitionBy("file").orderBy("block")
+    splits = lines.groupBy("file", "block").agg(F.sum("odd").alias("odds"))
+    states = splits.select("file", "block", ((F.sum("odds").over(by_file) - F.col("odds")) % 2).alias("inside"), (F.sum("odds").over(by_file) % 2).alias("left"))
+    known = states.select(F.col("file").alias("__file"), F.col("block").alias("__block"), "inside", "left")
+    in_split = Window.partitionBy("file", "block").orderBy("line")
+    joined = lines.join(known, (F.col("file") == F.col("__file")) & (F.col("block") == F.col("__block")))
+    starts = (((F.col("inside") + F.sum("odd").over(in_split) - F.col("odd")) % 2) == 0).cast("int")
+    numbered = joined.withColumn("starts", starts).withColumn("record", F.sum("starts").over(in_split))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "value"))), lambda x: x["value"]), "\n")
+    records = numbered.groupBy("file", "block", "record").agg(text.alias("text"), F.max("left").alias("left"))
+    last = F.max("record").over(Window.partitionBy("file", "block"))
+    records = records.withColumn("whole", (F.col("record") > 0) & ((F.col("record") < last) | (F.col("left") == 0)))
+    whole = records.where("whole").select("file", "text", ((F.col("block") == 0) & (F.col("record") == 1)).alias("first"))
+    # at most two parts a split
+    home = F.sum((F.col("record") > 0).cast("int")).over(Window.partitionBy("file").orderBy("block", "record"))
+    parts = records.where(~F.col("whole")).withColumn("home", home)
+    order = F.array_sort(F.collect_list(F.struct("block", "record", "text")))
+    broken = parts.groupBy("file", "home").agg(order.alias("parts")).select(
+        "file", F.array_join(F.transform("parts", lambda x: x["text"]), "\n").alias("text"),
+        ((F.col("parts")[0]["block"] == 0) & (F.col("parts")[0]["record"] == 1)).alias("first"),
+    )
+    return whole.unionByName(broken).withColumn("text", F.regexp_replace("text", r"\r$", ""))
+
+
+def _cells(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
+    """file and the cells of every record as text; the header of each file must name the columns."""
     schema = ", ".join(f"`{c}` string" for c in columns)
-    return (
-        spark.read.schema(schema)
-        .option("header", True)
-        .option("multiLine", True)
-        .option("quote", '"')
-        .option("escape", '"')
-        .option("enforceSchema", False)
-        .option("ignoreLeadingWhiteSpace", False)
-        .option("ignoreTrailingWhiteSpace", False)
-        .option("emptyValue", "")
-        .option("nullValue", None)
-        .csv(path)
-    )
+    rows = csv_records(spark, path).where(F.col("text") != "").withColumn("cell", F.from_csv("text", F.lit(schema), CSV_FORMAT))
+    names = F.array(*[F.col("cell")[c] for c in columns])
+    wrong = F.raise_error(F.concat(F.lit("the header of "), "file", F.lit(" names other columns"))).cast("boolean")
+    kept = F.when(~F.col("first"), True).when(names == F.array(*[F.lit(c) for c in columns]), False).otherwise(wrong)
+    return rows.where(kept).select("file", *[F.col("cell")[c].alias(c) for c in columns])
+
+
+def read_csv(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
+    """CSV files below a path as text columns, line breaks and empty cells kept; an unquoted empty cell is missing."""
+    return _cells(spark, path, columns).drop("file")
 
 
 def iso_dates(df: DataFrame) -> DataFrame:
@@ -68,14 +106,8 @@ def write_csv(df: DataFrame, path: str, append: bool = False) -> None:
 
 def read_segments(spark: SparkSession, root: str, columns: Sequence[str]) -> DataFrame:
     """All segment folders below a root as one table; the folder names the segment."""
-    schema = ", ".join(f"`{c}` string" for c in columns) + ", segment string"
-    return (
-        spark.read.schema(schema)
-        .option("header", True)
-        .option("escape", '"')
-        .option("basePath", root)
-        .csv(root)
-    )
+    folder = F.regexp_extract("file", r"/segment=([^/]*)/[^/]*$", 1)
+    return _cells(spark, root, columns).withColumn("segment", F.url_decode(F.replace(folder, F.lit("+"), F.lit("%2B")))).drop("file")
 
 
 def write_segments(df: DataFrame, root: str, segment: Column) -> None:
@@ -85,6 +117,9 @@ def write_segments(df: DataFrame, root: str, segment: Column) -> None:
         .write.mode("overwrite")
         .option("header", True)
         .option("escape", '"')
+        .option("emptyValue", '""')
+        .option("ignoreLeadingWhiteSpace", False)
+        .option("ignoreTrailingWhiteSpace", False)
         .partitionBy("segment")
         .csv(root)
     )

@@ -12,7 +12,7 @@ import __spark_entry__ as entry  # noqa: E402
 from landlens.catalog import load  # noqa: E402
 from tools.check import compare, connect  # noqa: E402
 
-ROWS_ONLY = {"q9_extract_given_pages", "q10_clean_documents"}
+ROWS_ONLY = {"q10_clean_documents"}
 QUICK = [
     "s2_segmented_scan", "s5_session_log", "s6_district_shapes", "s8_date_table", "p6_declared_casts", "p7_text_to_boolean", "f2_exclusion_keeps_missing",
     "f12_blocked_markers", "f15_backfill_candidates", "j6_date_part_join", "j8_pending_rows", "j9_region_map", "j10_scalar_back_to_rows", "a6_median",

@@ -17,6 +17,30 @@ from landlens.sources.pages import SITE, listing_pages
 from landlens.streaming import ingest as I
 
 
+def test_csv_with_quotes_breaks_and_empties_over_many_splits(spark, tmp_path):
+    from landlens.sources import tables as S
+
+    rng = random.Random(4)
+    cells = ["", None, "a", 'say "hi"', "two\nlines", "\n", '"', ' lead', "trail ", "x,y", '"\n"', "é\r\nü", "w" * 90, "\n".join("abcdefg")]
+    columns = [f"c{k}" for k in range(30)]
+    rows = [tuple([str(i)] + [rng.choice(cells) for _ in range(29)]) for i in range(150)]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} string" for c in columns)).coalesce(2)
+    S.write_csv(df, f"{tmp_path}/t")
+    S.write_segments(df, f"{tmp_path}/s", F.when(F.col("c0") < "5", "a b").otherwise("c"))
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for size in ("300b", "7000b", "128m"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", "1b")
+            got = S.read_csv(spark, f"{tmp_path}/t", columns)
+            assert sorted(map(tuple, got.collect()), key=str) == sorted(rows, key=str)
+        by_folder = S.read_segments(spark, f"{tmp_path}/s", columns).collect()
+        assert sorted((tuple(r)[:-1] for r in by_folder), key=str) == sorted(rows, key=str) and {r.segment for r in by_folder} == {"a b", "c"}
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
 def test_star_keys_are_dense_and_lookups_do_not_multiply(spark, sf_dir):
     clean = frames.clean(spark, sf_dir)
     star = S.build_star(clean)
