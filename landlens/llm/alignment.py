@@ -32,7 +32,7 @@ from landlens.session import materialise
 
 A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Parts of texts that a worker remembers.
-PARTS = 300_000
+PARTS = 450_000
 #: Parts that are aligned together, and characters of texts whose new parts are.
 PARTS_AT_ONCE = 4_000
 CHARS_AT_ONCE = 1 << 19

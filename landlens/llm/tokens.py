@@ -61,8 +61,8 @@ class WordTokenizer:
         """Encode new parts; those too long to be remembered are returned."""
         known = self.known
         long = [w for w in new if len(w) > CACHE_CHARS]
-        # letters with one sign behind them are always split in front of the sign
-        heads = {w: w[:-1] for w in new if w[-1] in _SIGNS and len(w) <= CACHE_CHARS and w[:-1].removeprefix(" ").isalpha()}
+        # letters with one sign behind them are always split in front of the sign; lower case may end in a mark, which would join it
+        heads = {w: w[:-1] for w in new if w[-1] in _SIGNS and len(w) <= CACHE_CHARS and w[:-1].removeprefix(" ").lower().isalpha()}
         ask = [w for w in new.union(heads.values(), _SIGNS).difference(heads, known) if len(w) <= CACHE_CHARS]
         known.update(zip(ask, self._encode(ask), strict=True))
         for w, head in heads.items():

@@ -243,3 +243,20 @@ def test_groups_cover_the_text(spark):
     docs = spark.createDataFrame([(1, "naïve 中文, yes"), (2, "")], "doc_id long, text string")
     got = {r.doc_id: r.groups for r in alignment.aligned_groups(docs, *FILES).collect()}
     assert got[2] == [] and got[1][0].start == 0 and got[1][-1].end == len(" naïve 中文, yes".encode())
+
+
+# -- ids of odd texts ----------------------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_remembered_words_give_the_ids_of_whole_texts(name):
+    from landlens.llm.tokens import WordTokenizer
+
+    mine = WordTokenizer(tokenizer_file(name))
+    rng = random.Random(9)
+    texts = ["KEDİ!", "ŞEHRİ, ANKARA", "kedi İ. İ, ǰ. ŉ, ẖ!", *odd_texts(500, 3)]
+    for _ in range(12):
+        codes = [rng.randrange(1, 0x3000) if rng.random() < 0.7 else rng.randrange(0x20, 0x7F) for _ in range(2000)]
+        texts.append("".join(chr(c) + (" " if rng.random() < 0.2 else rng.choice(["", "", ",", "."])) for c in codes if not 0xD800 <= c < 0xE000))
+    for text, ids in zip(texts, mine.encode(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == mine.tokenizer.encode(text, add_special_tokens=False).ids, text
