@@ -239,10 +239,12 @@ def direction_label(text: Column) -> Column:
 
 
 def interior_label(text: Column) -> Column:
-    cleaned = clean_label(F.translate(text, ".,?", ""))
-    lowered = F.lower(cleaned)
-    blank = cleaned.isNull() | (cleaned == "")
-    return F.when(blank, UNKNOWN).otherwise(keyword_label(lowered, INTERIOR_RULES, UNKNOWN))
+    def label(lowered: Column) -> Column:
+        blank = lowered.isNull() | (lowered == "")
+        return F.when(blank, UNKNOWN).otherwise(keyword_label(lowered, INTERIOR_RULES, UNKNOWN))
+
+    # every rule reads the cleaned text, which is made once
+    return F.get(F.transform(F.array(F.lower(clean_label(F.translate(text, ".,?", "")))), label), F.lit(0))
 
 
 def strip_trailing_dots(text: Column) -> Column:
@@ -251,8 +253,10 @@ def strip_trailing_dots(text: Column) -> Column:
 
 def title_label(text: Column) -> Column:
     """Class of the legal title; a missing text has no class."""
-    lowered = F.lower(text)
-    return F.when(text.isNotNull(), keyword_label(lowered, TITLE_RULES, TITLE_UNKNOWN))
+    def label(lowered: Column) -> Column:
+        return F.when(lowered.isNotNull(), keyword_label(lowered, TITLE_RULES, TITLE_UNKNOWN))
+
+    return F.get(F.transform(F.array(F.lower(text)), label), F.lit(0))
 
 
 def text_to_bool(text: Column) -> Column:

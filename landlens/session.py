@@ -39,6 +39,11 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def dealt(df: DataFrame, key: str) -> DataFrame:
+    """Rows dealt by a key over the session's shuffle partitions, however few bytes they are now."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage through a parquet table that outlives lost executors."""
     path = shared_dir(df.sparkSession, name)

@@ -11,6 +11,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import dealt
+
 BASE_TABLES = ("region", "nation", "customer", "part", "orders", "lineitem")
 
 LISTINGS_CTE = """
@@ -114,6 +116,6 @@ def raw_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     file with one row group, and its rows would stay in one task behind broadcast joins.
     """
     base = {name: spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet") for name in BASE_TABLES}
-    base["lineitem"] = base["lineitem"].repartition("l_orderkey")
+    base["lineitem"] = dealt(base["lineitem"], "l_orderkey")
     sql = re.sub(r"\b(FROM|JOIN) (%s)\b" % "|".join(BASE_TABLES), r"\1 {\2}", LISTINGS_CTE)
     return spark.sql(f"WITH {sql} SELECT * FROM listings", **base)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import dealt
 
 SITE = "nha.example.com"
 
@@ -26,7 +27,7 @@ def listing_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     Parts are dealt by their key before pages are rendered: the table may be one file with one row group.
     """
     part = spark.read.parquet(f"{sf_dir.rstrip('/')}/part.parquet")
-    part = part.select("p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice").repartition("p_partkey")
+    part = dealt(part.select("p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"), "p_partkey")
     k, size = F.col("p_partkey"), F.col("p_size")
     text = lambda c: c.cast("string")
     when = lambda cond, *parts: F.when(cond, F.concat(*parts)).otherwise("")
