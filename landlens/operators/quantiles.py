@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import finite
+from ..session import materialise
 
 STEPS = 64  # ranges per factor e of magnitude
 FLOOR = 746 * STEPS  # the logarithm of a double is never below -746
@@ -89,6 +90,8 @@ def exact_percentiles(
         .agg(F.count(F.lit(1)).alias("__n"))
         .withColumn("__r0", magnitude_range(F.col("__v")))
     )
+    # Every level reads the counts again; what they are made of, often a long plan, is planned and run once.
+    counts = materialise(counts, "value-counts")
     found, parents = None, []
     for level in range(LEVELS + 1):
         digit = f"__r{level}"
