@@ -10,25 +10,84 @@ from __future__ import annotations
 
 import os
 import re
-from array import array
+from itertools import chain
+
+import numpy as np
 
 from landlens.llm.common import CACHE_CHARS, CACHE_WORDS
 
+#: Ids remembered per worker, four bytes each.
+CACHE_IDS = 1 << 23
+#: New words that go to the library as one text, with a mark between them.
+JOINED = 512
+
+
+class Numbers(dict):
+    """word -> number in order of first sight; ``new`` gathers the words that got a number."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        n = self[word] = len(self)
+        self.new.append(word)
+        return n
+
+
+class Ragged:
+    """Rows of ids behind each other: row k is ids[starts[k] : starts[k] + sizes[k]]."""
+
+    def __init__(self):
+        self.starts, self.sizes, self.ids = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, np.uint32)
+        self.n_ids = 0
+
+    def put(self, rows: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> None:
+        """Set ``rows`` to ``ids``, cut into ``sizes``."""
+        if not len(rows):
+            return
+        self.starts, self.sizes = (_room(x, int(rows.max()) + 1) for x in (self.starts, self.sizes))
+        self.ids = _room(self.ids, self.n_ids + len(ids))
+        self.starts[rows] = self.n_ids + np.cumsum(sizes) - sizes
+        self.sizes[rows] = sizes
+        self.ids[self.n_ids : self.n_ids + len(ids)] = ids
+        self.n_ids += len(ids)
+
+    def take(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of ``rows`` behind each other, and where each row ends."""
+        sizes = self.sizes[rows]
+        ends = np.cumsum(sizes)
+        at = np.repeat(self.starts[rows] - (ends - sizes), sizes)
+        at += np.arange(len(at))
+        return self.ids[at], ends
+
+
+def _room(x: np.ndarray, n: int) -> np.ndarray:
+    if n <= len(x):
+        return x
+    out = np.zeros(max(n, 2 * len(x)), x.dtype)
+    out[: len(x)] = x
+    return out
+
 
 class WordTokenizer:
-    """Whole texts to little-endian unsigned 32-bit ids."""
+    """Whole texts to little-endian unsigned 32-bit ids.
+
+    Parts of texts are numbered as they come; a batch is an array of numbers, and its ids are taken together.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.drops_space = "Split" in str(self.tokenizer.pre_tokenizer) and "Replace" in str(self.tokenizer.normalizer)
-        self.known: dict[str, bytes] = {}
+        # the mark is always a token of its own between two words, and words without its character never give that token
+        self.mark = " \x01 " if self.drops_space else "\n"
+        (self.mark_id,) = self.tokenizer.encode(self.mark, add_special_tokens=False).ids
+        self._forget()
 
-    def _encode(self, parts: list[str]) -> list[bytes]:
-        # without offsets, which nobody asks for
-        got = self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)
-        return [array("I", e.ids).tobytes() for e in got]
+    def _forget(self) -> None:
+        self.numbers, self.known = Numbers(), Ragged()
 
     def parts(self, text: str) -> list[str]:
         """Parts whose ids, put together, are those of the text."""
@@ -45,29 +104,64 @@ class WordTokenizer:
         return [first, *[" " + p for p in rest]] if first else [" " + p for p in rest]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        known = self.known
         split = [self.parts(t) if t else [] for t in texts]
-        new = set().union(*split).difference(known)
-        if len(known) + len(new) > CACHE_WORDS:
-            known.clear()
-            new = set().union(*split)
-        extra = self._learn(new) if new else {}
-        if extra:
-            return [b"".join([known[w] if w in known else extra[w] for w in parts]) for parts in split]
-        get = known.__getitem__
-        return [b"".join(map(get, parts)) for parts in split]
-
-    def _learn(self, new: set[str]) -> dict[str, bytes]:
-        """Encode new parts; those too long to be remembered are returned."""
-        known = self.known
-        long = [w for w in new if len(w) > CACHE_CHARS]
-        # letters with one sign behind them are always split in front of the sign; lower case may end in a mark, which would join it
-        heads = {w: w[:-1] for w in new if w[-1] in _SIGNS and len(w) <= CACHE_CHARS and w[:-1].removeprefix(" ").lower().isalpha()}
-        ask = [w for w in new.union(heads.values(), _SIGNS).difference(heads, known) if len(w) <= CACHE_CHARS]
-        known.update(zip(ask, self._encode(ask), strict=True))
-        for w, head in heads.items():
-            known[w] = known[head] + known[w[-1]]
-        return {w: self._encode([w])[0] for w in long}  # singly: one may be a whole text
+        ends = np.cumsum([len(p) for p in split])
+        rows = np.fromiter(map(self.numbers.__getitem__, chain.from_iterable(split)), np.int64, int(ends[-1]) if len(ends) else 0)
+        if self.numbers.new:
+            self._learn()
+        ids, stops = self.known.take(rows)
+        data = ids.tobytes()
+        cuts = (4 * np.concatenate([[0], stops])[np.concatenate([[0], ends]).astype(np.int64)]).tolist()
+        if len(self.numbers) > CACHE_WORDS or self.known.n_ids > CACHE_IDS:
+            self._forget()  # what is remembered stays bounded, but for one batch
+        return [data[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+
+    def _learn(self) -> None:
+        """Encode the parts that got a number; a long one may be a whole text, and is encoded like the others."""
+        numbers = self.numbers
+        ask, joined = [], []
+        for w in numbers.new:  # it grows while heads get their numbers
+            # letters with one sign behind them are always split in front of the sign; lower case may end in a mark, which would join it
+            if w[-1] in _SIGNS and 1 < len(w) <= CACHE_CHARS and w[:-1].removeprefix(" ").lower().isalpha():
+                joined.append((numbers[w], numbers[w[:-1]], numbers[w[-1]]))
+            else:
+                ask.append(w)
+        numbers.new = []
+        sign = self.mark.strip(" ")
+        plain, rest = [], []
+        for w in ask:
+            bare = w.removeprefix(" ")
+            # one word without white space, mark or special name
+            (plain if len(w) <= CACHE_CHARS and sign not in w and "<|" not in w and bare.split() == [bare] else rest).append(w)
+        rest += self._learn_joined(plain)
+        got = self._ids(rest)
+        self._keep(rest, np.fromiter(map(len, got), np.int64, len(got)), got)
+        if joined:
+            whole, *both = np.array(joined, np.int64).T
+            ids, ends = self.known.take(np.stack(both, axis=1).ravel())
+            self.known.put(whole, np.diff(ends[1::2], prepend=0), ids)
+
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        # without offsets, which nobody asks for
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _keep(self, parts: list[str], sizes: np.ndarray, ids: list[list[int]]) -> None:
+        rows = np.fromiter(map(self.numbers.__getitem__, parts), np.int64, len(parts))
+        self.known.put(rows, sizes, np.concatenate([np.array(x, np.uint32) for x in ids] or [np.zeros(0, np.uint32)]))
+
+    def _learn_joined(self, words: list[str]) -> list[str]:
+        """Encode words many at a time; those of a text whose marks don't come back one between two words are returned."""
+        groups = [words[k : k + JOINED] for k in range(0, len(words), JOINED)]
+        again: list[str] = []
+        for group, got in zip(groups, self._ids([self.mark.join(g) for g in groups]), strict=True):
+            ids = np.array(got, np.uint32)
+            marks = np.flatnonzero(ids == self.mark_id)
+            if len(marks) != len(group) - 1:
+                again += group
+                continue
+            sizes = np.diff(np.concatenate([[-1], marks, [len(ids)]])) - 1
+            self._keep(group, sizes, [ids[ids != self.mark_id]])
+        return again
 
 
 _SIGNS = ".,;:!?"
