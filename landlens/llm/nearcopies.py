@@ -1,19 +1,20 @@
 """Near copies by improved consistent weighted sampling over TF-IDF shingles.
 
 A text is the weighted set of its shingles of five words: how often a shingle occurs, times its inverse document frequency. Document
-frequencies are counted for each shingle hash over all documents. The ``LISTED`` most frequent ones at most (all of those with a
-frequency of some d or more) are listed and sent to the tasks; shingles that are not listed weigh what a shingle of a single
-document weighs. That is exact as long as d is 2; beyond, frequencies below d count as 1.
+frequencies are counted for each shingle hash over all documents. Those of shingles in ``SHARE`` of the documents or more are listed
+and sent to the tasks; the list holds at most 1 / ``SHARE`` times the mean number of shingles of a document, whatever the number of
+documents. A shingle below that weighs what a shingle of a single document weighs; up to 2 / ``SHARE`` documents that is exact.
 
 Each of the ``BANDS * ROWS`` samples picks a shingle with a quantised weight such that two sets pick the same with a probability
-equal to their weighted Jaccard similarity. ``ROWS`` samples make a band's key. Texts with equal sets are one representative
-from here on. Of the representatives that share a key, each is compared with the first one, then with ``CENTERS`` others; links
+equal to their weighted Jaccard similarity. ``ROWS`` samples make a band's key. Texts with equal sets are one node from here on,
+whatever their ids. Of the nodes that share a key, each is compared with the first one, then with ``CENTERS`` others; links
 join classes. What shares a key and still is in different classes is a candidate pair if ``AGREE`` of the samples agree in
-their low bits; no candidate is left out, and a pair is looked at under the first key it shares. Every comparison is the
-exact weighted Jaccard similarity of the whole texts; ``SIMILARITY`` or more links them.
+their low bits, and a pair is looked at under the first key it shares. Every comparison is the exact weighted Jaccard
+similarity of the whole texts; ``SIMILARITY`` or more links them.
 
-At a similarity of exactly 0.8 a pair is a candidate with a probability of 0.999, at 0.85 of 0.99999. A large group of copies that
-differ from each other by more than the similarity allows costs its pairs' comparison of sample bits, not of texts.
+At a similarity of exactly 0.8 a pair shares a key with a probability of 0.999 and has the bits with one of 0.9998, at 0.85 of
+0.99999 both. A large group of copies that differ from each other by more than the similarity allows costs its pairs'
+comparison of sample bits, not of texts.
 """
 
 from __future__ import annotations
@@ -23,26 +24,32 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from landlens.llm.common import WordCache, map_rows, ship_code, table
+from landlens.llm.common import BATCH_ROWS, map_rows, ship_code, table
 from landlens.session import materialise
 
 WORDS = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 16, 4
 #: Of 64 samples' lowest four bits, so many must agree; at a similarity of 0.8, 52 do on average (deviation 3.1).
-AGREE = 42
+AGREE = 40
 CENTERS = 4
-#: Document frequencies that are sent to the tasks, 16 bytes each.
-LISTED = 1 << 21
+#: Document frequencies from this share of the documents on are sent to the tasks, 16 bytes each.
+SHARE = 1 / 4096
 #: Hash ranges in which frequencies are counted, and the shingles a task adds up before it gives them to the ranges.
 RANGE_BITS = 10
 PENDING = 1 << 21
-#: Random variates per table; a sample draws its three by hash.
+#: Random variates per table; a sample draws its two rows by hash.
 VARIATES = 1 << 16
 SEED = 20
+#: Bytes of text that are hashed together, and shingles that are sampled together: they bound the memory beside the texts.
+TEXT_BYTES = 1 << 20
+SAMPLED = 1 << 15
+#: White space beyond the ASCII kinds.
+ODD_SPACE = r"[\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _FOLD = np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -53,24 +60,79 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 class Shingler:
-    """Texts to sorted distinct shingle hashes with their counts."""
+    """Texts to sorted distinct shingle hashes with their counts, without a step per word.
 
-    def __init__(self):
-        import xxhash
+    A word's hash is a polynomial in its bytes (as random numbers) modulo 2^64: the difference of two prefix sums, moved to
+    the word's start by the inverse of the base.
+    """
 
-        self.cache = WordCache(xxhash.xxh64_intdigest)
+    BASE = 0x9E3779B97F4A7C15
+    INVERSE = pow(BASE, -1, 1 << 64)
+
+    def __init__(self):
+        rng = np.random.default_rng(SEED)
+        self.byte = rng.integers(0, 1 << 64, 256, dtype=np.uint64)
+        self.space = np.zeros(256, bool)
+        self.space[[9, 10, 11, 12, 13, 32]] = True
+        self.up, self.down = self._powers(TEXT_BYTES)
+
+    def _powers(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Powers 0 to n - 1 of the base and of its inverse."""
+        return tuple(np.cumprod(np.concatenate([[np.uint64(1)], np.full(max(n - 1, 0), x, np.uint64)])) for x in (self.BASE, self.INVERSE))
+
+    def words(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of all words, and where each text's words start (one more than there are texts)."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        if pc.any(pc.match_substring_regex(texts, ODD_SPACE)).as_py():
+            texts = pc.replace_substring_regex(texts, ODD_SPACE, " ")
+        _, ends, data = texts.buffers()
+        ends = np.frombuffer(ends, "<i8")[texts.offset : texts.offset + len(texts) + 1]
+        raw = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]] if data is not None else np.zeros(0, np.uint8)
+        ends = ends - ends[0]
+        n = len(raw)
+        if not n:
+            return np.zeros(0, np.uint64), np.zeros(len(texts) + 1, np.int64)
+        letter = ~self.space[raw]
+        first, last = letter.copy(), letter.copy()
+        first[1:] &= ~letter[:-1]
+        last[:-1] &= ~letter[1:]
+        filled = ends[1:] > ends[:-1]
+        heads, tails = ends[:-1][filled], ends[1:][filled] - 1
+        first[heads], last[tails] = letter[heads], letter[tails]
+        starts, stops = np.flatnonzero(first), np.flatnonzero(last) + 1
+        up, down = (self.up, self.down) if n <= len(self.up) else self._powers(n)
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(self.byte[raw] * up[:n], out=sums[1:])
+        return _mix((sums[stops] - sums[starts]) * down[starts]), np.searchsorted(starts, ends)
+
+    def many(self, texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(sorted hashes, counts) of every text; both empty for a text without words."""
+        out = []
+        sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        group = np.cumsum(sizes) // TEXT_BYTES
+        cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(texts)]
+        for low, high in zip(cuts, cuts[1:], strict=False):
+            if high == low:
+                continue
+            h, at = self.words(texts.slice(low, high - low))
+            n = max(0, len(h) - WORDS + 1)
+            mixed = np.full(n, np.uint64(WORDS), np.uint64)
+            for k in range(WORDS):
+                mixed = _mix(mixed * _FOLD + h[k : k + n])
+            for a, b in zip(at.tolist(), at[1:].tolist(), strict=False):
+                if b - a >= WORDS:
+                    out.append(np.unique(mixed[a : b - WORDS + 1], return_counts=True))
+                elif b > a:  # fewer words than a shingle has: one shingle
+                    one = np.full(1, np.uint64(b - a), np.uint64)
+                    for k in range(a, b):
+                        one = _mix(one * _FOLD + h[k : k + 1])
+                    out.append((one, np.ones(1, np.int64)))
+                else:
+                    out.append((np.zeros(0, np.uint64), np.zeros(0, np.int64)))
+        return out
 
     def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        words = text.split() if text else []
-        if not words:
-            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        get = self.cache
-        h = np.array([get[w] for w in words], np.uint64)
-        n = max(1, len(h) - WORDS + 1)
-        mixed = np.full(n, np.uint64(min(len(h), WORDS)), np.uint64)
-        for k in range(min(len(h), WORDS)):
-            mixed = _mix(mixed * _FOLD + h[k : k + n])
-        return np.unique(mixed, return_counts=True)
+        return self.many(pa.array([text], pa.string()))[0]
 
 
 _SHINGLER: list[Shingler] = []
@@ -120,15 +182,15 @@ def document_frequencies(docs: DataFrame) -> DataFrame:
             return rows([(k, a.tobytes(), b.tobytes()) for k, (a, b) in enumerate(split) if len(a)])
 
         for batch in batches:
-            for text in batch.column(0):
-                h, _ = shingle(text.as_py())
-                if len(h):
-                    n += 1
-                    pending.append(h)
-                    size += len(h)
-                if size >= PENDING:
-                    yield give()
-                    pending, size = [], 0
+            for at in range(0, batch.num_rows, BATCH_ROWS):
+                for h, _ in shingle.many(batch.column(0).slice(at, BATCH_ROWS)):
+                    if len(h):
+                        n += 1
+                        pending.append(h)
+                        size += len(h)
+                    if size >= PENDING:
+                        yield give()
+                        pending, size = [], 0
         if size:
             yield give()
         yield rows([(-1, b"", np.array([n], "<i8").tobytes())])
@@ -149,18 +211,20 @@ def document_frequencies(docs: DataFrame) -> DataFrame:
     return parts.groupBy("slice").applyInPandas(add, "h long, df long")
 
 
-def inverse_frequencies(docs: DataFrame, listed: int = LISTED) -> Weights:
-    """The weights of shingles, with at most ``listed`` document frequencies."""
+def inverse_frequencies(docs: DataFrame, share: float = SHARE, listed: int | None = None) -> Weights:
+    """The weights of shingles, with the document frequencies of 2 and of ``share`` of the texts or more.
+
+    ``listed`` bounds the list further, for tasks with little memory: the frequencies that go beyond it are left out, lowest first.
+    """
     found = materialise(document_frequencies(docs), "near-frequencies")
     n = found.where("h IS NULL").agg(F.sum("df")).first()[0] or 0
-    shingles = found.where("h IS NOT NULL")
-    least, total = 2, 0
-    # a row for each frequency that occurs
-    for df, times in sorted(((r[0], r[1]) for r in shingles.groupBy("df").count().collect()), reverse=True):
-        total += times
-        if total > listed:
-            least = df + 1
-            break
+    shingles, least, total = found.where("h IS NOT NULL"), max(2, n * share), 0
+    if listed is not None:
+        for df, times in sorted(((r[0], r[1]) for r in shingles.where(F.col("df") >= least).groupBy("df").count().collect()), reverse=True):
+            total += times
+            if total > listed:
+                least = df + 1
+                break
     rows = shingles.where(F.col("df") >= least).toArrow()
     h = rows.column("h").to_numpy().astype(np.int64).view(np.uint64)
     order = np.argsort(h)
@@ -176,29 +240,51 @@ class Sampler:
         self.r = rng.gamma(2, 1, VARIATES)
         self.per_r = 1 / self.r
         self.beta = rng.random(VARIATES)
-        # ln a = ln c - r (t - beta) - r: the part that doesn't depend on t
-        self.log_c = np.log(rng.gamma(2, 1, VARIATES))
+        # ln a = ln c - r (t - beta) - r: the part that doesn't depend on t and beta
+        self.rest = np.log(rng.gamma(2, 1, VARIATES)) - self.r
         self.factors = rng.integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
 
+    def _least(self, h: np.ndarray, weight: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each sample and stretch of ``h`` the least ln a, and the sample drawn there (of equals the first one's)."""
+        sizes = np.diff(np.append(starts, len(h)))
+        least, picked = np.empty((len(self.factors), len(starts))), np.empty((len(self.factors), len(starts)), np.uint64)
+        for k, factor in enumerate(self.factors):
+            drawn = h * factor
+            a, b = (drawn >> np.uint64(48)).view(np.int64), (drawn >> np.uint64(32) & np.uint64(VARIATES - 1)).view(np.int64)
+            beta = self.beta[b]
+            t = self.per_r[a]
+            t *= weight
+            t += beta
+            np.floor(t, out=t)
+            beta -= t
+            beta *= self.r[a]
+            beta += self.rest[a]
+            least[k] = np.minimum.reduceat(beta, starts)
+            at = np.flatnonzero(beta == np.repeat(least[k], sizes))
+            if len(at) > len(starts):
+                owner = np.searchsorted(starts, at, side="right") - 1
+                at = at[np.flatnonzero(np.diff(owner, prepend=-1))]
+            picked[k] = _mix(h[at] + t[at].astype(np.int64).view(np.uint64) * _FOLD)
+        return least, picked
+
     def keys(self, sets: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-        """For each set (none of them empty) an int64 key a band, and the samples' lowest four bits, 16 samples to an int64."""
+        """For each set (none of them empty) an int64 key a band, and the samples' lowest four bits, 16 samples to an int64.
+
+        Sets are sampled in blocks of ``SAMPLED`` shingles; of a set's parts in several blocks the least one counts.
+        """
         sizes = np.array([len(h) for h, _ in sets])
+        ends = np.cumsum(sizes)
         h = np.concatenate([h for h, _ in sets])
         weight = self.log_weight(h) + np.log(np.concatenate([n for _, n in sets]))
-        starts = np.cumsum(sizes) - sizes
-        low = np.uint64(VARIATES - 1)
-        picked = np.empty((BANDS * ROWS, len(sets)), np.uint64)
-        for k, factor in enumerate(self.factors):
-            drawn = h * factor
-            a, b, c = (drawn >> np.uint64(48)).astype(np.int64), (drawn >> np.uint64(32) & low).astype(np.int64), (drawn >> np.uint64(16) & low).astype(np.int64)
-            r, beta = self.r[a], self.beta[b]
-            t = np.floor(weight * self.per_r[a] + beta)
-            log_a = self.log_c[c] - r * (t - beta + 1)
-            least = np.minimum.reduceat(log_a, starts)
-            at = np.flatnonzero(log_a == np.repeat(least, sizes))
-            owner = np.searchsorted(starts, at, side="right") - 1
-            first = at[np.flatnonzero(np.diff(owner, prepend=-1))]
-            picked[k] = _mix(h[first] + t[first].astype(np.int64).astype(np.uint64) * _FOLD)
+        low = np.full((len(self.factors), len(sets)), np.inf)
+        picked = np.zeros((len(self.factors), len(sets)), np.uint64)
+        for at in range(0, len(h), SAMPLED):
+            stop = min(at + SAMPLED, len(h))
+            some = np.arange(np.searchsorted(ends, at, side="right"), np.searchsorted(ends, stop - 1, side="right") + 1)
+            least, drawn = self._least(h[at:stop], weight[at:stop], np.maximum((ends - sizes)[some] - at, 0))
+            lower = least < low[:, some]
+            low[:, some] = np.where(lower, least, low[:, some])
+            picked[:, some] = np.where(lower, drawn, picked[:, some])
         out = np.empty((BANDS, len(sets)), np.uint64)
         for band in range(BANDS):
             key = np.full(len(sets), np.uint64(band + 1), np.uint64)
@@ -222,37 +308,43 @@ def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.n
 
 
 def signatures(docs: DataFrame, log_weight: Weights) -> DataFrame:
-    """doc_id, digest, weight, keys, marks: a row per row of ``docs``; all but doc_id are null for a text without words."""
-    sent = docs.sparkSession.sparkContext.broadcast(log_weight)  # LISTED numbers at most
+    """doc_id, same (hash of the text), digest, weight, keys, marks: a row per row of ``docs``; without words the last four are null."""
+    sent = docs.sparkSession.sparkContext.broadcast(log_weight)  # bounded by 1 / SHARE
 
-    def make():
+    ship_code(docs.sparkSession)
+    schema = "doc_id long, same binary, digest binary, weight double, keys array<long>, marks array<long>"
+    kinds = {"doc_id": pa.int64(), "same": pa.binary(), "digest": pa.binary(), "weight": pa.float64(), "keys": pa.list_(pa.int64()), "marks": pa.list_(pa.int64())}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle, sampler = shingler(), Sampler(sent.value)
+        for batch in batches:
+            for at in range(0, batch.num_rows, BATCH_ROWS):
+                part = batch.slice(at, BATCH_ROWS)
+                sets = shingle.many(part.column(2))
+                out = {c: [None] * len(sets) for c in ("digest", "weight", "keys", "marks")}
+                full = [i for i, s in enumerate(sets) if len(s[0])]
+                if full:
+                    for i, row, bits in zip(full, *sampler.keys([sets[i] for i in full]), strict=True):
+                        h, n = sets[i]
+                        out["keys"][i], out["marks"][i] = row, bits
+                        out["digest"][i] = hashlib.blake2b(h.tobytes() + n.tobytes(), digest_size=16).digest()
+                        out["weight"][i] = float((np.exp(sent.value(h)) * n).sum())
+                made = [part.column(0), part.column(1), *[pa.array(v, kinds[c]) for c, v in out.items()]]
+                yield pa.RecordBatch.from_arrays([x.cast(k) for x, k in zip(made, kinds.values(), strict=True)], names=list(kinds))
 
-        def run(cols):
-            sets = [shingle(t) for t in cols["text"]]
-            full = [i for i, s in enumerate(sets) if len(s[0])]
-            keys: list = [None] * len(sets)
-            digests: list = [None] * len(sets)
-            weights: list = [None] * len(sets)
-            marks: list = [None] * len(sets)
-            if full:
-                for i, row, bits in zip(full, *sampler.keys([sets[i] for i in full]), strict=True):
-                    h, n = sets[i]
-                    marks[i] = bits
-                    keys[i], digests[i] = row, hashlib.blake2b(h.tobytes() + n.tobytes(), digest_size=16).digest()
-                    weights[i] = float((np.exp(sent.value(h)) * n).sum())
-            return {"doc_id": cols["doc_id"], "digest": digests, "weight": weights, "keys": keys, "marks": marks}
+    return docs.select(F.col("doc_id").cast("long"), text_key("text").alias("same"), "text").mapInArrow(run, schema)
 
-        return run
 
-    return map_rows(docs.select("doc_id", "text"), make, "doc_id long, digest binary, weight double, keys array<long>, marks array<long>")
+def text_key(text: str) -> Column:
+    """16 bytes that tell texts apart; null for a null text."""
+    return F.unhex(F.md5(F.col(text)))
 
 
 def verified(pairs: DataFrame, texts: DataFrame, log_weight: Weights, similarity: float = SIMILARITY) -> DataFrame:
-    """a, b: those of ``pairs`` whose texts are similar enough. ``texts``: a row per id."""
+    """a, b: those of ``pairs`` whose texts are similar enough. ``texts``: node, text, a row per node."""
     sent = pairs.sparkSession.sparkContext.broadcast(log_weight)
-    both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    both = both.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
+    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
+    both = both.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
 
     def make():
         shingle = shingler()
@@ -269,7 +361,7 @@ def verified(pairs: DataFrame, texts: DataFrame, log_weight: Weights, similarity
 
         return run
 
-    return map_rows(both.select("a", "b", "text_a", "text_b"), make, "a long, b long")
+    return map_rows(both.select("a", "b", "text_a", "text_b"), make, "a long, b long", rows=64)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -291,35 +383,44 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """doc_id, class_id (the smallest id of the class) for every row of ``docs``; other columns are not looked at.
-
-    Texts without words are alone, also among themselves; a text of fewer than five words is one shingle. Rows with a null
-    doc_id are in no class (null). Rows with equal ids are one document only if their texts are copies.
-    """
-    spark: SparkSession = docs.sparkSession
+def _classes(docs: DataFrame, similarity: float) -> DataFrame:
+    """doc_id, same, node for every row of ``docs``: rows of one class have the same node; null for texts without words."""
     docs = docs.select("doc_id", "text")
     log_weight = inverse_frequencies(docs)
     rows = materialise(signatures(docs, log_weight), "near-signatures")
-    named = rows.where(F.col("doc_id").isNotNull() & F.col("digest").isNotNull())
-    # equal digests have equal keys and weights, so any of them will do
-    same = [F.first(c).alias(c) for c in ("keys", "weight", "marks")]
-    reps = materialise(named.groupBy("digest").agg(F.min("doc_id").alias("rep"), *same), "near-reps")
+    # equal digests have equal keys and weights, so any of them will do; one row's text stands for all
+    agg = [F.min(F.struct("doc_id", "same")).alias("home"), *[F.first(c).alias(c) for c in ("keys", "weight", "marks")]]
+    reps = rows.where("digest IS NOT NULL").groupBy("digest").agg(*agg)
+    # numbers are unique, and fixed by the written table
+    reps = materialise(reps.withColumn("rep", F.monotonically_increasing_id()), "near-reps")
     banded = reps.select("rep", "weight", "keys", "marks", F.explode("keys").alias("key"))
     shared = materialise(banded.groupBy("key").agg(F.min("rep").alias("first"), F.count("*").alias("n")).where("n > 1"), "near-keys")
     banded = materialise(banded.join(shared, "key"), "near-bands")  # only keys that several share
     pairs = materialise(banded.where("rep <> first").select(F.col("rep").alias("a"), F.col("first").alias("b")).distinct(), "near-pairs")
-    wanted = materialise(banded.select(F.col("rep").alias("doc_id")).distinct(), "near-wanted")
-    # an id may have several texts: the one that became the representative is found by its row
-    own = named.select("doc_id").groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
-    texts = docs.join(wanted, "doc_id", "left_semi")
-    texts = materialise(texts.groupBy("doc_id").agg(F.min("text").alias("text")) if own else texts, "near-texts")
+    wanted = reps.select("rep", "home").join(banded.select("rep").distinct(), "rep", "left_semi")
+    wanted = materialise(wanted.select(F.col("rep").alias("node"), F.col("home.doc_id").alias("__id"), F.col("home.same").alias("__same")), "near-wanted")
+    # a row is found by id and text, so that copies of one text do not meet
+    home = (text_key("text") == F.col("__same")) & F.col("doc_id").eqNullSafe(F.col("__id"))
+    texts = docs.join(wanted, home).groupBy("node").agg(F.first("text").alias("text"))
+    texts = materialise(texts, "near-texts")
     links = materialise(verified(pairs, texts, log_weight, similarity), "near-found")
     labels = components(links)
     labels = _cross_links(banded, pairs, links, labels, texts, log_weight, similarity)
-    found = rows.join(reps.select("digest", "rep"), "digest", "left").join(labels, F.col("rep") == F.col("node"), "left")
-    alone = F.coalesce("label", "rep", "doc_id")
-    return found.select("doc_id", F.when(F.col("doc_id").isNotNull(), alone).alias("class_id"))
+    nodes = reps.select("digest", "rep").join(labels, F.col("rep") == F.col("node"), "left")
+    nodes = nodes.select("digest", F.coalesce("label", "rep").alias("node"))
+    return materialise(rows.select("doc_id", "same", "digest").join(nodes, "digest", "left").select("doc_id", "same", "node"), "near-classes")
+
+
+def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """doc_id, class_id (the smallest id of the class) for every row of ``docs``; other columns are not looked at.
+
+    Texts without words are alone, also among themselves; a text of fewer than five words is one shingle. Texts, not ids, make
+    classes: rows with one id and different texts may be in different classes. A row with a null doc_id has the class of its
+    text like others (null if no row of the class has an id).
+    """
+    rows = _classes(docs, similarity)
+    least = rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least"))
+    return rows.join(least, "node", "left").select("doc_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("class_id"))
 
 
 def agreeing(a: Column, b: Column) -> Column:
@@ -377,10 +478,21 @@ def _cross_links(banded: DataFrame, pairs: DataFrame, links: DataFrame, labels:
 
 
 def without_copies(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The rows of ``docs`` that are the first of their class, and those without an id; all columns stay."""
-    classes = near_classes(docs, similarity).where("doc_id <> class_id").select(F.col("doc_id").alias("__gone")).distinct()
-    gone = materialise(classes, "near-gone")
-    return docs.join(gone, docs["doc_id"] == F.col("__gone"), "left_anti")
+    """One row of ``docs`` for each class: that of the smallest id (null last), and of those the least text key; all columns stay.
+
+    Rows without words stay, all of them. Of rows that repeat both id and text one stays.
+    """
+    rows = _classes(docs, similarity).where("node IS NOT NULL")
+    best = rows.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "same")).alias("__best"))
+    mine = F.struct(F.col("doc_id").isNull(), "doc_id", "same")
+    told = materialise(rows.join(best, "node").groupBy(F.col("doc_id").alias("__id"), F.col("same").alias("__same")).agg(F.max(mine.eqNullSafe(F.col("__best"))).alias("__stays"), F.count("*").alias("__n")), "near-told")
+    key = (text_key("text") == F.col("__same")) & docs["doc_id"].eqNullSafe(F.col("__id"))
+    left = docs.join(told.where("NOT __stays").select("__id", "__same"), key, "left_anti")
+    repeated = told.where("__stays AND __n > 1").select("__id", "__same")
+    once = left.join(repeated, key, "left_anti")
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    several = left.join(repeated, key).groupBy("__id", "__same").agg(F.first(whole).alias("__row"))
+    return once.unionByName(several.select(*[F.col("__row").getField(c).alias(c) for c in docs.columns]))
 
 
 def op2_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:

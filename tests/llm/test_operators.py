@@ -257,6 +257,48 @@ def test_near_copies_against_brute_force(spark, odd, empty):
     assert nearcopies.near_classes(empty).count() == 0
 
 
+def test_near_copies_are_texts_not_ids(spark):
+    rng = random.Random(12)
+    x, y = (" ".join(f"w{rng.randrange(9999)}" for _ in range(120)) for _ in range(2))
+    rows = [(1, x, 0), (5, x, 1), (5, y, 2), (9, y + " z", 3), (7, x, 4), (7, x, 4), (None, y, 5), (None, "alone in the world, without an id", 6), (6, "", 7), (6, "", 7), (8, None, 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, node int")
+    got = sorted(((r["doc_id"], r["class_id"]) for r in nearcopies.near_classes(docs).collect()), key=str)
+    assert got == sorted([(1, 1), (5, 1), (5, 5), (9, 5), (7, 1), (7, 1), (None, 5), (None, None), (6, 6), (6, 6), (8, 8)], key=str)
+    kept = nearcopies.without_copies(docs)
+    assert kept.columns == docs.columns
+    # one row of each class; of rows without words all
+    assert sorted(r["node"] for r in kept.collect()) == [0, 2, 6, 7, 7, 8]
+    twice = spark.createDataFrame([(3, x, 1), (3, x, 1), (4, x, 2)], docs.schema)
+    assert [tuple(r) for r in nearcopies.without_copies(twice).collect()] == [(3, x, 1)]
+
+
+def test_shingles_equal_those_of_words_one_by_one():
+    import pyarrow as pa
+
+    rng = random.Random(13)
+    shingle = nearcopies.Shingler()
+    spaces = [" ", "  ", "\n", "\t ", "\u00a0", "\u3000", "\x1c"]
+    texts = [None, "", " ", "one", *["".join(rng.choice(["a", "bc", "é", "日本"]) + rng.choice(spaces) for _ in range(rng.randrange(40))) for _ in range(300)]]
+    texts.append("long text here " * 200_000)
+    for text, (h, n) in zip(texts, shingle.many(pa.array(texts, pa.string())), strict=True):
+        words = (text or "").split()
+        want = collections.Counter(tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))) if words else {}
+        assert sorted(want.values()) == sorted(n.tolist()) and (np.diff(h.astype(object)) > 0).all()
+        again = shingle(" ".join(words))
+        assert np.array_equal(again[0], h) and np.array_equal(again[1], n)
+
+
+def test_samples_do_not_depend_on_blocks():
+    weights = nearcopies.Weights(50, np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    sampler, shingle = nearcopies.Sampler(weights), nearcopies.Shingler()
+    rng = random.Random(14)
+    sets = [shingle(" ".join(f"w{rng.randrange(10**6)}" for _ in range(n))) for n in (5, 700, 3, 90_000, 40, 33_000, 9)]
+    keys, marks = sampler.keys(sets)
+    for k, one in enumerate(sets):
+        alone = sampler.keys([one])
+        assert np.array_equal(alone[0][0], keys[k]) and np.array_equal(alone[1][0], marks[k])
+
+
 def test_shingle_weights_against_brute_force(spark, empty):
     rng = random.Random(8)
     common = [f"c{k}" for k in range(40)]

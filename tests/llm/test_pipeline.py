@@ -19,4 +19,4 @@ def test_stages_keep_columns_and_take_effect(spark, sf_dir):
 
 
 def test_queries_are_registered_once_each():
-    assert [name.split("_")[0] for name in catalog.queries()] == [f"op{n}" for n in range(1, 11)]
+    assert [name.split("_")[0] for name in catalog.queries()] == [f"op{n}" for n in range(1, 14)]
