@@ -42,12 +42,12 @@ SHARE = 1 / 4096
 #: Hash ranges in which frequencies are counted, and the shingles a task adds up before it gives them to the ranges.
 RANGE_BITS = 10
 PENDING = 1 << 21
-#: Random variates per table; a sample draws its two rows by hash.
-VARIATES = 1 << 16
+#: Random variates per table (a power of two; the tables fit a core's cache); a sample draws its two rows by hash.
+VARIATES = 1 << 13
 SEED = 20
 #: Bytes of text that are hashed together, and shingles that are sampled together: they bound the memory beside the texts.
 TEXT_BYTES = 1 << 20
-SAMPLED = 1 << 15
+SAMPLED = 1 << 13
 #: White space beyond the ASCII kinds.
 ODD_SPACE = r"[\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -247,18 +247,19 @@ class Sampler:
     def _least(self, h: np.ndarray, weight: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For each sample and stretch of ``h`` the least ln a, and the sample drawn there (of equals the first one's)."""
         sizes = np.diff(np.append(starts, len(h)))
+        high = np.uint64(65 - VARIATES.bit_length())
         least, picked = np.empty((len(self.factors), len(starts))), np.empty((len(self.factors), len(starts)), np.uint64)
         for k, factor in enumerate(self.factors):
             drawn = h * factor
-            a, b = (drawn >> np.uint64(48)).view(np.int64), (drawn >> np.uint64(32) & np.uint64(VARIATES - 1)).view(np.int64)
-            beta = self.beta[b]
-            t = self.per_r[a]
+            a, b = (drawn >> high).view(np.int64), (drawn >> np.uint64(32) & np.uint64(VARIATES - 1)).view(np.int64)
+            beta = self.beta.take(b, mode="clip")
+            t = self.per_r.take(a, mode="clip")
             t *= weight
             t += beta
             np.floor(t, out=t)
             beta -= t
-            beta *= self.r[a]
-            beta += self.rest[a]
+            beta *= self.r.take(a, mode="clip")
+            beta += self.rest.take(a, mode="clip")
             least[k] = np.minimum.reduceat(beta, starts)
             at = np.flatnonzero(beta == np.repeat(least[k], sizes))
             if len(at) > len(starts):
