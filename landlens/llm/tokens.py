@@ -100,8 +100,18 @@ class WordTokenizer:
         # a space between two others belongs to a run of white space, whose last one may go to the next word
         if "  " in text or ((not text.isascii() or any(c in text for c in _WHITE)) and _SPACE_RUN.search(text)):
             return [text]
-        first, *rest = text.split(" ")
-        return [first, *[" " + p for p in rest]] if first else [" " + p for p in rest]
+        lines = text.split("\n")
+        if len(lines) > 2 and not all(lines[1:-1]) or any(line != line.strip() for line in lines):
+            lines = [text]  # line ends beside other white space stay inside their part
+        out: list[str] = []
+        for k, line in enumerate(lines):
+            if k:  # a line end between two other characters is always split off
+                out.append("\n")
+            first, *rest = line.split(" ")
+            if first:
+                out.append(first)
+            out += [" " + p for p in rest]
+        return out
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         split = [self.parts(t) if t else [] for t in texts]
