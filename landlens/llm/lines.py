@@ -1,23 +1,23 @@
-"""Line dedup by exact runs of lines and by content-defined chunks of them.
-
-A text is read as units: its lines, and of a line of ``LONG_WORDS`` words or more the sentences it is made of. Two kinds of spans
-are looked for everywhere:
-
-- Runs: from every unit that has words on to the first unit that brings ``LONG_WORDS`` words, and the runs that end at a unit
-  and have no shorter ones with so many words. A passage of ``LONG_WORDS`` words or more is the union of the runs inside it, so
-  it is found whole wherever it stands, whatever its neighbours.
-- Chunks, for shorter passages: a rolling hash over the hashes of two neighbouring units chooses where a chunk ends, so that
-  boundaries depend on the units around them alone. They have several units (or one of ``LONG_WORDS`` words).
-
-Spans that occur more than once are removed, but for their first occurrence (smallest doc_id, then place). Hashes choose the
-candidates; whether they are equal is decided by grouping on the bytes themselves. Spans whose hash belongs to two different
-texts stay where they are. Everything is DataFrame expressions.
+"""Line dedup by content-defined chunks of lines.
+
+A text is read as units: its lines, and of a line of ``LONG_WORDS`` words or more the sentences it is made of; blank lines belong
+to the unit before them. White space at a unit's end is no part of its content.
+
+1. A hash rolls over the hashes of two neighbouring units. Pairs of neighbours (and single units of ``LONG_WORDS`` words) whose hash
+   occurs once in all documents can't be inside a repeated passage; the units that are joined by repeated pairs form stretches.
+2. A stretch is cut into chunks where the rolling hash says so and at its own ends, so that boundaries depend on the units beside
+   them alone. A chunk has two units or more. In stretches of ``LONG_WORDS`` words also the runs count that go from a unit to the
+   first one that brings so many words, or end at a unit and have no shorter one with so many: a repeated passage of ``LONG_WORDS``
+   words is the union of the runs inside it, so it is found whole wherever it stands, whatever its neighbours.
+3. Chunks and runs are compared as lists of unit hashes, and the bytes of all units of stretches by grouping on them: a list
+   that holds a hash of two different units is left where it stands.
+
+Spans that occur more than once are removed, but for their first occurrence (smallest doc_id, then place). Everything is
+DataFrame expressions.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,12 +28,13 @@ from landlens.session import materialise
 LONG_WORDS = 50
 #: One in so many places is a boundary.
 DIVISOR = 3
-#: Chunks below this many words, or of a single short line, are too common to tell copies from chance.
+#: Chunks below this many words are too common to tell copies from chance.
 MIN_WORDS = 10
-MIN_LINES = 2
 #: Most runs end within so many units; the others are looked for among ``LONG_WORDS`` units, as each has a word.
 NEAR_UNITS = 10
-SPAN = "array<struct<k:int,s:int,n:int,h:bigint>>"
+NEXT_LINE = r"\n(?=[ \t\r]*[^ \t\r\n])"
+NEXT_SENTENCE = r"(?<=[.!?]\s{1,3})(?=\S)"
+SPAN = "array<struct<s:int,n:int,ids:array<bigint>>>"
 
 
 def words_in(text: Column) -> Column:
@@ -42,137 +43,152 @@ def words_in(text: Column) -> Column:
 
 
 def units(text: Column) -> Column:
-    """array<struct(u, first, last)>: lines, and the sentences of long lines; put together they are the text."""
+    """array<string>: lines, and the sentences of long lines; put together they are the text. Only the first can be blank."""
 
     def line_units(line: Column) -> Column:
-        sentences = F.filter(F.split(line, r"(?<=[.!?]\s)"), lambda s: s != "")
-        own = let(sentences, lambda s: F.transform(s, lambda x, i: F.struct(x.alias("u"), (i == 0).alias("first"), (i == F.size(s) - 1).alias("last"))))
-        whole = F.array(F.struct(line.alias("u"), F.lit(False).alias("first"), F.lit(False).alias("last")))
-        return F.when((F.length(line) >= 2 * LONG_WORDS - 1) & (words_in(line) >= LONG_WORDS), own).otherwise(whole)
+        long = (F.length(line) >= 2 * LONG_WORDS - 1) & (words_in(line) >= LONG_WORDS)
+        return F.when(long, F.split(line, NEXT_SENTENCE)).otherwise(F.array(line))
+
+    def ended(pieces: Column) -> Column:
+        lines = F.transform(pieces, lambda x, i: F.when(i < F.size(pieces) - 1, F.concat(x, F.lit("\n"))).otherwise(x))
+        return F.flatten(F.transform(lines, line_units))
 
-    lines = F.filter(F.split(F.coalesce(text, F.lit("")), r"(?<=\n)"), lambda x: x != "")
-    return F.flatten(F.transform(lines, line_units))
+    return let(F.split(F.coalesce(text, F.lit("")), NEXT_LINE), ended)
 
 
-def without_end(text: Column) -> Column:
+def content(unit: Column) -> Column:
     """What follows a passage, a space or the end of a line, is no part of it."""
-    return F.rtrim(text, F.lit(" \n\r\t"))
+    return F.rtrim(unit, F.lit(" \n\r\t"))
+
+
+def facts(text: Column) -> Column:
+    """array<struct(w, e)>: words and hash of each unit."""
+    return F.transform(units(text), lambda x: F.struct(words_in(x).alias("w"), F.xxhash64(content(x)).alias("e")))
+
+
+def marks(u: Column) -> Column:
+    """array<struct(mark, key)>: 2k for units k and k + 1, 2k + 1 for a long unit k, with the hash to be counted."""
+
+    def pair(x: Column, k: Column) -> Column:
+        after = F.get(u, k + 1)
+        return F.when((x["w"] > 0) & (after["w"] > 0), F.struct((2 * k).alias("mark"), F.xxhash64(x["e"], after["e"]).alias("key")))
 
+    def alone(x: Column, k: Column) -> Column:
+        return F.when(x["w"] >= LONG_WORDS, F.struct((2 * k + 1).alias("mark"), F.xxhash64(x["e"]).alias("key")))
 
-def joined(u: Column, s: Column, n: Column) -> Column:
-    return F.array_join(F.transform(F.slice(u, s + 1, n), lambda x: x["u"]), "")
+    return F.array_compact(F.concat(F.transform(u, pair), F.transform(u, alone)))
 
 
-def chunk_spans(u: Column, words: Column, hashes: Column) -> Column:
-    """The chunks that count, as SPAN with k = -1."""
-    size = F.size(u)
+def stretches(found: Column) -> Column:
+    """array<struct(a, b)>: first and last units of the stretches, from sorted marks."""
 
-    def ends(i: Column) -> Column:  # is there a boundary behind unit i (from 1)?
-        here, after = F.get(u, i - 1), F.get(u, i)
-        # two neighbouring places are not both boundaries, and no sentence at the edge of a long line is left alone
-        chosen = [F.pmod(F.xxhash64(F.get(hashes, i - 2 - back), F.get(hashes, i - 1 - back)), F.lit(DIVISOR)) == 0 for back in (0, 1)]
-        return (i == size) | here["last"] | after["first"] | (chosen[0] & ~chosen[1] & ~here["first"] & ~after["last"])
+    def cut(links: Column) -> Column:
+        starts = F.array_compact(F.transform(links, lambda x, i: F.when(F.coalesce(F.get(links, i - 1), F.lit(-9)) != x - 1, x)))
+        ends = F.array_compact(F.transform(links, lambda x, i: F.when(F.coalesce(F.get(links, i + 1), F.lit(-9)) != x + 1, x + 1)))
+        return let(ends, lambda e: F.transform(starts, lambda a, i: F.struct(a.alias("a"), F.get(e, i).alias("b"))))
 
-    def one(stops: Column, stop: Column, k: Column) -> Column:
-        start = F.when(k == 0, 0).otherwise(F.get(stops, k - 1))
-        return F.struct(F.lit(-1).alias("k"), start.alias("s"), (stop - start).alias("n"), F.xxhash64(F.slice(hashes, start + 1, stop - start)).alias("h"))
+    return let(F.transform(F.filter(found, lambda m: m % 2 == 0), lambda m: F.shiftright(m, 1)), cut)
 
-    def counts(c: Column) -> Column:
-        def enough(total: Column) -> Column:
-            return (total >= MIN_WORDS) & ((c["n"] >= MIN_LINES) | (total >= LONG_WORDS))
 
-        return let(F.aggregate(F.slice(words, c["s"] + 1, c["n"]), F.lit(0), lambda a, w: a + w), enough)
+def long_units(found: Column) -> Column:
+    return F.transform(F.filter(found, lambda m: m % 2 == 1), lambda m: F.shiftright(m, 1))
 
-    stops = F.filter(F.sequence(F.lit(1), size), ends)
-    return F.filter(let(stops, lambda found: F.transform(found, lambda stop, k: one(found, stop, k))), counts)
 
+def chunks(part: Column) -> Column:
+    """array<struct(s, n)>: the chunks of a stretch."""
+    size = F.size(part)
 
-def with_reach(words: Column, body: Callable[[Column, Column], Column]) -> Column:
-    """``body`` of the places of the units that have words, and for each of these the number (in this list) of the one with
-    which ``LONG_WORDS`` words are reached, or null. There must be such a unit."""
-    places = F.filter(F.transform(words, lambda w, i: F.when(w > 0, i)), lambda i: i.isNotNull())
+    def chosen(j: Column) -> Column:  # is there a boundary between unit j - 1 and unit j?
+        return F.pmod(F.xxhash64(F.get(part, j - 1)["e"], F.get(part, j)["e"]), F.lit(DIVISOR)) == 0
 
-    def reach(counts: Column, k: Column) -> Column:
+    # neighbouring places are not both boundaries, and no unit at an end is left alone
+    stops = F.filter(F.sequence(F.lit(2), size), lambda j: (j == size) | ((j <= size - 2) & chosen(j) & ~chosen(j - 1)))
+
+    def one(found: Column) -> Column:
+        def chunk(stop: Column, k: Column) -> Column:
+            start = F.when(k == 0, 0).otherwise(F.get(found, k - 1))
+            return F.struct(start.alias("s"), (stop - start).alias("n"))
+
+        return F.transform(found, chunk)
+
+    def enough(c: Column) -> Column:
+        return F.aggregate(F.slice(part, c["s"] + 1, c["n"]), F.lit(0), lambda a, x: a + x["w"]) >= MIN_WORDS
+
+    return F.filter(let(stops, one), enough)
+
+
+def runs(part: Column) -> Column:
+    """array<struct(s, n)>: the runs of ``LONG_WORDS`` words of a stretch, of two units or more."""
+
+    def reach(k: Column) -> Column:  # the unit with which they are reached from unit k on, or null
         def within(n: int) -> Column:
             start = F.struct(F.lit(0).alias("sum"), F.lit(0).alias("n"))
-            total = F.aggregate(F.slice(counts, k + 1, n), start, lambda a, w: F.struct((a["sum"] + w).alias("sum"), (a["n"] + F.when(a["sum"] < LONG_WORDS, 1).otherwise(0)).alias("n")))
+            total = F.aggregate(F.slice(part, k + 1, n), start, lambda a, x: F.struct((a["sum"] + x["w"]).alias("sum"), (a["n"] + F.when(a["sum"] < LONG_WORDS, 1).otherwise(0)).alias("n")))
             return let(total, lambda t: F.when(t["sum"] >= LONG_WORDS, k + t["n"] - 1))
 
         return F.coalesce(within(NEAR_UNITS), within(LONG_WORDS))
 
-    def bound(p: Column) -> Column:
-        counts = F.filter(words, lambda w: w > 0)
-        reached = let(counts, lambda c: F.transform(c, lambda _, k: reach(c, k)))
-        return let(reached, lambda m: body(p, m))
-
-    return let(places, bound)
-
-
-def spans(text: Column) -> Column:
-    """SPAN: chunks, and the runs that start at each unit (k: its number among the units with words); n units from unit s on."""
+    def each(m: Column) -> Column:
+        def one(end: Column, k: Column) -> Column:
+            last = F.greatest(end, F.coalesce(F.get(m, k + 1), F.size(m)) - 1)
+            return F.when(end.isNotNull(), F.transform(F.sequence(end, last), lambda e: F.struct(k.alias("s"), (e - k + 1).alias("n"))))
 
-    def both(u: Column, words: Column, hashes: Column, edges: Column) -> Column:
-        def runs(p: Column, m: Column) -> Column:
-            def one(end: Column, k: Column) -> Column:
-                s, e = F.get(p, k), F.get(p, end)
-                return F.when(end.isNotNull(), F.struct(k.alias("k"), s.alias("s"), (e - s + 1).alias("n"), F.xxhash64(F.slice(hashes, s + 1, e - s), F.get(edges, e)).alias("h")))
+        return F.filter(F.flatten(F.array_compact(F.transform(m, one))), lambda r: r["n"] > 1)
 
-            return F.filter(F.transform(m, one), lambda x: x.isNotNull())
+    return let(F.transform(part, lambda _, k: reach(k)), each)
 
-        enough = F.aggregate(words, F.lit(0), lambda a, w: a + w) >= LONG_WORDS
-        chunks = chunk_spans(u, words, hashes)
-        return F.when(enough, F.concat(chunks.cast(SPAN), with_reach(words, runs).cast(SPAN))).otherwise(chunks.cast(SPAN))
 
-    def read(u: Column) -> Column:
-        facts = F.struct(
-            F.transform(u, lambda x: words_in(x["u"])).alias("words"),
-            F.transform(u, lambda x: F.xxhash64(x["u"])).alias("hashes"),
-            F.transform(u, lambda x: F.xxhash64(without_end(x["u"]))).alias("edges"),
-        )
-        return F.when(F.size(u) > 0, let(facts, lambda f: both(u, f["words"], f["hashes"], f["edges"])))
+def spans(u: Column, found: Column) -> Column:
+    """SPAN: n units from unit s on, with their hashes; ``found`` are the marks that occur more than once, sorted."""
 
-    return F.coalesce(let(units(text), read), F.array().cast(SPAN))
+    def with_ids(part: Column, first: Column, places: Column) -> Column:
+        return F.transform(
+            places,
+            lambda c: F.struct((first + c["s"]).alias("s"), c["n"].alias("n"), F.transform(F.slice(part, c["s"] + 1, c["n"]), lambda x: x["e"]).alias("ids")),
+        ).cast(SPAN)
 
+    def stretch(z: Column) -> Column:
+        def inside(part: Column) -> Column:
+            total = F.aggregate(part, F.lit(0), lambda a, x: a + x["w"])
+            both = let(total, lambda t: F.when(t >= LONG_WORDS, F.concat(chunks(part), runs(part))).when(t >= MIN_WORDS, chunks(part)))
+            return F.coalesce(with_ids(part, z["a"], both), F.array().cast(SPAN))
 
-def texts_of(text: Column, found: Column) -> Column:
-    """array<struct(s, n, text)>: the spans among ``found`` (k, s, n), and the longer runs from the same units on that are the
-    shortest with their end. A run's text is without the white space at its end."""
+        return let(F.slice(u, z["a"] + 1, z["b"] - z["a"] + 1), inside)
 
-    def each(u: Column) -> Column:
-        def take(p: Column, m: Column) -> Column:
-            def runs(k: Column) -> Column:
-                end = F.get(m, k)
-                last = F.greatest(end, F.coalesce(F.get(m, k + 1), F.size(p)) - 1)
-                s = F.get(p, k)
-                return F.transform(F.sequence(end, last), lambda e: let(F.get(p, e) - s + 1, lambda n: F.struct(s.alias("s"), n.alias("n"), without_end(joined(u, s, n)).alias("text"))))
+    alone = F.transform(long_units(found), lambda k: F.struct(k.alias("s"), F.lit(1).alias("n"), F.array(F.get(u, k)["e"]).alias("ids")))
+    return F.concat(F.flatten(F.transform(stretches(found), stretch)), alone.cast(SPAN))
 
-            def one(c: Column) -> Column:
-                return F.when(c["k"] >= 0, runs(c["k"])).otherwise(F.array(F.struct(c["s"].alias("s"), c["n"].alias("n"), joined(u, c["s"], c["n"]).alias("text"))))
 
-            return F.flatten(F.transform(found, one))
+def marked_units(text: Column, found: Column) -> Column:
+    """array<string>: contents of the units that spans can hold."""
 
-        return let(F.transform(u, lambda x: words_in(x["u"])), lambda words: with_reach(words, take))
+    def pick(x: Column) -> Column:
+        joined = F.flatten(F.transform(stretches(found), lambda z: F.slice(x, z["a"] + 1, z["b"] - z["a"] + 1)))
+        return F.transform(F.concat(joined, F.transform(long_units(found), lambda k: F.get(x, k))), content)
 
-    return let(units(text), each)
+    return let(units(text), pick)
 
 
 def repeated(docs: DataFrame) -> DataFrame:
     """doc_id, t (the text's hash), drop array<int>: the units (from 0) that go from each document that loses any."""
     docs = docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.xxhash64("text").alias("t"), "text")
-    seeds = materialise(docs.select("doc_id", "t", F.explode(spans(F.col("text"))).alias("c")).select("doc_id", "t", "c.*"), "line-seeds")
-    # written first, so that the join on a frequent span's hash can be split
-    several = materialise(seeds.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "line-several")
-    found = seeds.join(several, "h", "left_semi").groupBy("doc_id", "t").agg(F.array_distinct(F.collect_list(F.struct("k", "s", "n"))).alias("found"))
+    read = materialise(docs.select("doc_id", "t", facts(F.col("text")).alias("u")), "line-units")
+    seen = read.select("doc_id", "t", F.explode(marks(F.col("u"))).alias("c")).select("doc_id", "t", "c.*")
+    # written first, so that the join on a frequent pair's hash can be split
+    several = materialise(seen.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "line-several")
+    found = seen.join(several, "key", "left_semi").groupBy("doc_id", "t").agg(F.sort_array(F.collect_set("mark")).alias("found"))
     found = materialise(found, "line-found")
+    spread = read.join(found, ["doc_id", "t"]).select("doc_id", "t", F.explode(spans(F.col("u"), F.col("found"))).alias("c")).select("doc_id", "t", "c.*")
+    spread = materialise(spread.withColumn("h", F.xxhash64("ids")), "line-spans")
+    same_hash = docs.join(found, ["doc_id", "t"]).select(F.explode(marked_units(F.col("text"), F.col("found"))).alias("unit")).distinct()
+    unlike = materialise(same_hash.groupBy(F.xxhash64("unit").alias("e")).agg(F.count("*").alias("n")).where("n > 1").select("e"), "line-unlike")
     # a place as one number, so that its minimum needs no sort
     base = F.col("doc_id").cast("decimal(20,0)") * F.lit(1 << 31).cast("decimal(10,0)")
     place = base + F.col("s")
-    rows = docs.join(found, ["doc_id", "t"]).select("doc_id", "t", F.explode(texts_of(F.col("text"), F.col("found"))).alias("c")).select("doc_id", "t", "c.*")
-    rows = rows.withColumn("h", F.xxhash64("text"))
-    same = rows.groupBy("h", "text").agg(F.min(place).alias("first"), F.count("*").alias("n"))
-    copies = same.groupBy("h").agg(F.count("*").alias("texts"), F.min("first").alias("first"), F.sum("n").alias("n")).where("texts = 1 AND n > 1")
-    copies = materialise(copies.select("h", "first"), "line-copies")
-    gone = rows.select("h", "doc_id", "t", "s", "n", place.alias("place"), base.alias("base")).join(copies, "h").where("place <> first")
+    copies = materialise(spread.groupBy("h", "ids").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("h", "ids", "first"), "line-copies")
+    wrong = copies.select("h", "first", F.explode("ids").alias("e")).join(unlike, "e", "left_semi").select("h", "first").distinct()
+    copies = copies.join(wrong, ["h", "first"], "left_anti").withColumnRenamed("ids", "same")
+    gone = spread.select("h", "ids", "doc_id", "t", "s", "n", place.alias("place"), base.alias("base")).join(copies, "h").where("ids = same AND place <> first")
     # a copy that overlaps the first occurrence begins behind it
     start = F.when(F.col("first") >= F.col("base"), F.greatest("s", (F.col("first") - F.col("base")).cast("int") + F.col("n"))).otherwise(F.col("s"))
     gone = gone.select("doc_id", "t", start.alias("start"), (F.col("s") + F.col("n") - 1).alias("stop")).where("start <= stop").distinct()
@@ -190,7 +206,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
 
     def without(parts: Column) -> Column:
         left = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("__drop"))
-        return F.array_join(F.transform(left, lambda i: F.get(parts, i)["u"]), "")
+        return F.array_join(F.transform(left, lambda i: F.get(parts, i)), "")
 
     return rows.withColumn("text", F.when(F.col("__drop").isNull(), F.col("text")).otherwise(let(units(docs["text"]), without))).withColumn(
         "n_dropped", F.coalesce(F.size("__drop"), F.lit(0))

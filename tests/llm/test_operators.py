@@ -4,10 +4,13 @@ import collections
 import hashlib
 import math
 import random
+import re
+import struct
 import zlib
 
 import numpy as np
 import pytest
+import xxhash
 
 from landlens.llm import fingerprints, gru, idfile, lines, nearcopies, packing, pieces, topk, toxicity, urls
 from landlens.llm.common import tokenizer_file
@@ -215,6 +218,111 @@ def test_lines_find_passages_between_unlike_neighbours(spark):
         assert set(rows[2 * k + 1][1].replace(".", " ").split()) - set(" ".join(passage).split()) <= set(got[2 * k + 1].replace(".", " ").split())
 
 
+def plain_line_dedup(rows):
+    """The rules of line dedup over (doc_id, text), by loops and dictionaries of texts."""
+
+    def words(x):
+        return len([w for w in x.replace("\n", " ").split(" ") if w])
+
+    def units(text):
+        lines = re.split(r"\n(?=[ \t\r]*[^ \t\r\n])", text or "")
+        lines = [x + "\n" for x in lines[:-1]] + lines[-1:]
+        return [u for x in lines for u in (re.split(r"(?:(?<=[.!?]\s)|(?<=[.!?]\s\s)|(?<=[.!?]\s\s\s))(?=\S)", x) if words(x) >= 50 else [x])]
+
+    def signed(x):
+        return x - (1 << 64) if x >= 1 << 63 else x
+
+    def rolled(a, b):
+        h = 42
+        for x in (a, b):
+            h = xxhash.xxh64(struct.pack("<Q", xxhash.xxh64(x, seed=42).intdigest()), seed=h).intdigest()
+        return signed(h) % 3 == 0
+
+    docs = [(d, units(t)) for d, t in rows]
+    bodies = [[u.rstrip(" \n\r\t") for u in us] for _, us in docs]
+    counts = collections.Counter()
+    for body in bodies:
+        counts.update((a, b) for a, b in zip(body, body[1:], strict=False) if words(a) and words(b))
+        counts.update((a,) for a in body if words(a) >= 50)
+    places = collections.defaultdict(list)
+    for i, body in enumerate(bodies):
+        n = len(body)
+        linked = [k + 1 < n and words(body[k]) > 0 and counts[(body[k], body[k + 1])] > 1 for k in range(n)]
+        own = {(k, k) for k in range(n) if counts[(body[k],)] > 1}
+        a = 0
+        while a < n:
+            b = a
+            while linked[b]:
+                b += 1
+            size = [words(x) for x in body[a : b + 1]]
+            if b > a and sum(size) >= 10:
+                cuts, last = [], a
+                for j in range(a + 2, b):
+                    if rolled(body[j - 1], body[j]) and not rolled(body[j - 2], body[j - 1]):
+                        cuts.append(j)
+                for j in [*cuts, b + 1]:
+                    if sum(words(x) for x in body[last:j]) >= 10:
+                        own.add((last, j - 1))
+                    last = j
+                for e in range(a, b + 1):
+                    for s in range(e - 1, a - 1, -1):  # the shortest run that ends here, and the one that starts there
+                        if sum(size[s - a : e - a + 1]) >= 50 and sum(size[s + 1 - a : e - a + 1]) < 50:
+                            own.add((s, e))
+                for s in range(a, b + 1):
+                    e = next((e for e in range(s + 1, b + 1) if sum(size[s - a : e - a + 1]) >= 50), None)
+                    if e is not None and size[s - a] < 50:
+                        own.add((s, e))
+            a = b + 1
+        for s, e in own:
+            places[tuple(body[s : e + 1])].append((docs[i][0], s, i))
+    gone = collections.defaultdict(set)
+    for span, found in places.items():
+        doc, first, _ = min(found)
+        for d, s, i in found:
+            if (d, s) != (doc, first):
+                gone[i] |= set(range(max(s, first + len(span)) if d == doc else s, s + len(span)))
+    return ["".join(u for k, u in enumerate(us) if k not in gone[i]) for i, (_, us) in enumerate(docs)]
+
+
+def test_lines_against_plain_rules(spark):
+    rng = random.Random(21)
+    stock = [" ".join(f"s{k}w{j}" for j in range(rng.choice([1, 2, 3, 5, 8, 15, 30, 60]))) for k in range(40)]
+    passages = [[rng.choice(stock) for _ in range(rng.randrange(2, 9))] for _ in range(12)]
+    rows = []
+    for d in range(120):
+        parts = []
+        for _ in range(rng.randrange(0, 5)):
+            parts += rng.choice([rng.choice(passages), [rng.choice(stock)], [f"own{rng.randrange(10**9)} words stand here"], [""], ["  "]])
+        text = "\n".join(parts) if d % 3 else ". ".join(x for x in parts if x.strip())
+        rows.append((1000 - d, text + rng.choice(["", "\n", " \n\n"])))
+    got = {r["doc_id"]: r["text"] for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = dict(zip([d for d, _ in rows], plain_line_dedup(rows), strict=True))
+    assert sum(got[d] != t for d, t in rows) > 40
+    assert got == want
+
+
+def test_lines_find_short_passages(spark):
+    rng, rows = random.Random(3), []
+    own = lambda n: " ".join(f"own{rng.randrange(10**9)}" for _ in range(n))
+    common = ["Yes.", "See below", "Thanks"]
+    passages = [[own(10) for _ in range(4)] for _ in range(60)]
+    for k, passage in enumerate(passages):
+        for j in (0, 1):
+            around = [rng.choice([rng.choice(common), own(rng.randrange(1, 9))]) for _ in range(6)]
+            rows.append((2 * k + j, "\n".join([*around[:3], *passage, *around[3:]])))
+    got = {r["doc_id"]: r["text"] for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    whole = sum(not any(line in got[2 * k + 1] for line in passage) for k, passage in enumerate(passages))
+    assert whole >= 54 and all(got[2 * k] == rows[2 * k][1] for k in range(60))
+    assert all(line in got[d] for d, text in rows[1::2] for line in text.split("\n") if line.startswith("own") and line not in passages[d // 2])
+
+
+def test_lines_of_repeated_rows_and_odd_ids(spark):
+    passage = "\n".join(f"line {k} of a passage that is repeated in many places here" for k in range(8))
+    rows = [(7, passage), (7, passage), (8, "x\n" + passage), (None, passage), (9, "\n\n  \n"), (10, "\t\n" * 3)]
+    got = sorted(((r["doc_id"] or -1, r["text"], r["n_dropped"]) for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    assert got == [(-1, passage, 0), (7, passage, 0), (7, passage, 0), (8, "x\n", 8), (9, "\n\n  \n", 0), (10, "\t\n" * 3, 0)]
+
+
 def test_lines_keep_the_first_run_of_a_repeated_line(spark):
     line = " ".join(f"w{k}" for k in range(20)) + "\n"
     docs = spark.createDataFrame([(1, line * 12), (2, "a\n" + line * 9 + "b"), (3, "other text"), (3, "c\n" + line * 3)], "doc_id long, text string")
