@@ -5,10 +5,11 @@ to the unit before them. White space at a unit's end is no part of its content.
 
 1. A hash rolls over the hashes of two neighbouring units. Pairs of neighbours (and single units of ``LONG_WORDS`` words) whose hash
    occurs once in all documents can't be inside a repeated passage; the units that are joined by repeated pairs form stretches.
-2. A stretch is cut into chunks where the rolling hash says so and at its own ends, so that boundaries depend on the units beside
-   them alone. A chunk has two units or more. In stretches of ``LONG_WORDS`` words also the runs count that go from a unit to the
-   first one that brings so many words, or end at a unit and have no shorter one with so many: a repeated passage of ``LONG_WORDS``
-   words is the union of the runs inside it, so it is found whole wherever it stands, whatever its neighbours.
+2. A stretch is cut where a pair occurs more or less often than the one before it (the unit between them belongs to both parts),
+   and the parts are cut into chunks where the rolling hash says so: boundaries depend on the units beside them alone. A chunk
+   has two units or more. In stretches of ``LONG_WORDS`` words also the runs count that go from a unit to the first one that
+   brings so many words, or end at a unit and have no shorter one with so many: a repeated passage of ``LONG_WORDS`` words is
+   the union of the runs inside it, so it is found whole wherever it stands, whatever its neighbours.
 3. Chunks and runs are compared as lists of unit hashes, and the bytes of all units of stretches by grouping on them: a list
    that holds a hash of two different units is left where it stands.
 
@@ -18,6 +19,8 @@ DataFrame expressions.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -79,19 +82,25 @@ def marks(u: Column) -> Column:
     return F.array_compact(F.concat(F.transform(u, pair), F.transform(u, alone)))
 
 
-def stretches(found: Column) -> Column:
-    """array<struct(a, b)>: first and last units of the stretches, from sorted marks."""
+def stretches(found: Column, alike: bool = False) -> Column:
+    """array<struct(a, b)>: first and last units of the stretches, from sorted marks; if ``alike``, of their parts in which all
+    pairs occur equally often. Neighbouring parts share a unit."""
 
     def cut(links: Column) -> Column:
-        starts = F.array_compact(F.transform(links, lambda x, i: F.when(F.coalesce(F.get(links, i - 1), F.lit(-9)) != x - 1, x)))
-        ends = F.array_compact(F.transform(links, lambda x, i: F.when(F.coalesce(F.get(links, i + 1), F.lit(-9)) != x + 1, x + 1)))
+        def joins(i: Column, j: Column) -> Column:
+            one, next_one = F.get(links, i), F.get(links, j)
+            near = one["mark"] + 2 == next_one["mark"]
+            return F.coalesce(near & (one["n"] == next_one["n"]) if alike else near, F.lit(False))
+
+        starts = F.array_compact(F.transform(links, lambda x, i: F.when(~joins(i - 1, i), F.shiftright(x["mark"], 1))))
+        ends = F.array_compact(F.transform(links, lambda x, i: F.when(~joins(i, i + 1), F.shiftright(x["mark"], 1) + 1)))
         return let(ends, lambda e: F.transform(starts, lambda a, i: F.struct(a.alias("a"), F.get(e, i).alias("b"))))
 
-    return let(F.transform(F.filter(found, lambda m: m % 2 == 0), lambda m: F.shiftright(m, 1)), cut)
+    return let(F.filter(found, lambda m: m["mark"] % 2 == 0), cut)
 
 
 def long_units(found: Column) -> Column:
-    return F.transform(F.filter(found, lambda m: m % 2 == 1), lambda m: F.shiftright(m, 1))
+    return F.transform(F.filter(found, lambda m: m["mark"] % 2 == 1), lambda m: F.shiftright(m["mark"], 1))
 
 
 def chunks(part: Column) -> Column:
@@ -139,7 +148,7 @@ def runs(part: Column) -> Column:
 
 
 def spans(u: Column, found: Column) -> Column:
-    """SPAN: n units from unit s on, with their hashes; ``found`` are the marks that occur more than once, sorted."""
+    """SPAN: n units from unit s on, with their hashes; ``found`` are the marks that occur more than once and how often, sorted."""
 
     def with_ids(part: Column, first: Column, places: Column) -> Column:
         return F.transform(
@@ -147,16 +156,20 @@ def spans(u: Column, found: Column) -> Column:
             lambda c: F.struct((first + c["s"]).alias("s"), c["n"].alias("n"), F.transform(F.slice(part, c["s"] + 1, c["n"]), lambda x: x["e"]).alias("ids")),
         ).cast(SPAN)
 
-    def stretch(z: Column) -> Column:
-        def inside(part: Column) -> Column:
-            total = F.aggregate(part, F.lit(0), lambda a, x: a + x["w"])
-            both = let(total, lambda t: F.when(t >= LONG_WORDS, F.concat(chunks(part), runs(part))).when(t >= MIN_WORDS, chunks(part)))
-            return F.coalesce(with_ids(part, z["a"], both), F.array().cast(SPAN))
+    def inside(body: Callable[[Column], Column], least: int) -> Callable[[Column], Column]:
+        def stretch(z: Column) -> Column:
+            def read(part: Column) -> Column:
+                total = F.aggregate(part, F.lit(0), lambda a, x: a + x["w"])
+                return F.when(total >= least, with_ids(part, z["a"], body(part))).otherwise(F.array().cast(SPAN))
+
+            return let(F.slice(u, z["a"] + 1, z["b"] - z["a"] + 1), read)
 
-        return let(F.slice(u, z["a"] + 1, z["b"] - z["a"] + 1), inside)
+        return stretch
 
     alone = F.transform(long_units(found), lambda k: F.struct(k.alias("s"), F.lit(1).alias("n"), F.array(F.get(u, k)["e"]).alias("ids")))
-    return F.concat(F.flatten(F.transform(stretches(found), stretch)), alone.cast(SPAN))
+    return F.concat(
+        F.flatten(F.transform(stretches(found, alike=True), inside(chunks, MIN_WORDS))), F.flatten(F.transform(stretches(found), inside(runs, LONG_WORDS))), alone.cast(SPAN)
+    )
 
 
 def marked_units(text: Column, found: Column) -> Column:
@@ -175,8 +188,8 @@ def repeated(docs: DataFrame) -> DataFrame:
     read = materialise(docs.select("doc_id", "t", facts(F.col("text")).alias("u")), "line-units")
     seen = read.select("doc_id", "t", F.explode(marks(F.col("u"))).alias("c")).select("doc_id", "t", "c.*")
     # written first, so that the join on a frequent pair's hash can be split
-    several = materialise(seen.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "line-several")
-    found = seen.join(several, "key", "left_semi").groupBy("doc_id", "t").agg(F.sort_array(F.collect_set("mark")).alias("found"))
+    several = materialise(seen.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "line-several")
+    found = seen.join(several, "key").groupBy("doc_id", "t").agg(F.sort_array(F.collect_set(F.struct("mark", "n"))).alias("found"))
     found = materialise(found, "line-found")
     spread = read.join(found, ["doc_id", "t"]).select("doc_id", "t", F.explode(spans(F.col("u"), F.col("found"))).alias("c")).select("doc_id", "t", "c.*")
     spread = materialise(spread.withColumn("h", F.xxhash64("ids")), "line-spans")

@@ -249,30 +249,31 @@ def plain_line_dedup(rows):
         n = len(body)
         linked = [k + 1 < n and words(body[k]) > 0 and counts[(body[k], body[k + 1])] > 1 for k in range(n)]
         own = {(k, k) for k in range(n) if counts[(body[k],)] > 1}
-        a = 0
-        while a < n:
-            b = a
-            while linked[b]:
-                b += 1
-            size = [words(x) for x in body[a : b + 1]]
-            if b > a and sum(size) >= 10:
-                cuts, last = [], a
-                for j in range(a + 2, b):
-                    if rolled(body[j - 1], body[j]) and not rolled(body[j - 2], body[j - 1]):
-                        cuts.append(j)
-                for j in [*cuts, b + 1]:
-                    if sum(words(x) for x in body[last:j]) >= 10:
-                        own.add((last, j - 1))
-                    last = j
-                for e in range(a, b + 1):
+        for alike in (True, False):  # chunks between pairs of one count, runs in whole stretches
+            a = 0
+            while a < n:
+                b = a
+                while linked[b] and (b == a or not alike or counts[(body[b], body[b + 1])] == counts[(body[b - 1], body[b])]):
+                    b += 1
+                size = [words(x) for x in body[a : b + 1]]
+                if alike and b > a:
+                    cuts, last = [], a
+                    for j in range(a + 2, b):
+                        if rolled(body[j - 1], body[j]) and not rolled(body[j - 2], body[j - 1]):
+                            cuts.append(j)
+                    for j in [*cuts, b + 1]:
+                        if sum(words(x) for x in body[last:j]) >= 10:
+                            own.add((last, j - 1))
+                        last = j
+                for e in [] if alike else range(a, b + 1):
                     for s in range(e - 1, a - 1, -1):  # the shortest run that ends here, and the one that starts there
                         if sum(size[s - a : e - a + 1]) >= 50 and sum(size[s + 1 - a : e - a + 1]) < 50:
                             own.add((s, e))
-                for s in range(a, b + 1):
+                for s in [] if alike else range(a, b + 1):
                     e = next((e for e in range(s + 1, b + 1) if sum(size[s - a : e - a + 1]) >= 50), None)
                     if e is not None and size[s - a] < 50:
                         own.add((s, e))
-            a = b + 1
+                a = b if b > a and alike else b + 1
         for s, e in own:
             places[tuple(body[s : e + 1])].append((docs[i][0], s, i))
     gone = collections.defaultdict(set)
@@ -289,7 +290,7 @@ def test_lines_against_plain_rules(spark):
     stock = [" ".join(f"s{k}w{j}" for j in range(rng.choice([1, 2, 3, 5, 8, 15, 30, 60]))) for k in range(40)]
     passages = [[rng.choice(stock) for _ in range(rng.randrange(2, 9))] for _ in range(12)]
     rows = []
-    for d in range(120):
+    for d in range(200):
         parts = []
         for _ in range(rng.randrange(0, 5)):
             parts += rng.choice([rng.choice(passages), [rng.choice(stock)], [f"own{rng.randrange(10**9)} words stand here"], [""], ["  "]])
