@@ -11,7 +11,7 @@ to the unit before them. White space at a unit's end is no part of its content.
    brings so many words, or end at a unit and have no shorter one with so many: a repeated passage of ``LONG_WORDS`` words is
    the union of the runs inside it, so it is found whole wherever it stands, whatever its neighbours.
 3. Chunks and runs are compared as lists of unit hashes, and the bytes of all units of stretches by grouping on them: a list
-   that holds a hash of two different units is left where it stands.
+   that holds a hash of two different units, or shares 128 bits of hash with another list, is left where it stands.
 
 Spans that occur more than once are removed, but for their first occurrence (smallest doc_id, then place). Everything is
 DataFrame expressions.
@@ -36,13 +36,20 @@ MIN_WORDS = 10
 #: Most runs end within so many units; the others are looked for among ``LONG_WORDS`` units, as each has a word.
 NEAR_UNITS = 10
 NEXT_LINE = r"\n(?=[ \t\r]*[^ \t\r\n])"
-NEXT_SENTENCE = r"(?<=[.!?]\s{1,3})(?=\S)"
+#: The first condition spares most places the second one.
+NEXT_SENTENCE = r"(?<=\s)(?<=[.!?]\s{1,3})(?=\S)"
 SPAN = "array<struct<s:int,n:int,ids:array<bigint>>>"
 
 
 def words_in(text: Column) -> Column:
     """Number of words; spaces and line ends separate them."""
-    return F.size(F.filter(F.split(F.replace(text, F.lit("\n"), F.lit(" ")), " "), lambda w: w != ""))
+
+    def count(x: Column) -> Column:
+        each = F.size(F.filter(F.split(F.replace(x, F.lit("\n"), F.lit(" ")), " "), lambda w: w != ""))
+        spaces = F.octet_length(x) - F.octet_length(F.replace(x, F.lit(" "), F.lit("")))
+        return F.when(x == "", 0).when(F.contains(x, F.lit("  ")) | F.contains(x, F.lit("\n")), each).otherwise(spaces + 1)
+
+    return let(F.trim(text, F.lit(" \n")), count)
 
 
 def units(text: Column) -> Column:
@@ -79,7 +86,8 @@ def marks(u: Column) -> Column:
     def alone(x: Column, k: Column) -> Column:
         return F.when(x["w"] >= LONG_WORDS, F.struct((2 * k + 1).alias("mark"), F.xxhash64(x["e"]).alias("key")))
 
-    return F.array_compact(F.concat(F.transform(u, pair), F.transform(u, alone)))
+    empty = F.array().cast("array<struct<mark:int,key:bigint>>")
+    return F.array_compact(F.concat(F.transform(u, pair), F.when(F.exists(u, lambda x: x["w"] >= LONG_WORDS), F.transform(u, alone)).otherwise(empty)))
 
 
 def stretches(found: Column, alike: bool = False) -> Column:
@@ -129,11 +137,12 @@ def chunks(part: Column) -> Column:
 def runs(part: Column) -> Column:
     """array<struct(s, n)>: the runs of ``LONG_WORDS`` words of a stretch, of two units or more."""
 
-    def reach(k: Column) -> Column:  # the unit with which they are reached from unit k on, or null
+    full = LONG_WORDS << 6  # words and units in one number
+
+    def reach(words: Column, k: Column) -> Column:  # the unit with which they are reached from unit k on, or null
         def within(n: int) -> Column:
-            start = F.struct(F.lit(0).alias("sum"), F.lit(0).alias("n"))
-            total = F.aggregate(F.slice(part, k + 1, n), start, lambda a, x: F.struct((a["sum"] + x["w"]).alias("sum"), (a["n"] + F.when(a["sum"] < LONG_WORDS, 1).otherwise(0)).alias("n")))
-            return let(total, lambda t: F.when(t["sum"] >= LONG_WORDS, k + t["n"] - 1))
+            total = F.aggregate(F.slice(words, k + 1, n), F.lit(0), lambda a, w: F.when(a < full, a + w).otherwise(a))
+            return let(total, lambda t: F.when(t >= full, k + t % 64 - 1))
 
         return F.coalesce(within(NEAR_UNITS), within(LONG_WORDS))
 
@@ -144,17 +153,18 @@ def runs(part: Column) -> Column:
 
         return F.filter(F.flatten(F.array_compact(F.transform(m, one))), lambda r: r["n"] > 1)
 
-    return let(F.transform(part, lambda _, k: reach(k)), each)
+    counts = F.transform(part, lambda x: F.least(x["w"], F.lit(LONG_WORDS)) * 64 + 1)
+    return let(let(counts, lambda words: F.transform(words, lambda _, k: reach(words, k))), each)
 
 
 def spans(u: Column, found: Column) -> Column:
     """SPAN: n units from unit s on, with their hashes; ``found`` are the marks that occur more than once and how often, sorted."""
 
     def with_ids(part: Column, first: Column, places: Column) -> Column:
-        return F.transform(
-            places,
-            lambda c: F.struct((first + c["s"]).alias("s"), c["n"].alias("n"), F.transform(F.slice(part, c["s"] + 1, c["n"]), lambda x: x["e"]).alias("ids")),
-        ).cast(SPAN)
+        def each(ids: Column) -> Column:
+            return F.transform(places, lambda c: F.struct((first + c["s"]).alias("s"), c["n"].alias("n"), F.slice(ids, c["s"] + 1, c["n"]).alias("ids")))
+
+        return let(F.transform(part, lambda x: x["e"]), each).cast(SPAN)
 
     def inside(body: Callable[[Column], Column], least: int) -> Callable[[Column], Column]:
         def stretch(z: Column) -> Column:
@@ -192,18 +202,20 @@ def repeated(docs: DataFrame) -> DataFrame:
     found = seen.join(several, "key").groupBy("doc_id", "t").agg(F.sort_array(F.collect_set(F.struct("mark", "n"))).alias("found"))
     found = materialise(found, "line-found")
     spread = read.join(found, ["doc_id", "t"]).select("doc_id", "t", F.explode(spans(F.col("u"), F.col("found"))).alias("c")).select("doc_id", "t", "c.*")
-    spread = materialise(spread.withColumn("h", F.xxhash64("ids")), "line-spans")
+    # two hashes of a list stand for it where its copies are looked up
+    spread = materialise(spread.withColumns({"h": F.xxhash64("ids"), "g": F.xxhash64(F.lit(1), "ids")}), "line-spans")
     same_hash = docs.join(found, ["doc_id", "t"]).select(F.explode(marked_units(F.col("text"), F.col("found"))).alias("unit")).distinct()
     unlike = materialise(same_hash.groupBy(F.xxhash64("unit").alias("e")).agg(F.count("*").alias("n")).where("n > 1").select("e"), "line-unlike")
     # a place as one number, so that its minimum needs no sort
     base = F.col("doc_id").cast("decimal(20,0)") * F.lit(1 << 31).cast("decimal(10,0)")
     place = base + F.col("s")
-    copies = materialise(spread.groupBy("h", "ids").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("h", "ids", "first"), "line-copies")
-    wrong = copies.select("h", "first", F.explode("ids").alias("e")).join(unlike, "e", "left_semi").select("h", "first").distinct()
-    copies = copies.join(wrong, ["h", "first"], "left_anti").withColumnRenamed("ids", "same")
-    gone = spread.select("h", "ids", "doc_id", "t", "s", "n", place.alias("place"), base.alias("base")).join(copies, "h").where("ids = same AND place <> first")
+    copies = materialise(spread.groupBy("h", "g", "ids").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("h", "g", "ids", "first"), "line-copies")
+    wrong = copies.select("h", "g", F.explode("ids").alias("e")).join(unlike, "e", "left_semi").select("h", "g").distinct()
+    # lists that share both hashes stay where they are
+    copies = copies.groupBy("h", "g").agg(F.min("first").alias("first"), F.count("*").alias("lists")).where("lists = 1").drop("lists").join(wrong, ["h", "g"], "left_anti")
+    gone = spread.select("h", "g", "doc_id", "t", "s", "n").join(copies, ["h", "g"]).where(place != F.col("first"))
     # a copy that overlaps the first occurrence begins behind it
-    start = F.when(F.col("first") >= F.col("base"), F.greatest("s", (F.col("first") - F.col("base")).cast("int") + F.col("n"))).otherwise(F.col("s"))
+    start = F.when(F.col("first") >= base, F.greatest("s", (F.col("first") - base).cast("int") + F.col("n"))).otherwise(F.col("s"))
     gone = gone.select("doc_id", "t", start.alias("start"), (F.col("s") + F.col("n") - 1).alias("stop")).where("start <= stop").distinct()
     return gone.groupBy("doc_id", "t").agg(F.array_distinct(F.flatten(F.collect_list(F.sequence("start", "stop")))).alias("drop"))
 
