@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import measures as M
 from ..operators.profile import column_profile
 from ..operators.relational import sequence_order_sql
-from ..operators.star import DETAILS, FEATURES, LOCATION, build_star, star_view
+from ..operators.star import DETAILS, FACT, FEATURES, LOCATION, build_star, star_view
 from ..plans import report as P
 from ..functions.description import clean_description
 from ..sources.listings import raw_listings
@@ -39,14 +39,39 @@ _STAR = f"""{CALC}, dl AS ({_dim(LOCATION, 'location_skey')}), df AS ({_dim(FEAT
    LEFT JOIN dp ON c.product_id = dp.product_id)"""
 
 
+_FACT_CHECKED = [c for c in FACT if not c.endswith("_date")] + ["is_overcrowded", "is_fire_risk"]
+
+
 @query(
     "q2_star_fact",
-    f"{_STAR} SELECT location_skey, feature_skey, status_skey, product_skey, price_total, area, unit_price, bedrooms, is_overcrowded, is_fire_risk, posted_date::STRING AS posted_date FROM fact",
+    f"{_STAR} SELECT {', '.join(_FACT_CHECKED)}, strftime(posted_date, '%Y-%m-%d') AS posted_date, strftime(expiry_date, '%Y-%m-%d') AS expiry_date FROM fact",
 )
 def q2(spark, d):
     fact = build_star(clean(spark, d))["fact"]
-    cols = ["location_skey", "feature_skey", "status_skey", "product_skey", "price_total", "area", "unit_price", "bedrooms", "is_overcrowded", "is_fire_risk", "posted_date"]
-    return as_dates(as_doubles(fact.select(*cols)))
+    return as_dates(as_doubles(fact.select(*_FACT_CHECKED, "posted_date", "expiry_date")))
+
+
+def _drill(role: str, day: str) -> str:
+    levels = f"year({day}) AS {role}_year, quarter({day}) AS {role}_quarter_no, month({day}) AS {role}_month_no, day({day}) AS {role}_day"
+    keys = ", ".join(f"{role}_{c}" for c in ("year", "quarter_no", "month_no", "day"))
+    return f"""{CALC}, f AS (SELECT {levels}, product_id, {day} AS d FROM calc)
+    SELECT {keys}, max(monthname(d)) AS month_name, count(*) AS n, count(DISTINCT product_id) AS n_listings FROM f GROUP BY ROLLUP ({keys})"""
+
+
+def _drilled(spark, d, role):
+    keys = [f"{role}_{c}" for c in ("year", "quarter_no", "month_no", "day")]
+    rows = star_view(build_star(clean(spark, d))).rollup(*keys)
+    return rows.agg(F.max(f"{role}_month").alias("month_name"), F.count(F.lit(1)).alias("n"), M.listing_count().alias("n_listings"))
+
+
+@query("q2_posting_drill", _drill("posted", "posted_date"))
+def q2_posting(spark, d):
+    return _drilled(spark, d, "posted")
+
+
+@query("q2_expiry_drill", _drill("expiry", "expiry_date"))
+def q2_expiry(spark, d):
+    return _drilled(spark, d, "expiry")
 
 
 @query(

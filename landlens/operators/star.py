@@ -1,14 +1,15 @@
-"""Star schema: four dimensions, the listing fact and its calculated columns."""
+"""Star schema: four dimensions, two date tables, the listing fact and its calculated columns."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dates as D
 from ..functions import numeric as N
 from ..functions import rules as R
 from ..session import materialise
+from ..sources.tables import date_table
 from .quantiles import exact_percentiles, with_scalar
 from .relational import first_per_key, null_safe_lookup, with_sequence_key
 
@@ -28,6 +29,22 @@ FACT = [
 ]
 
 
+#: Role -> the fact's date column that its own date table is joined by.
+DATE_ROLES = {"posted": "posted_date", "expiry": "expiry_date"}
+DATE_LEVELS = ["year", "quarter_no", "quarter", "month_no", "month", "day"]
+
+
+def dim_dates(fact: DataFrame, role: str) -> DataFrame:
+    """Every day of the years that the role's column spans, with its drill levels; the day is the key."""
+    return date_table(fact, DATE_ROLES[role]).select("date", *DATE_LEVELS)
+
+
+def with_date_levels(rows: DataFrame, dates: DataFrame, role: str) -> DataFrame:
+    """``rows`` with ``<role>_year`` .. ``<role>_day`` of their date; a row without a date has none."""
+    levels = dates.select(F.col("date").alias("__date"), *[F.col(c).alias(f"{role}_{c}") for c in DATE_LEVELS])
+    return rows.join(levels, F.to_date(DATE_ROLES[role]) == F.col("__date"), "left").drop("__date")
+
+
 def dim_location(clean: DataFrame) -> DataFrame:
     return with_sequence_key(clean.select(*LOCATION).dropDuplicates(LOCATION), LOCATION, "location_skey")
 
@@ -92,7 +109,8 @@ def build_star(clean: DataFrame, stage: bool = True) -> dict[str, DataFrame]:
         "details": dim_property_details(base),
         "product": dim_product(base),
     }
-    return {**dims, "fact": fact_listings(base, dims)}
+    dates = {f"{role}_dates": dim_dates(base, role) for role in DATE_ROLES}
+    return {**dims, **dates, "fact": fact_listings(base, dims)}
 
 
 def write_star(clean: DataFrame, root: str) -> None:
@@ -106,15 +124,26 @@ def write_star(clean: DataFrame, root: str) -> None:
     for name, make in makers.items():
         make(base).write.mode("overwrite").parquet(f"{root}/dim_{name}")
         dims[name] = spark.read.parquet(f"{root}/dim_{name}")
+    for role in DATE_ROLES:
+        dim_dates(base, role).write.mode("overwrite").parquet(f"{root}/dim_{role}_dates")
     fact_listings(base, dims).write.mode("overwrite").parquet(f"{root}/fact_listings")
 
 
+def read_star(spark: SparkSession, root: str) -> dict[str, DataFrame]:
+    """The tables of a written star."""
+    names = ["location", "features", "details", "product", *[f"{role}_dates" for role in DATE_ROLES]]
+    return {n: spark.read.parquet(f"{root}/dim_{n}") for n in names} | {"fact": spark.read.parquet(f"{root}/fact_listings")}
+
+
 def star_view(star: dict[str, DataFrame]) -> DataFrame:
-    """Fact rows with dimension attributes, over surrogate keys (many to one)."""
+    """Fact rows with dimension attributes, over surrogate keys (many to one), and the drill levels of both dates."""
     loc = star["location"]
     det = star["details"]
+    fact = star["fact"]
+    for role in DATE_ROLES:
+        fact = with_date_levels(fact, star[f"{role}_dates"], role)
     return (
-        star["fact"]
+        fact
         .join(loc, "location_skey", "left")
         .join(det, "status_skey", "left")
         .join(star["features"], "feature_skey", "left")

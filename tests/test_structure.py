@@ -154,3 +154,17 @@ def test_stream_equals_batch_and_retries_rejects(spark, sf_dir):
     I.ingest_pages(spark, folder, out, progress, SITE, as_of).awaitTermination()
     fixed = rejected.where("reject_reason = 'blocked page'").count()
     assert fixed > 0 and I.read_listings(spark, out).count() == first + fixed
+
+
+def test_written_star_has_both_date_tables(spark, sf_dir, tmp_path):
+    clean = frames.clean(spark, sf_dir)
+    S.write_star(clean, str(tmp_path / "star"))
+    star = S.read_star(spark, str(tmp_path / "star"))
+    view = S.star_view(star)
+    assert view.count() == star["fact"].count()
+    for role, column in S.DATE_ROLES.items():
+        days = star[f"{role}_dates"]
+        lo, hi, n = days.agg(F.min("date"), F.max("date"), F.count_distinct("date")).first()
+        assert (lo.month, lo.day, hi.month, hi.day) == (1, 1, 12, 31) and n == days.count() == (hi - lo).days + 1
+        wrong = view.where(~F.col(f"{role}_year").eqNullSafe(F.year(column)) | ~F.col(f"{role}_day").eqNullSafe(F.dayofmonth(column)))
+        assert wrong.count() == 0
