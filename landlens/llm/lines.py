@@ -43,13 +43,7 @@ SPAN = "array<struct<s:int,n:int,ids:array<bigint>>>"
 
 def words_in(text: Column) -> Column:
     """Number of words; spaces and line ends separate them."""
-
-    def count(x: Column) -> Column:
-        each = F.size(F.filter(F.split(F.replace(x, F.lit("\n"), F.lit(" ")), " "), lambda w: w != ""))
-        spaces = F.octet_length(x) - F.octet_length(F.replace(x, F.lit(" "), F.lit("")))
-        return F.when(x == "", 0).when(F.contains(x, F.lit("  ")) | F.contains(x, F.lit("\n")), each).otherwise(spaces + 1)
-
-    return let(F.trim(text, F.lit(" \n")), count)
+    return F.size(F.filter(F.split(F.replace(text, F.lit("\n"), F.lit(" ")), " "), lambda w: w != ""))
 
 
 def units(text: Column) -> Column:
@@ -213,6 +207,8 @@ def repeated(docs: DataFrame) -> DataFrame:
     wrong = copies.select("h", "g", F.explode("ids").alias("e")).join(unlike, "e", "left_semi").select("h", "g").distinct()
     # lists that share both hashes stay where they are
     copies = copies.groupBy("h", "g").agg(F.min("first").alias("first"), F.count("*").alias("lists")).where("lists = 1").drop("lists").join(wrong, ["h", "g"], "left_anti")
+    # written, so that the join on a frequent list's hashes can be split
+    copies = materialise(copies, "line-firsts")
     gone = spread.select("h", "g", "doc_id", "t", "s", "n").join(copies, ["h", "g"]).where(place != F.col("first"))
     # a copy that overlaps the first occurrence begins behind it
     start = F.when(F.col("first") >= base, F.greatest("s", (F.col("first") - base).cast("int") + F.col("n"))).otherwise(F.col("s"))
