@@ -7,8 +7,8 @@ weight times weight at the posting's rows of a dense score array; a partition se
 the smaller id; a last ranking merges the blocks. Groups are bounded on both sides by the block sizes, and all pairs of
 blocks are looked at, so results are exact.
 
-Scores are exact while sums of |weight| products stay below 2**63; vectors that could pass that bound are refused with an error
-rather than wrapped. Vectors that are null, empty of meaning (a null, NaN or infinite component) or lack an id take no part.
+Weights and scores beyond 64 bits count as the largest or smallest 64-bit number; all others are exact, since blocks whose sums
+could leave 64 bits are computed with Python integers. Vectors that are null, empty of meaning (a null, NaN or infinite component) or lack an id take no part.
 """
 
 from __future__ import annotations
@@ -57,30 +57,34 @@ def postings(weights: list[np.ndarray]) -> dict[int, tuple[np.ndarray, np.ndarra
 
 def search_block(query_ids: np.ndarray, queries: list[np.ndarray], ids: np.ndarray, candidates: list[np.ndarray], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query row, candidate row, score) of each query's k best in the block; a row is never its own answer."""
-    largest = [max((int(np.abs(w).max()) for w in side if len(w)), default=0) for side in (queries, candidates)]
-    if largest[0] * largest[1] * max((len(w) for w in queries), default=0) >= 2**63:
-        raise OverflowError("the weights are too large for scores of 64 bits")
+    largest = [max((max(int(w.max()), -int(w.min())) for w in side if len(w)), default=0) for side in (queries, candidates)]
+    # products and sums of such weights can leave 64 bits: Python integers, in smaller steps
+    wide = largest[0] * largest[1] * max((len(w) for w in queries), default=0) >= 2**63
+    number = object if wide else np.int64
     index = postings(candidates)
     out = []
-    step = max(1, 4_000_000 // max(1, len(ids)))  # dense scores of a few queries at a time
+    step = max(1, (400_000 if wide else 4_000_000) // max(1, len(ids)))  # dense scores of a few queries at a time
     by_id = np.argsort(ids, kind="stable")
     place = np.empty(len(ids), np.int64)
     place[by_id] = np.arange(len(ids))  # rows in id order, so that ties go to the smaller id
     for at in range(0, len(queries), step):
         part = queries[at : at + step]
-        scores = np.zeros((len(part), len(ids)), np.int64)
+        scores = np.zeros((len(part), len(ids)), number)
         for term, (q_rows, q_weights) in postings(part).items():
             if term in index:
                 rows, weights = index[term]
+                weights, q_weights = weights.astype(number, copy=False), q_weights.astype(number, copy=False)
                 places = place[rows]
                 if len(rows) == len(ids):
-                    dense = np.empty(len(ids), np.int64)
+                    dense = np.empty(len(ids), number)
                     dense[places] = weights
                     for q, w in zip(q_rows, q_weights, strict=True):
                         scores[q] += w * dense
                 else:
                     for q, w in zip(q_rows, q_weights, strict=True):
                         scores[q, places] += w * weights
+        if wide:
+            scores = np.clip(scores, -(2**63), 2**63 - 1).astype(np.int64)
         for q in range(len(part)):
             row = scores[q]
             own = ids[by_id] == query_ids[at + q]

@@ -138,6 +138,24 @@ def test_top_k_against_brute_force(spark):
     assert topk.top_k(vectors.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_top_k_of_large_values(spark):
+    import pyspark.sql.functions as F
+
+    rows = [(0, [1e18, 1.0]), (1, [1e18, 1.0]), (2, [-1e18, 0.0]), (3, [1e-3, 2.0]), (50, [2e7, -3.0]), (51, [3e7, 1e15]), (52, [3e15, 3e15]), (53, [1e9, 0.5])]
+    vectors = topk.materialise(topk.integers(spark.createDataFrame(rows, "vec_id long, embedding array<double>")), "test-large")
+    got = [tuple(r) for r in topk.top_k(vectors, F.col("vec_id") % 50 == 0, query_block=1, candidate_block=3).orderBy("query_id", "rank").collect()]
+
+    def held(x):
+        return max(-(2**63), min(2**63 - 1, x))
+
+    w = {i: [held(math.floor(256 * x)) for x in v] for i, v in rows}
+    want = []
+    for q in (0, 50):
+        best = sorted((-held(sum(x * y for x, y in zip(w[q], w[i], strict=True))), i) for i in w if i != q)[:5]
+        want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
+    assert got == want
+
+
 def test_url_rules_and_trees(spark):
     seen = [
         ("https://WWW.Example.com/en/1", "www.example.com", "/en/1", "www.example.com/en/", "allow"), ("http://example.com/en/2?x", "example.com", "/en/2", "example.com/en/", "block"),
