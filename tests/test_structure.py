@@ -168,3 +168,29 @@ def test_written_star_has_both_date_tables(spark, sf_dir, tmp_path):
         assert (lo.month, lo.day, hi.month, hi.day) == (1, 1, 12, 31) and n == days.count() == (hi - lo).days + 1
         wrong = view.where(~F.col(f"{role}_year").eqNullSafe(F.year(column)) | ~F.col(f"{role}_day").eqNullSafe(F.dayofmonth(column)))
         assert wrong.count() == 0
+
+
+def test_compressed_csv_is_cut_into_bounded_files_and_read_back(spark, tmp_path, monkeypatch):
+    from landlens.sources import tables as S
+
+    monkeypatch.setattr(S, "COMPRESSED_RECORDS", 10)
+    cells = ["plain", "two\nlines", 'say "hi"', "", None, "\n"]
+    rows = [(str(i), cells[i % 6] if i >= 60 else "plain", "end") for i in range(120)]
+    df = spark.createDataFrame(rows, "a string, b string, c string").coalesce(1)
+    S.write_csv(df, f"{tmp_path}/t", compression="gzip")
+    assert len(list(tmp_path.glob("t/*.csv.gz"))) == 12
+    got = S.read_csv(spark, f"{tmp_path}/t", ["a", "b", "c"]).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(rows, key=str)
+
+
+def test_cleaning_rules_evaluate_their_text_once(spark):
+    from landlens.functions.description import clean_description
+    from landlens.functions.text import numeric_features
+
+    df = spark.createDataFrame([("a", "b")], "text string, title string")
+    cleaned = df.select(clean_description(F.col("text"), F.col("title"), "x.example").alias("c"))
+    plan = cleaned._jdf.queryExecution().optimizedPlan().toString()
+    # one start and one stop pattern, however deep the rules behind them are
+    assert plan.count("split(") <= 6, plan.count("split(")
+    price = df.select(numeric_features(F.col("text"), F.array("text"))["bedrooms"].alias("n"))
+    assert price._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract(") <= 3
