@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.pages import extract_listings
+from ..session import dealt
 
 PAGE_SCHEMA = "page_id bigint, url string, html string"
 
@@ -68,7 +69,8 @@ def ingest_pages(
     Writing a batch into its own folder in overwrite mode makes a repeated batch
     harmless; the rows a batch holds are fixed by the checkpoint.
     """
-    pages = page_stream(spark, folder, glob, max_files)
+    # a batch may be a few files, each with one row group: its pages are dealt before the dear step
+    pages = dealt(page_stream(spark, folder, glob, max_files), "url")
     rows = first_by_url(extract_listings(pages, site, as_of))
 
     def deliver(batch: DataFrame, batch_id: int) -> None:
