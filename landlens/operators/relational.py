@@ -35,6 +35,15 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str | Colu
     return picked.select(*[F.col(c) if c in keys else F.col(f"__row.{c}").alias(c) for c in df.columns])
 
 
+def first_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """`first_per_key` for a caller that reads few of the columns: the others are pruned before the shuffle.
+
+    The limit on the row number is pushed in front of the shuffle, so here too a task keeps one row per key.
+    """
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*[F.col(o).asc_nulls_first() for o in order]))
+    return df.withColumn("__place", place).where(F.col("__place") == 1).drop("__place")
+
+
 def key_bucket(keys: Sequence[str], digits: int) -> Column:
     """Leading hex digits of a digest over the key columns; nulls have their own mark."""
     parts = [F.coalesce(F.col(k).cast("string"), F.lit("␀")) for k in keys]

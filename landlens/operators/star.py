@@ -11,7 +11,7 @@ from ..functions import rules as R
 from ..session import materialise
 from ..sources.tables import date_table
 from .quantiles import exact_percentiles, with_scalar
-from .relational import first_per_key, null_safe_lookup, with_sequence_key
+from .relational import first_per_key, first_rows, null_safe_lookup, with_sequence_key
 
 LOCATION = ["city", "district", "ward", "street", "full_address"]
 FEATURES = [
@@ -164,7 +164,8 @@ def listing_view(clean: DataFrame, columns: list[str] | None = None) -> DataFram
         "interior", "legal_class", "post_rank",
     ]
     base = [c for c in wanted if c not in ("product_id", "posted_date", "src_pos")]
-    return deduplicated(clean.select("product_id", "posted_date", *base, "src_pos")).drop("src_pos")
+    rows = clean.select("product_id", "posted_date", *base, "src_pos")
+    return first_rows(rows, ["product_id", "posted_date"], ["src_pos"]).drop("src_pos")
 
 
 def with_calculated_columns(view: DataFrame) -> DataFrame:

@@ -194,3 +194,13 @@ def test_cleaning_rules_evaluate_their_text_once(spark):
     assert plan.count("split(") <= 6, plan.count("split(")
     price = df.select(numeric_features(F.col("text"), F.array("text"))["bedrooms"].alias("n"))
     assert price._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract(") <= 3
+
+
+def test_view_moves_only_the_columns_read(spark):
+    rows = [(1, "2024-01-01", "b", "x", 1.0), (1, "2024-01-01", "a", "y", 2.0), (2, None, "c", None, 3.0), (None, None, "d", "z", 4.0), (None, None, "e", "z", 5.0)]
+    clean = spark.createDataFrame(rows, "product_id bigint, posted_date string, src_pos string, city string, price_total double")
+    view = S.listing_view(clean, ["city", "price_total"])
+    assert sorted(r.price_total for r in view.collect()) == [2.0, 3.0, 4.0]
+    plan = view.select("price_total")._jdf.queryExecution().executedPlan().toString()
+    moved = plan[plan.index("Exchange"):].split("LogicalRDD")[0].split("Scan")[0]
+    assert "city" not in moved
