@@ -21,6 +21,7 @@ BOOL_COLUMNS = [
 ]
 TIME_COLUMNS = ["posted_date", "expiry_date"]
 IMPUTED = ["road_width", "frontage", "bedrooms", "bathrooms", "price_trend_1y"]
+IMPUTED_CLASSES = ["road_class", "frontage_class", "property_class", "trend_class"]
 
 OUTPUT_ORDER = [
     "product_id", "title", "url", "city", "district", "ward", "street", "full_address", "price_total", "area",
@@ -104,11 +105,21 @@ def impute_and_classify(df: DataFrame, medians: DataFrame) -> DataFrame:
 
 
 def clean_listings(raw: DataFrame, keep: list[str] | None = None) -> DataFrame:
-    """The cleaned wide table in its output order, plus the row-order column if present."""
+    """The cleaned wide table in its output order, plus the row-order column if present.
+
+    The medians take a pass over the table of their own, so they are looked for only if a column to keep depends on them.
+    """
     typed = typed_listings(raw)
-    done = impute_and_classify(normalise_labels(typed), exact_medians(typed, IMPUTED))
+    kept = keep or OUTPUT_ORDER
+    medians = exact_medians(typed, IMPUTED) if {*kept} & {*IMPUTED, *IMPUTED_CLASSES} else _no_medians(typed)
+    done = impute_and_classify(normalise_labels(typed), medians)
     order = [c for c in ("src_pos",) if c in raw.columns]
-    return done.select(*(keep or OUTPUT_ORDER), *order)
+    return done.select(*kept, *order)
+
+
+def _no_medians(df: DataFrame) -> DataFrame:
+    """A row in place of the medians, for columns that don't depend on them."""
+    return df.sparkSession.range(1).select(*[F.lit(None).cast("double").alias(c) for c in IMPUTED])
 
 
 def with_model_names(df: DataFrame) -> DataFrame:

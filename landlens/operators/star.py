@@ -61,9 +61,15 @@ def dim_property_details(clean: DataFrame) -> DataFrame:
     )
 
 
+def product_keys(clean: DataFrame) -> DataFrame:
+    """product_id and product_skey of the product dimension, without its texts."""
+    return with_sequence_key(clean.select("product_id").distinct(), ["product_id"], "product_skey", digits=4)
+
+
 def dim_product(clean: DataFrame) -> DataFrame:
+    """The texts of each product's first row; only its key is numbered, so they are shuffled once."""
     first = first_per_key(clean.select(*PRODUCT, "src_pos", "posted_date"), ["product_id"], ["src_pos", "posted_date"])
-    return with_sequence_key(first.select(*PRODUCT), ["product_id"], "product_skey", digits=4)
+    return null_safe_lookup(first.select(*PRODUCT), product_keys(clean), ["product_id"], ["product_skey"])
 
 
 def deduplicated(clean: DataFrame) -> DataFrame:
@@ -110,7 +116,9 @@ def build_star(clean: DataFrame, stage: bool = True) -> dict[str, DataFrame]:
         "product": dim_product(base),
     }
     dates = {f"{role}_dates": dim_dates(base, role) for role in DATE_ROLES}
-    return {**dims, **dates, "fact": fact_listings(base, dims)}
+    # the fact looks up keys alone; of the whole dimension the texts would be shuffled with them
+    keys = product_keys(base)
+    return {**dims, **dates, "product_keys": keys, "fact": fact_listings(base, {**dims, "product": keys})}
 
 
 def write_star(clean: DataFrame, root: str) -> None:
@@ -147,7 +155,7 @@ def star_view(star: dict[str, DataFrame]) -> DataFrame:
         .join(loc, "location_skey", "left")
         .join(det, "status_skey", "left")
         .join(star["features"], "feature_skey", "left")
-        .join(star["product"].select("product_skey", "product_id"), "product_skey", "left")
+        .join(star.get("product_keys", star["product"]).select("product_skey", "product_id"), "product_skey", "left")
     )
 
 

@@ -204,3 +204,20 @@ def test_view_moves_only_the_columns_read(spark):
     plan = view.select("price_total")._jdf.queryExecution().executedPlan().toString()
     moved = plan[plan.index("Exchange"):].split("LogicalRDD")[0].split("Scan")[0]
     assert "city" not in moved
+
+
+def test_star_moves_product_texts_only_into_their_dimension(spark, sf_dir, monkeypatch):
+    from landlens.operators import clean as C
+
+    clean = frames.clean(spark, sf_dir)
+    star = S.build_star(clean)
+    for df in (star["fact"], S.star_view(star)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "exclamation_count" not in plan
+    keys = star["product"].select("product_skey", "product_id")
+    assert keys.exceptAll(star["product_keys"].select(*keys.columns)).count() == 0
+    # columns that don't depend on the medians are kept without a pass for them
+    monkeypatch.setattr(C, "exact_medians", None)
+    kept = ["product_id", "posted_date", "price_total"]
+    narrow = frames.clean(spark, sf_dir, kept)
+    assert narrow.exceptAll(clean.select(*narrow.columns)).count() == 0 and narrow.count() == clean.count()
