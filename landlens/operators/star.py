@@ -95,10 +95,22 @@ def fact_listings(clean: DataFrame, dims: dict[str, DataFrame], with_id: bool =
     rows = null_safe_lookup(rows, dims["details"], DETAILS_JOIN, ["status_skey"])
     rows = null_safe_lookup(rows, dims["product"], ["product_id"], ["product_skey"])
     flagged = with_risk_flags(rows.select(*FACT))
-    if not with_id:
-        return flagged
-    # (product, posting date) is unique after the dedup, so it can carry the sequence.
-    return with_sequence_key(flagged, ["product_skey", "posted_date"], "listing_id", digits=4)
+    return with_listing_id(flagged) if with_id else flagged
+
+
+def with_listing_id(fact: DataFrame) -> DataFrame:
+    """(product, posting date) is unique after the dedup, so it can carry the sequence."""
+    return with_sequence_key(fact, ["product_skey", "posted_date"], "listing_id", digits=4)
+
+
+def listing_ids(clean: DataFrame) -> DataFrame:
+    """product_skey, posted_date and listing_id of the fact, for callers that read no more of it.
+
+    The lookups are many to one and a listing's first row has its key, so ids need neither the other columns nor row order.
+    """
+    listings = materialise(clean.select("product_id", "posted_date").distinct(), "listing-keys")
+    rows = null_safe_lookup(listings, product_keys(listings), ["product_id"], ["product_skey"])
+    return with_listing_id(rows.select("product_skey", "posted_date"))
 
 
 def build_star(clean: DataFrame, stage: bool = True) -> dict[str, DataFrame]:

@@ -221,3 +221,14 @@ def test_star_moves_product_texts_only_into_their_dimension(spark, sf_dir, monke
     kept = ["product_id", "posted_date", "price_total"]
     narrow = frames.clean(spark, sf_dir, kept)
     assert narrow.exceptAll(clean.select(*narrow.columns)).count() == 0 and narrow.count() == clean.count()
+
+
+def test_listing_ids_are_those_of_the_fact(spark):
+    rows = [(1, "2024-01-01", "b"), (1, "2024-01-01", "a"), (1, None, "c"), (1, None, "d"), (2, "2024-01-01", "e"), (None, "2024-01-02", "f"), (None, "2024-01-02", "g"), (None, None, "h")]
+    clean = spark.createDataFrame(rows, "product_id bigint, posted_date string, src_pos string").withColumn("posted_date", F.col("posted_date").cast("timestamp"))
+    ids = S.listing_ids(clean)
+    plain = S.null_safe_lookup(S.deduplicated(clean), S.product_keys(clean), ["product_id"], ["product_skey"])
+    plain = S.with_sequence_key(plain.select("product_skey", "posted_date"), ["product_skey", "posted_date"], "listing_id", digits=4)
+    got = sorted(map(tuple, ids.collect()), key=str)
+    assert got == sorted(map(tuple, plain.collect()), key=str) and sorted(x[2] for x in got) == [1, 2, 3, 4, 5]
+    assert "src_pos" not in ids._jdf.queryExecution().executedPlan().toString()
