@@ -52,7 +52,7 @@ def x3(spark, d):
 @query("x4_rejects_stay_pending", f"SELECT {_URL} AS url FROM part WHERE NOT ({_VALID})")
 def x4(spark, d):
     pages = listing_pages(spark, d)
-    done, _ = split_listings(pages, SITE, F.to_date(F.lit("2024-01-01")))
+    done, _ = split_listings(pages, SITE, F.to_date(F.lit("2024-01-01")), columns=["url"])
     return pending(pages.select("url"), done, "url")
 
 

@@ -232,3 +232,12 @@ def test_listing_ids_are_those_of_the_fact(spark):
     got = sorted(map(tuple, ids.collect()), key=str)
     assert got == sorted(map(tuple, plain.collect()), key=str) and sorted(x[2] for x in got) == [1, 2, 3, 4, 5]
     assert "src_pos" not in ids._jdf.queryExecution().executedPlan().toString()
+
+
+def test_split_listings_extract_only_what_is_asked_for(spark, sf_dir, monkeypatch):
+    seen = []
+    monkeypatch.setattr(P, "materialise", lambda df, name: seen.append(df) or df)
+    P.split_listings(listing_pages(spark, sf_dir), SITE, F.to_date(F.lit("2024-01-01")), columns=["url"])
+    assert seen[0].columns == ["url", "reject_reason"]
+    plan = seen[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert "is_verified" not in plan and "cong\\s*vien" not in plan
