@@ -212,3 +212,12 @@ def test_streams_read_tables_that_are_folders(spark, sf_dir, tmp_path):
 
     spark.read.parquet(f"{sf_dir}/pages.parquet").repartition(4).write.parquet(f"{tmp_path}/pages.parquet")
     assert x1(spark, str(tmp_path)).count() == 50
+
+
+def test_markers_are_looked_for_only_where_one_may_start(spark):
+    letters = sorted({w[0] for w in X.START_MARKERS + X.STOP_MARKERS} | set("kisßđ"))
+    guarded = X._any(letters)
+    assert "(?=[" in guarded
+    chars = spark.createDataFrame([(c,) for c in map(chr, range(1, 0x10000)) if not 0xD800 <= ord(c) <= 0xDFFF], "c string")
+    wrong = chars.where(F.col("c").rlike(guarded) != F.col("c").rlike("(?iu)" + X._grouped(letters)))
+    assert [r.c for r in wrong.collect()] == []
