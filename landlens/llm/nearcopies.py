@@ -13,8 +13,9 @@ their low bits, and a pair is looked at under the first key it shares. Every com
 similarity of the whole texts; ``SIMILARITY`` or more links them.
 
 At a similarity of exactly 0.8 a pair shares a key with a probability of 0.999 and has the bits with one of 0.9998, at 0.85 of
-0.99999 both. A large group of copies that differ from each other by more than the similarity allows costs its pairs'
-comparison of sample bits, not of texts.
+0.99999 both. Texts under a key of more than ``CROWD`` that is still open get ``FINE`` samples in all, of which ``FINE_AGREE`` must
+agree too; a pair of a similarity of 0.8 has them with a probability of 0.99996. So a large group of copies that differ from
+each other by more than the similarity allows costs its pairs' comparison of sample bits, not of texts.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from landlens.llm.common import BATCH_ROWS, map_rows, ship_code, table
-from landlens.session import materialise
+from landlens.session import dealt, materialise
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -37,6 +38,9 @@ BANDS, ROWS = 16, 4
 #: Of 64 samples' lowest four bits, so many must agree; at a similarity of 0.8, 52 do on average (deviation 3.1).
 AGREE = 40
 CENTERS = 4
+#: Members of a key from which on they are compared by more samples; 416 of them agree on average at a similarity of 0.8 (deviation 8.8).
+CROWD = 16
+FINE, FINE_AGREE = 512, 381
 #: Document frequencies from this share of the documents on are sent to the tasks, 16 bytes each.
 SHARE = 1 / 4096
 #: Hash ranges in which frequencies are counted, and the shingles a task adds up before it gives them to the ranges.
@@ -48,6 +52,8 @@ SEED = 20
 #: Bytes of text that are hashed together, and shingles that are sampled together: they bound the memory beside the texts.
 TEXT_BYTES = 1 << 20
 SAMPLED = 1 << 13
+#: Hash values that tell most texts that nobody compares; at most so many are sent to the tasks.
+SLOTS = 1 << 22
 #: White space beyond the ASCII kinds.
 ODD_SPACE = r"[\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -232,9 +238,9 @@ def inverse_frequencies(docs: DataFrame, share: float = SHARE, listed: int | Non
 
 
 class Sampler:
-    """Consistent weighted samples of weighted shingle sets."""
+    """Consistent weighted samples of weighted shingle sets; the first samples are the same whatever their number."""
 
-    def __init__(self, log_weight: Weights):
+    def __init__(self, log_weight: Weights, samples: int = BANDS * ROWS):
         rng = np.random.default_rng(SEED)
         self.log_weight = log_weight
         self.r = rng.gamma(2, 1, VARIATES)
@@ -242,7 +248,7 @@ class Sampler:
         self.beta = rng.random(VARIATES)
         # ln a = ln c - r (t - beta) - r: the part that doesn't depend on t and beta
         self.rest = np.log(rng.gamma(2, 1, VARIATES)) - self.r
-        self.factors = rng.integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
+        self.factors = rng.integers(1, 2**63, samples, dtype=np.uint64) | np.uint64(1)
 
     def _least(self, h: np.ndarray, weight: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For each sample and stretch of ``h`` the least ln a, and the sample drawn there (of equals the first one's)."""
@@ -268,8 +274,8 @@ class Sampler:
             picked[k] = _mix(h[at] + t[at].astype(np.int64).view(np.uint64) * _FOLD)
         return least, picked
 
-    def keys(self, sets: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-        """For each set (none of them empty) an int64 key a band, and the samples' lowest four bits, 16 samples to an int64.
+    def picked(self, sets: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """The samples of each set (none of them empty), a row a sample.
 
         Sets are sampled in blocks of ``SAMPLED`` shingles; of a set's parts in several blocks the least one counts.
         """
@@ -286,16 +292,26 @@ class Sampler:
             lower = least < low[:, some]
             low[:, some] = np.where(lower, least, low[:, some])
             picked[:, some] = np.where(lower, drawn, picked[:, some])
+        return picked
+
+    def keys(self, sets: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        """For each set (none of them empty) an int64 key a band, and the samples' marks."""
+        picked = self.picked(sets)
         out = np.empty((BANDS, len(sets)), np.uint64)
         for band in range(BANDS):
             key = np.full(len(sets), np.uint64(band + 1), np.uint64)
             for k in range(ROWS):
                 key = _mix(key * _FOLD + picked[band * ROWS + k])
             out[band] = key
-        marks = np.zeros((BANDS * ROWS // 16, len(sets)), np.uint64)
+        return out.T.astype(np.int64), self.marks(picked)
+
+    @staticmethod
+    def marks(picked: np.ndarray) -> np.ndarray:
+        """For each set its samples' lowest four bits, 16 samples to an int64."""
+        marks = np.zeros((len(picked) // 16, picked.shape[1]), np.uint64)
         for k, sample in enumerate(picked):
             marks[k // 16] |= (sample & np.uint64(15)) << np.uint64(4 * (k % 16))
-        return out.T.astype(np.int64), marks.T.astype(np.int64)
+        return marks.T.astype(np.int64)
 
 
 def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], log_weight: Weights) -> float:
@@ -336,6 +352,22 @@ def signatures(docs: DataFrame, log_weight: Weights) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), text_key("text").alias("same"), "text").mapInArrow(run, schema)
 
 
+def fine_marks(texts: DataFrame, log_weight: Weights) -> DataFrame:
+    """node, fine: the marks of ``FINE`` samples. ``texts``: node, text, a row per node, all with words."""
+    sent = texts.sparkSession.sparkContext.broadcast(log_weight)
+    ship_code(texts.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingle, sampler = shingler(), Sampler(sent.value, FINE)
+        for batch in batches:
+            for at in range(0, batch.num_rows, BATCH_ROWS):
+                part = batch.slice(at, BATCH_ROWS)
+                marks = sampler.marks(sampler.picked(shingle.many(part.column(1))))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(list(marks), pa.list_(pa.int64()))], names=["node", "fine"])
+
+    return texts.select("node", "text").mapInArrow(run, "node long, fine array<long>")
+
+
 def text_key(text: str) -> Column:
     """16 bytes that tell texts apart; null for a null text."""
     return F.unhex(F.md5(F.col(text)))
@@ -344,7 +376,8 @@ def text_key(text: str) -> Column:
 def verified(pairs: DataFrame, texts: DataFrame, log_weight: Weights, similarity: float = SIMILARITY) -> DataFrame:
     """a, b: those of ``pairs`` whose texts are similar enough. ``texts``: node, text, a row per node."""
     sent = pairs.sparkSession.sparkContext.broadcast(log_weight)
-    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
+    # dealt, as few bytes of pairs can be many comparisons
+    both = dealt(pairs, "b").join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
     both = both.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
 
     def make():
@@ -394,15 +427,19 @@ def _classes(docs: DataFrame, similarity: float) -> DataFrame:
     reps = rows.where("digest IS NOT NULL").groupBy("digest").agg(*agg)
     # numbers are unique, and fixed by the written table
     reps = materialise(reps.withColumn("rep", F.monotonically_increasing_id()), "near-reps")
-    banded = reps.select("rep", "weight", "keys", "marks", F.explode("keys").alias("key"))
+    banded = reps.select("rep", F.explode("keys").alias("key"))
     shared = materialise(banded.groupBy("key").agg(F.min("rep").alias("first"), F.count("*").alias("n")).where("n > 1"), "near-keys")
-    banded = materialise(banded.join(shared, "key"), "near-bands")  # only keys that several share
+    # only keys that several share; the numbers alone meet there, as the rest of a row would be moved once a band
+    banded = materialise(banded.join(shared, "key").join(reps.select("rep", "weight", "keys", "marks"), "rep"), "near-bands")
     pairs = materialise(banded.where("rep <> first").select(F.col("rep").alias("a"), F.col("first").alias("b")).distinct(), "near-pairs")
     wanted = reps.select("rep", "home").join(banded.select("rep").distinct(), "rep", "left_semi")
     wanted = materialise(wanted.select(F.col("rep").alias("node"), F.col("home.doc_id").alias("__id"), F.col("home.same").alias("__same")), "near-wanted")
-    # a row is found by id and text, so that copies of one text do not meet
+    # a row is found by id and text, so that copies of one text do not meet; most others go by their slot before texts are moved
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(SLOTS))
+    slots = wanted.select(slot("__same").alias("__slot")).distinct()
+    near = docs.join(F.broadcast(slots), slot(text_key("text")) == F.col("__slot"), "left_semi")
     home = (text_key("text") == F.col("__same")) & F.col("doc_id").eqNullSafe(F.col("__id"))
-    texts = docs.join(wanted, home).groupBy("node").agg(F.first("text").alias("text"))
+    texts = near.join(wanted, home).groupBy("node").agg(F.first("text").alias("text"))
     texts = materialise(texts, "near-texts")
     links = materialise(verified(pairs, texts, log_weight, similarity), "near-found")
     labels = components(links)
@@ -437,16 +474,31 @@ def agreeing(a: Column, b: Column) -> Column:
     return total
 
 
+def finely_agreeing(a: Column, b: Column) -> Column:
+    """Whether enough of the fine samples agree; true where one side has none."""
+    ones = F.lit(0x1111111111111111)
+
+    def unlike(x: Column) -> Column:
+        some = x.bitwiseOR(F.shiftrightunsigned(x, 1))
+        return F.bit_count(some.bitwiseOR(F.shiftrightunsigned(some, 2)).bitwiseAND(ones))
+
+    total = F.aggregate(F.zip_with(a, b, lambda x, y: x.bitwiseXOR(y)), F.lit(0), lambda n, x: n + unlike(x))
+    return F.coalesce(total <= FINE - FINE_AGREE, F.lit(True))
+
+
 def _candidates(one: DataFrame, two: DataFrame, similarity: float, where: Column) -> DataFrame:
     """a, b (a > b): rows under one key, in different classes, that may be similar; each pair under the first key it shares.
 
     Pairs whose total weights differ by more than the similarity allows cannot be similar.
     """
-    one, two = (x.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("rep", "weight", "label", "marks", "keys")]) for x, s in ((one, "x"), (two, "y")))
+    fine = ["fine"] * ("fine" in one.columns)
+    one, two = (x.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("rep", "weight", "label", "marks", "keys", *fine)]) for x, s in ((one, "x"), (two, "y")))
     slack = similarity * (1 - 1e-9)
     close = (F.col("weight_x") >= F.col("weight_y") * slack) & (F.col("weight_y") >= F.col("weight_x") * slack)
     first = F.get(F.array_intersect("keys_x", "keys_y"), F.lit(0)) == one["key"]
     wanted = where & (F.col("label_x") != F.col("label_y")) & close & (agreeing(F.col("marks_x"), F.col("marks_y")) >= AGREE) & first
+    if fine:
+        wanted = wanted & finely_agreeing(F.col("fine_x"), F.col("fine_y"))
     pairs = one.join(two, (one["key"] == two["key"]) & wanted)
     return pairs.select(F.greatest("rep_x", "rep_y").alias("a"), F.least("rep_x", "rep_y").alias("b")).distinct()
 
@@ -455,11 +507,11 @@ def _cross_links(banded: DataFrame, pairs: DataFrame, links: DataFrame, labels:
     """Compare what shares a key and is in different classes, and add the links found.
 
     A key whose members are all of one class needs nothing more. In the others all members are first compared with a few of
-    them, which joins most of a large group; then members of different classes are compared.
+    them, which joins most of a large group; then members of different classes are compared, those of crowded keys by more samples.
     """
     seen = pairs
     for step in ("centers", "rest"):
-        rows = banded.join(labels, F.col("rep") == F.col("node"), "left").withColumn("label", F.coalesce("label", "rep")).drop("node", "first", "n")
+        rows = banded.join(labels, F.col("rep") == F.col("node"), "left").withColumn("label", F.coalesce("label", "rep")).drop("node", "first")
         open_keys = rows.groupBy("key").agg(F.min("label").alias("__l"), F.max("label").alias("__m")).where("__l <> __m").select("key")
         rows = materialise(rows.join(open_keys, "key", "left_semi"), "near-open")
         if step == "centers":
@@ -468,6 +520,9 @@ def _cross_links(banded: DataFrame, pairs: DataFrame, links: DataFrame, labels:
             centers = rows.groupBy("key").agg(F.array_distinct(F.array(*picks)).alias("c")).select("key", F.explode("c").alias("c")).select("key", "c.*")
             more = _candidates(rows, materialise(centers, "near-centers"), similarity, F.lit(True))
         else:
+            crowd = rows.where(F.col("n") > CROWD).select(F.col("rep").alias("node")).distinct()
+            fine = materialise(fine_marks(dealt(texts.join(crowd, "node", "left_semi"), "node"), log_weight), "near-fine")
+            rows = materialise(rows.join(fine, F.col("rep") == F.col("node"), "left").drop("node"), "near-crowds")
             more = _candidates(rows, rows, similarity, F.col("rep_x") > F.col("rep_y"))
         more = materialise(more.join(seen, ["a", "b"], "left_anti"), "near-more")
         extra = materialise(verified(more, texts, log_weight, similarity), "near-extra")

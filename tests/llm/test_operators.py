@@ -384,6 +384,34 @@ def test_near_copies_against_brute_force(spark, odd, empty):
     assert nearcopies.near_classes(empty).count() == 0
 
 
+def test_crowd_of_unlike_copies_is_told_apart_by_samples(spark, monkeypatch):
+    rng = random.Random(31)
+    base = [f"w{rng.randrange(4000)}" for _ in range(400)]
+
+    def edited(words, n):
+        copy = list(words)
+        for at in range(rng.randrange(30), 400, 400 // n)[:n]:
+            copy[at] = f"n{rng.randrange(10**6)}"
+        return copy
+
+    crowd = [edited(base, 3) for _ in range(70)]
+    rows = [(k, " ".join(words)) for k, words in enumerate(crowd)]
+    rows += [(100 + k, " ".join([*crowd[k], "end"])) for k in range(0, 70, 10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    compared = []
+
+    def counted(pairs, *rest):
+        compared.append(pairs.count())
+        return verified(pairs, *rest)
+
+    verified = nearcopies.verified
+    monkeypatch.setattr(nearcopies, "verified", counted)
+    got = {r["doc_id"]: r["class_id"] for r in nearcopies.near_classes(docs).collect()}
+    assert got == {i: i - 100 if i >= 100 else i for i, _ in rows}
+    # all pairs are 2,926; those with a first member or a center aside, few are left
+    assert compared[2] < 200
+
+
 def test_near_copies_are_texts_not_ids(spark):
     rng = random.Random(12)
     x, y = (" ".join(f"w{rng.randrange(9999)}" for _ in range(120)) for _ in range(2))
