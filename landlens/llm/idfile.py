@@ -41,15 +41,20 @@ def encode_block(ids: np.ndarray) -> bytes:
     n = len(ids)
     large = ids >> np.uint64(60) != 0
     exceptions = ids[large]
+    least = np.zeros(n, np.uint8)  # the first selector whose bits hold an id
+    for count in COUNTS:
+        least += ids >= np.uint64(1 << 60 // count)
+    tops = {1: least}  # the largest of so many from a place on; any number is covered by two powers of two
+    while (size := max(tops)) * 2 <= min(n, COUNTS[0]):
+        tops[2 * size] = np.maximum(tops[size][: n - 2 * size + 1], tops[size][size:])
     best = np.full(n, ESCAPE, np.uint8)  # the selector of a word that starts here
     for selector in range(len(COUNTS) - 1, -1, -1):
         count = COUNTS[selector]
-        bits = 60 // count
         if count > n:
             continue
-        bad = np.concatenate([[0], np.cumsum(ids >> np.uint64(bits) != 0)])
-        fits = bad[count:] == bad[: n - count + 1]
-        best[: n - count + 1][fits] = selector
+        size = 1 << count.bit_length() - 1
+        top = np.maximum(tops[size][: n - count + 1], tops[size][count - size :])
+        np.putmask(best[: n - count + 1], top <= selector, selector)
     step = np.array([*COUNTS, 1, 1], np.int64)[best].tolist()
     starts, at = [], 0
     while at < n:
@@ -62,8 +67,10 @@ def encode_block(ids: np.ndarray) -> bytes:
         mine = np.flatnonzero(chosen == selector)
         if len(mine):
             bits = 60 // count
-            shifts = np.arange(count, dtype=np.uint64) * np.uint64(bits)
-            words[mine] |= np.bitwise_or.reduce(ids[starts[mine][:, None] + np.arange(count)] << shifts, axis=1)
+            first, held = starts[mine], words[mine]
+            for k in range(count):
+                held |= ids[first + k] << np.uint64(bits * k)
+            words[mine] = held
     escaped = chosen == ESCAPE
     words[escaped] |= np.arange(int(escaped.sum()), dtype=np.uint64)
     header = np.array([MAGIC, len(words), n, len(exceptions)], "<u8")

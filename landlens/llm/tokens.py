@@ -132,8 +132,8 @@ class WordTokenizer:
         ask, joined = [], []
         for w in numbers.new:  # it grows while heads get their numbers
             # letters with one sign behind them are always split in front of the sign; lower case may end in a mark, which would join it
-            if w[-1] in _SIGNS and 1 < len(w) <= CACHE_CHARS and w[:-1].removeprefix(" ").lower().isalpha():
-                joined.append((numbers[w], numbers[w[:-1]], numbers[w[-1]]))
+            if w[-1] in _SIGNS and 1 < len(w) <= CACHE_CHARS and (head := w[:-1]).removeprefix(" ").lower().isalpha():
+                joined.append((numbers[w], numbers[head], numbers[w[-1]]))
             else:
                 ask.append(w)
         numbers.new = []
@@ -141,8 +141,9 @@ class WordTokenizer:
         plain, rest = [], []
         for w in ask:
             bare = w.removeprefix(" ")
-            # one word without white space, mark or special name
-            (plain if len(w) <= CACHE_CHARS and sign not in w and "<|" not in w and bare.split() == [bare] else rest).append(w)
+            # one word without white space, mark or special name; letters and digits alone are none of these
+            one = len(w) <= CACHE_CHARS and (bare.isalnum() or (sign not in w and "<|" not in w and bare.split() == [bare]))
+            (plain if one else rest).append(w)
         rest += self._learn_joined(plain)
         got = self._ids(rest)
         self._keep(rest, np.fromiter(map(len, got), np.int64, len(got)), got)

@@ -6,6 +6,7 @@ import math
 import random
 import re
 import struct
+import time
 import zlib
 
 import numpy as np
@@ -384,6 +385,34 @@ def test_near_copies_against_brute_force(spark, odd, empty):
     assert nearcopies.near_classes(empty).count() == 0
 
 
+def test_id_blocks_are_packed_greedily():
+    """Words hold the most ids they can, as a plain walk over the ids finds; and a block takes few passes over its ids."""
+    rng = random.Random(8)
+    for n in (0, 1, 2, 7, 29, 30, 59, 60, 61, 200, 3000):
+        ids = [rng.getrandbits(rng.choice((1, 2, 6, 16, 30, 60, 64))) if rng.random() < 0.3 else rng.getrandbits(16) >> rng.choice((0, 4, 12)) for _ in range(n)]
+        ids[: n // 3] = [x & 1 for x in ids[: n // 3]]
+        words, exceptions, at = [], [], 0
+        while at < n:
+            fits = [k for k, c in enumerate(idfile.COUNTS) if at + c <= n and all(x >> 60 // c == 0 for x in ids[at : at + c])]
+            k = fits[0] if fits else idfile.ESCAPE
+            size = idfile.COUNTS[k] if fits else 1
+            body = sum(x << 60 // size * j for j, x in enumerate(ids[at : at + size])) if fits else len(exceptions)
+            exceptions += [] if fits else [ids[at]]
+            words.append(k << 60 | body)
+            at += size
+        data = idfile.encode_block(np.array(ids, np.uint64))
+        assert data == b"".join(struct.pack("<Q", x) for x in [idfile.MAGIC, len(words), n, len(exceptions), *words, *exceptions])
+        assert idfile.decode_block(data).tolist() == ids
+    ids = np.array([rng.getrandbits(16) for _ in range(1 << 16)], np.uint64)
+    before = time.process_time()
+    for _ in range(20):
+        idfile.encode_block(ids)
+    packing_s, before = time.process_time() - before, time.process_time()
+    for _ in range(20 * len(idfile.COUNTS)):
+        np.cumsum(ids >> np.uint64(9) != 0)
+    assert packing_s < 2.4 * (time.process_time() - before)
+
+
 def test_crowd_of_unlike_copies_is_told_apart_by_samples(spark, monkeypatch):
     rng = random.Random(31)
     base = [f"w{rng.randrange(4000)}" for _ in range(400)]
