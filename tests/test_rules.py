@@ -221,3 +221,16 @@ def test_markers_are_looked_for_only_where_one_may_start(spark):
     chars = spark.createDataFrame([(c,) for c in map(chr, range(1, 0x10000)) if not 0xD800 <= ord(c) <= 0xDFFF], "c string")
     wrong = chars.where(F.col("c").rlike(guarded) != F.col("c").rlike("(?iu)" + X._grouped(letters)))
     assert [r.c for r in wrong.collect()] == []
+
+
+def test_pages_are_read_with_one_pattern_a_class_list_and_no_copied_tags(spark):
+    page = "<div class='re__x\n a'>1<span class=\"t\">&#226;&#;&#x;&bogus;</span><div>2</div></div>3<DIV CLASS=re__x>4<span class=t>5 <a>1<2</DIV><p class='re__x'>" + "<b>x</b>" * 40
+    df = spark.createDataFrame([(page,), ("",), (None,)], "html string").select(H.tags(H.drop_silent(F.col("html"))).alias("tags"))
+    # the pattern stood in the plan for each use of its match
+    assert df._jdf.queryExecution().analyzed().toString().count("sclass") == 1
+    inside, text = H.first_text("e.inner", "t"), H.tag_text("e.inner")
+    copied = f"transform({H.elements('tags', 're__x')}, e -> concat_ws('|', {inside}, {text}, e.head))"
+    cut = H.each_element("tags", "re__x", lambda head, inner, whole: f"concat_ws('|', {H.first_text(inner, 't')}, {H.tag_text(whole)}, {head})")
+    rows = df.select(F.expr(copied).alias("a"), F.expr(cut).alias("b")).collect()
+    assert [r.a for r in rows] == [r.b for r in rows]
+    assert rows[0].b[0].startswith("â&#;&#x;&bogus;|1â&#;&#x;&bogus;2|") and len(rows[0].b) == 3 and rows[1].b == [] and rows[2].b is None
