@@ -1,9 +1,9 @@
 """Near copies by improved consistent weighted sampling over TF-IDF shingles.
 
 A text is the weighted set of its shingles of five words: how often a shingle occurs, times its inverse document frequency. Document
-frequencies are counted for each shingle hash over all documents. Those of shingles in ``SHARE`` of the documents or more are listed
-and sent to the tasks; the list holds at most 1 / ``SHARE`` times the mean number of shingles of a document, whatever the number of
-documents. A shingle below that weighs what a shingle of a single document weighs; up to 2 / ``SHARE`` documents that is exact.
+frequencies are counted for each shingle hash over all documents, in ranges of hashes. No task and no driver holds them all: the rows
+are numbered in parts, each range replies to every part that asked with the frequencies of the part's shingles, and part and replies
+meet again. From there on a text carries the frequencies of its shingles, a byte or so each.
 
 Each of the ``BANDS * ROWS`` samples picks a shingle with a quantised weight such that two sets pick the same with a probability
 equal to their weighted Jaccard similarity. ``ROWS`` samples make a band's key. Texts with equal sets are one node from here on,
@@ -21,9 +21,10 @@ each other by more than the similarity allows costs its pairs' comparison of sam
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -41,8 +42,8 @@ CENTERS = 4
 #: Members of a key from which on they are compared by more samples; 416 of them agree on average at a similarity of 0.8 (deviation 8.8).
 CROWD = 16
 FINE, FINE_AGREE = 512, 381
-#: Document frequencies from this share of the documents on are sent to the tasks, 16 bytes each.
-SHARE = 1 / 4096
+#: Rows whose shingles are counted, and looked up, together (a power of two).
+PART_ROWS = 512
 #: Hash ranges in which frequencies are counted, and the shingles a task adds up before it gives them to the ranges.
 RANGE_BITS = 10
 PENDING = 1 << 21
@@ -167,66 +168,121 @@ class Weights:
         return out
 
 
-def document_frequencies(docs: DataFrame) -> DataFrame:
-    """h, df: the shingle hashes of two documents or more; and a row with a null h and the number of texts that have words."""
-    import pandas as pd
+def log_weights(df: np.ndarray, n: int) -> np.ndarray:
+    """The ln of the weights of shingles that ``df`` of ``n`` texts hold."""
+    return np.log(np.log1p(n / np.maximum(df, 1)))
+
+
+def pack(df: np.ndarray) -> bytes:
+    """Counts from 1 on as their number, a byte each, and the larger ones in full behind."""
+    return np.uint32(len(df)).tobytes() + np.minimum(df, 255).astype(np.uint8).tobytes() + df[df >= 255].astype("<i8").tobytes()
+
+
+def unpack(data: bytes) -> np.ndarray:
+    n = int(np.frombuffer(data, "<u4", 1)[0])
+    df = np.frombuffer(data, np.uint8, n, 4).astype(np.int64)
+    df[df == 255] = np.frombuffer(data, "<i8", -1, 4 + n)
+    return df
 
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """doc_id, text and part, written: the same rows have the same part whenever they are read."""
+    part = F.floor(F.monotonically_increasing_id() / PART_ROWS).alias("part")
+    return materialise(docs.select("doc_id", "text", part), "near-parts")
+
+
+def _counted(docs: DataFrame) -> DataFrame:
+    """slice, part, h, df: a part's distinct hashes of a range with the texts of the part that hold them (maybe in several rows).
+
+    ``docs``: text, part. In slice -1 the number of texts that have words.
+    """
     ship_code(docs.sparkSession)
     edges = np.arange(1, 1 << RANGE_BITS, dtype=np.uint64) << np.uint64(64 - RANGE_BITS)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle, n, pending, size = shingler(), 0, [], 0
+        shingle, n, part, pending, size = shingler(), 0, None, [], 0
 
-        def rows(parts: list) -> pa.RecordBatch:
-            columns = [pa.array([x[c] for x in parts], t) for c, t in enumerate((pa.int32(), pa.binary(), pa.binary()))]
-            return pa.RecordBatch.from_arrays(columns, names=["slice", "h", "df"])
+        def rows(found: list) -> pa.RecordBatch:
+            columns = [pa.array([x[c] for x in found], t) for c, t in enumerate((pa.int32(), pa.int64(), pa.binary(), pa.binary()))]
+            return pa.RecordBatch.from_arrays(columns, names=["slice", "part", "h", "df"])
 
         def give() -> pa.RecordBatch:
             h, df = np.unique(np.concatenate(pending), return_counts=True)
             cuts = np.searchsorted(h, edges)
-            split = zip(np.split(h, cuts), np.split(df.astype("<i8"), cuts), strict=True)
-            return rows([(k, a.tobytes(), b.tobytes()) for k, (a, b) in enumerate(split) if len(a)])
+            split = zip(np.split(h, cuts), np.split(df.astype("<i4"), cuts), strict=True)
+            return rows([(k, part, a.tobytes(), b.tobytes()) for k, (a, b) in enumerate(split) if len(a)])
 
         for batch in batches:
             for at in range(0, batch.num_rows, BATCH_ROWS):
-                for h, _ in shingle.many(batch.column(0).slice(at, BATCH_ROWS)):
+                parts = batch.column(1).slice(at, BATCH_ROWS).to_pylist()
+                for its, (h, _) in zip(parts, shingle.many(batch.column(0).slice(at, BATCH_ROWS)), strict=True):
+                    if size and (its != part or size >= PENDING):
+                        yield give()
+                        pending, size = [], 0
+                    part = its
                     if len(h):
                         n += 1
                         pending.append(h)
                         size += len(h)
-                    if size >= PENDING:
-                        yield give()
-                        pending, size = [], 0
         if size:
             yield give()
-        yield rows([(-1, b"", np.array([n], "<i8").tobytes())])
+        yield rows([(-1, -1, b"", np.array([n], "<i4").tobytes())])
+
+    return docs.select("text", F.col("part").cast("long")).mapInArrow(count, "slice int, part long, h binary, df binary")
+
+
+def _read(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and counts of a range's rows, one after the other."""
+    return np.concatenate([np.frombuffer(x, "<u8") for x in rows["h"]]), np.concatenate([np.frombuffer(x, "<i4") for x in rows["df"]]).astype(np.int64)
+
+
+def part_frequencies(docs: DataFrame) -> DataFrame:
+    """part, slice, dfs: how many of all texts hold each of a part's distinct hashes in a range, by the order of the hashes.
+
+    ``docs``: text, part. In part -1 the number of texts that have words.
+    """
+
+    def reply(rows: pd.DataFrame) -> pd.DataFrame:
+        h, df = _read(rows)
+        if rows["slice"].iloc[0] < 0:
+            return pd.DataFrame({"part": [-1], "slice": [-1], "dfs": [np.array([df.sum()], "<i8").tobytes()]})
+        known, which = np.unique(h, return_inverse=True)
+        total = np.bincount(which, weights=df).astype(np.int64)
+        ends = np.cumsum(rows["h"].map(len).to_numpy() // 8)
+        asked: dict[int, list] = {}
+        for part, mine in zip(rows["part"].tolist(), np.split(which, ends[:-1]), strict=True):
+            asked.setdefault(part, []).append(mine)
+        replies = [pack(total[mine[0] if len(mine) == 1 else np.unique(np.concatenate(mine))]) for mine in asked.values()]
+        return pd.DataFrame({"part": list(asked), "slice": int(rows["slice"].iloc[0]), "dfs": replies})
+
+    return _counted(docs).groupBy("slice").applyInPandas(reply, "part long, slice int, dfs binary")
+
+
+def document_frequencies(docs: DataFrame) -> DataFrame:
+    """h, df: the shingle hashes of two documents or more; and a row with a null h and the number of texts that have words."""
 
     def add(rows: pd.DataFrame) -> pd.DataFrame:
-        df = np.concatenate([np.frombuffer(x, "<i8") for x in rows["df"]])
+        h, df = _read(rows)
         if rows["slice"].iloc[0] < 0:
             return pd.DataFrame({"h": pd.array([None], "Int64"), "df": [int(df.sum())]})
-        h = np.concatenate([np.frombuffer(x, "<u8") for x in rows["h"]])
-        order = np.argsort(h, kind="stable")
-        h, df = h[order], df[order]
-        starts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-        total = np.add.reduceat(df, starts)
+        known, which = np.unique(h, return_inverse=True)
+        total = np.bincount(which, weights=df).astype(np.int64)
         several = total > 1
-        return pd.DataFrame({"h": pd.array(h[starts][several].view(np.int64), "Int64"), "df": total[several]})
+        return pd.DataFrame({"h": pd.array(known[several].view(np.int64), "Int64"), "df": total[several]})
 
-    parts = docs.select("text").mapInArrow(count, "slice int, h binary, df binary")
-    return parts.groupBy("slice").applyInPandas(add, "h long, df long")
+    return _counted(docs.select("text", F.lit(0).alias("part"))).groupBy("slice").applyInPandas(add, "h long, df long")
 
 
-def inverse_frequencies(docs: DataFrame, share: float = SHARE, listed: int | None = None) -> Weights:
-    """The weights of shingles, with the document frequencies of 2 and of ``share`` of the texts or more.
+def inverse_frequencies(docs: DataFrame, listed: int | None = None) -> Weights:
+    """The weights of all shingles in one list, for tables so small that it fits the driver; classes are found without it.
 
-    ``listed`` bounds the list further, for tasks with little memory: the frequencies that go beyond it are left out, lowest first.
+    ``listed`` bounds the list, for a caller who wants the most frequent shingles: the others are left out, lowest first.
     """
     found = materialise(document_frequencies(docs), "near-frequencies")
     n = found.where("h IS NULL").agg(F.sum("df")).first()[0] or 0
-    shingles, least, total = found.where("h IS NOT NULL"), max(2, n * share), 0
+    shingles, least, total = found.where("h IS NOT NULL"), 2, 0
     if listed is not None:
-        for df, times in sorted(((r[0], r[1]) for r in shingles.where(F.col("df") >= least).groupBy("df").count().collect()), reverse=True):
+        for df, times in sorted(((r[0], r[1]) for r in shingles.groupBy("df").count().collect()), reverse=True):
             total += times
             if total > listed:
                 least = df + 1
@@ -240,7 +296,8 @@ def inverse_frequencies(docs: DataFrame, share: float = SHARE, listed: int | Non
 class Sampler:
     """Consistent weighted samples of weighted shingle sets; the first samples are the same whatever their number."""
 
-    def __init__(self, log_weight: Weights, samples: int = BANDS * ROWS):
+    def __init__(self, log_weight: Callable[[np.ndarray], np.ndarray] | None = None, samples: int = BANDS * ROWS):
+        """``log_weight``: hashes to the ln of their weights, for callers that don't give those with the sets."""
         rng = np.random.default_rng(SEED)
         self.log_weight = log_weight
         self.r = rng.gamma(2, 1, VARIATES)
@@ -274,15 +331,15 @@ class Sampler:
             picked[k] = _mix(h[at] + t[at].astype(np.int64).view(np.uint64) * _FOLD)
         return least, picked
 
-    def picked(self, sets: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-        """The samples of each set (none of them empty), a row a sample.
+    def picked(self, sets: list[tuple[np.ndarray, np.ndarray]], logs: list[np.ndarray] | None = None) -> np.ndarray:
+        """The samples of each set (none of them empty), a row a sample. ``logs``: the ln of the weights of each set's shingles.
 
         Sets are sampled in blocks of ``SAMPLED`` shingles; of a set's parts in several blocks the least one counts.
         """
         sizes = np.array([len(h) for h, _ in sets])
         ends = np.cumsum(sizes)
         h = np.concatenate([h for h, _ in sets])
-        weight = self.log_weight(h) + np.log(np.concatenate([n for _, n in sets]))
+        weight = (self.log_weight(h) if logs is None else np.concatenate(logs)) + np.log(np.concatenate([n for _, n in sets]))
         low = np.full((len(self.factors), len(sets)), np.inf)
         picked = np.zeros((len(self.factors), len(sets)), np.uint64)
         for at in range(0, len(h), SAMPLED):
@@ -294,9 +351,9 @@ class Sampler:
             picked[:, some] = np.where(lower, drawn, picked[:, some])
         return picked
 
-    def keys(self, sets: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    def keys(self, sets: list[tuple[np.ndarray, np.ndarray]], logs: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
         """For each set (none of them empty) an int64 key a band, and the samples' marks."""
-        picked = self.picked(sets)
+        picked = self.picked(sets, logs)
         out = np.empty((BANDS, len(sets)), np.uint64)
         for band in range(BANDS):
             key = np.full(len(sets), np.uint64(band + 1), np.uint64)
@@ -314,58 +371,76 @@ class Sampler:
         return marks.T.astype(np.int64)
 
 
-def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], log_weight: Weights) -> float:
+_SAMPLERS: dict[int, Sampler] = {}
+
+
+def _sampler(samples: int) -> Sampler:
+    """One of a kind per worker process."""
+    if samples not in _SAMPLERS:
+        _SAMPLERS[samples] = Sampler(samples=samples)
+    return _SAMPLERS[samples]
+
+
+def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], log_weight: Callable[[np.ndarray], np.ndarray]) -> float:
     """Sum of the smaller weights over the sum of the larger ones; 0 for an empty set."""
+    return jaccard(a, b, log_weight(a[0]), log_weight(b[0]))
+
+
+def jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], logs_a: np.ndarray, logs_b: np.ndarray) -> float:
+    """`weighted_jaccard` with the ln of the weights of the shingles of both."""
     if not len(a[0]) or not len(b[0]):
         return 0.0
-    wa, wb = (np.exp(log_weight(h)) * n for h, n in (a, b))
+    wa, wb = np.exp(logs_a) * a[1], np.exp(logs_b) * b[1]
     _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
     both = np.minimum(wa[i], wb[j]).sum()
     return float(both / (wa.sum() + wb.sum() - both))
 
 
-def signatures(docs: DataFrame, log_weight: Weights) -> DataFrame:
-    """doc_id, same (hash of the text), digest, weight, keys, marks: a row per row of ``docs``; without words the last four are null."""
-    sent = docs.sparkSession.sparkContext.broadcast(log_weight)  # bounded by 1 / SHARE
+def signatures(docs: DataFrame, frequencies: DataFrame, n: int) -> DataFrame:
+    """doc_id, same (hash of the text), digest, weight, keys, marks, dfs: a row per row of ``docs``; without words the last five are null.
 
+    ``docs``: doc_id, text, part, as they were counted; ``frequencies``: those of their parts; ``n``: texts that have words.
+    """
     ship_code(docs.sparkSession)
-    schema = "doc_id long, same binary, digest binary, weight double, keys array<long>, marks array<long>"
-    kinds = {"doc_id": pa.int64(), "same": pa.binary(), "digest": pa.binary(), "weight": pa.float64(), "keys": pa.list_(pa.int64()), "marks": pa.list_(pa.int64())}
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle, sampler = shingler(), Sampler(sent.value)
-        for batch in batches:
-            for at in range(0, batch.num_rows, BATCH_ROWS):
-                part = batch.slice(at, BATCH_ROWS)
-                sets = shingle.many(part.column(2))
-                out = {c: [None] * len(sets) for c in ("digest", "weight", "keys", "marks")}
-                full = [i for i, s in enumerate(sets) if len(s[0])]
-                if full:
-                    for i, row, bits in zip(full, *sampler.keys([sets[i] for i in full]), strict=True):
-                        h, n = sets[i]
-                        out["keys"][i], out["marks"][i] = row, bits
-                        out["digest"][i] = hashlib.blake2b(h.tobytes() + n.tobytes(), digest_size=16).digest()
-                        out["weight"][i] = float((np.exp(sent.value(h)) * n).sum())
-                made = [part.column(0), part.column(1), *[pa.array(v, kinds[c]) for c, v in out.items()]]
-                yield pa.RecordBatch.from_arrays([x.cast(k) for x, k in zip(made, kinds.values(), strict=True)], names=list(kinds))
-
-    return docs.select(F.col("doc_id").cast("long"), text_key("text").alias("same"), "text").mapInArrow(run, schema)
-
-
-def fine_marks(texts: DataFrame, log_weight: Weights) -> DataFrame:
-    """node, fine: the marks of ``FINE`` samples. ``texts``: node, text, a row per node, all with words."""
-    sent = texts.sparkSession.sparkContext.broadcast(log_weight)
+    schema = "doc_id long, same binary, digest binary, weight double, keys array<long>, marks array<long>, dfs binary"
+    kinds = {"doc_id": pa.int64(), "same": pa.binary(), "digest": pa.binary(), "weight": pa.float64(), "keys": pa.list_(pa.int64()), "marks": pa.list_(pa.int64()), "dfs": pa.binary()}
+
+    def run(rows: pa.Table, replies: pa.Table) -> pa.Table:
+        rows, replies = rows.combine_chunks(), replies.sort_by("slice")
+        sets = shingler().many(pa.chunked_array(rows.column("text").chunks, pa.string()).combine_chunks())
+        out = {c: [None] * len(sets) for c in list(kinds)[2:]}
+        full = [i for i, s in enumerate(sets) if len(s[0])]
+        if full:
+            known, df = np.unique(np.concatenate([sets[i][0] for i in full])), np.concatenate([unpack(x) for x in replies.column("dfs").to_pylist()])
+            if len(known) != len(df):
+                raise RuntimeError("a part has other rows than when it was counted")
+            dfs = [df[np.searchsorted(known, sets[i][0])] for i in full]
+            logs = [log_weights(x, n) for x in dfs]
+            for i, row, bits, x, w in zip(full, *_sampler(BANDS * ROWS).keys([sets[i] for i in full], logs), dfs, logs, strict=True):
+                h, times = sets[i]
+                out["keys"][i], out["marks"][i], out["dfs"][i] = row, bits, pack(x)
+                out["digest"][i] = hashlib.blake2b(h.tobytes() + times.tobytes(), digest_size=16).digest()
+                out["weight"][i] = float((np.exp(w) * times).sum())
+        made = {"doc_id": rows.column("doc_id"), "same": rows.column("same"), **{c: pa.array(v, kinds[c]) for c, v in out.items()}}
+        return pa.table({c: made[c].cast(k) for c, k in kinds.items()})
+
+    rows = docs.select(F.col("doc_id").cast("long"), text_key("text").alias("same"), "text", "part")
+    return rows.groupBy("part").cogroup(frequencies.where("part >= 0").groupBy("part")).applyInArrow(run, schema)
+
+
+def fine_marks(texts: DataFrame, n: int) -> DataFrame:
+    """node, fine: the marks of ``FINE`` samples. ``texts``: node, text, dfs, a row per node, all with words."""
     ship_code(texts.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle, sampler = shingler(), Sampler(sent.value, FINE)
         for batch in batches:
             for at in range(0, batch.num_rows, BATCH_ROWS):
                 part = batch.slice(at, BATCH_ROWS)
-                marks = sampler.marks(sampler.picked(shingle.many(part.column(1))))
+                logs = [log_weights(unpack(x), n) for x in part.column(2).to_pylist()]
+                marks = Sampler.marks(_sampler(FINE).picked(shingler().many(part.column(1)), logs))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(list(marks), pa.list_(pa.int64()))], names=["node", "fine"])
 
-    return texts.select("node", "text").mapInArrow(run, "node long, fine array<long>")
+    return texts.select("node", "text", "dfs").mapInArrow(run, "node long, fine array<long>")
 
 
 def text_key(text: str) -> Column:
@@ -373,29 +448,28 @@ def text_key(text: str) -> Column:
     return F.unhex(F.md5(F.col(text)))
 
 
-def verified(pairs: DataFrame, texts: DataFrame, log_weight: Weights, similarity: float = SIMILARITY) -> DataFrame:
-    """a, b: those of ``pairs`` whose texts are similar enough. ``texts``: node, text, a row per node."""
-    sent = pairs.sparkSession.sparkContext.broadcast(log_weight)
+def verified(pairs: DataFrame, texts: DataFrame, n: int, similarity: float = SIMILARITY) -> DataFrame:
+    """a, b: those of ``pairs`` whose texts are similar enough. ``texts``: node, text, dfs, a row per node."""
+    side = lambda s: texts.select(F.col("node").alias(s), F.col("text").alias(f"text_{s}"), F.col("dfs").alias(f"dfs_{s}"))
     # dealt, as few bytes of pairs can be many comparisons
-    both = dealt(pairs, "b").join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-    both = both.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+    both = dealt(pairs, "b").join(side("a"), "a").join(side("b"), "b")
 
     def make():
         shingle = shingler()
-        last: list = [None, None]
+        last: list = [None, None, None]
 
         def run(cols):
             good = []
-            for i, (id_b, text_a, text_b) in enumerate(zip(cols["b"], cols["text_a"], cols["text_b"], strict=True)):
+            for i, (id_b, text_a, dfs_a, text_b, dfs_b) in enumerate(zip(*(cols[c] for c in ("b", "text_a", "dfs_a", "text_b", "dfs_b")), strict=True)):
                 if last[0] != id_b:  # rows come sorted by b from the join
-                    last[:] = [id_b, shingle(text_b)]
-                if weighted_jaccard(shingle(text_a), last[1], sent.value) >= similarity:
+                    last[:] = [id_b, shingle(text_b), log_weights(unpack(dfs_b), n)]
+                if jaccard(shingle(text_a), last[1], log_weights(unpack(dfs_a), n), last[2]) >= similarity:
                     good.append(i)
             return {c: [cols[c][i] for i in good] for c in ("a", "b")}
 
         return run
 
-    return map_rows(both.select("a", "b", "text_a", "text_b"), make, "a long, b long", rows=64)
+    return map_rows(both.select("a", "b", "text_a", "dfs_a", "text_b", "dfs_b"), make, "a long, b long", rows=64)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -419,11 +493,12 @@ def components(links: DataFrame) -> DataFrame:
 
 def _classes(docs: DataFrame, similarity: float) -> DataFrame:
     """doc_id, same, node for every row of ``docs``: rows of one class have the same node; null for texts without words."""
-    docs = docs.select("doc_id", "text")
-    log_weight = inverse_frequencies(docs)
-    rows = materialise(signatures(docs, log_weight), "near-signatures")
+    docs = numbered(docs)
+    frequencies = materialise(part_frequencies(docs), "near-frequencies")
+    n = sum(int(np.frombuffer(r["dfs"], "<i8")[0]) for r in frequencies.where("part < 0").collect())
+    rows = materialise(signatures(docs, frequencies, n), "near-signatures")
     # equal digests have equal keys and weights, so any of them will do; one row's text stands for all
-    agg = [F.min(F.struct("doc_id", "same")).alias("home"), *[F.first(c).alias(c) for c in ("keys", "weight", "marks")]]
+    agg = [F.min(F.struct("doc_id", "same")).alias("home"), *[F.first(c).alias(c) for c in ("keys", "weight", "marks", "dfs")]]
     reps = rows.where("digest IS NOT NULL").groupBy("digest").agg(*agg)
     # numbers are unique, and fixed by the written table
     reps = materialise(reps.withColumn("rep", F.monotonically_increasing_id()), "near-reps")
@@ -432,18 +507,18 @@ def _classes(docs: DataFrame, similarity: float) -> DataFrame:
     # only keys that several share; the numbers alone meet there, as the rest of a row would be moved once a band
     banded = materialise(banded.join(shared, "key").join(reps.select("rep", "weight", "keys", "marks"), "rep"), "near-bands")
     pairs = materialise(banded.where("rep <> first").select(F.col("rep").alias("a"), F.col("first").alias("b")).distinct(), "near-pairs")
-    wanted = reps.select("rep", "home").join(banded.select("rep").distinct(), "rep", "left_semi")
-    wanted = materialise(wanted.select(F.col("rep").alias("node"), F.col("home.doc_id").alias("__id"), F.col("home.same").alias("__same")), "near-wanted")
+    wanted = reps.select("rep", "home", "dfs").join(banded.select("rep").distinct(), "rep", "left_semi")
+    wanted = materialise(wanted.select(F.col("rep").alias("node"), F.col("home.doc_id").alias("__id"), F.col("home.same").alias("__same"), "dfs"), "near-wanted")
     # a row is found by id and text, so that copies of one text do not meet; most others go by their slot before texts are moved
     slot = lambda c: F.pmod(F.xxhash64(c), F.lit(SLOTS))
     slots = wanted.select(slot("__same").alias("__slot")).distinct()
-    near = docs.join(F.broadcast(slots), slot(text_key("text")) == F.col("__slot"), "left_semi")
+    near = docs.select("doc_id", "text").join(F.broadcast(slots), slot(text_key("text")) == F.col("__slot"), "left_semi")
     home = (text_key("text") == F.col("__same")) & F.col("doc_id").eqNullSafe(F.col("__id"))
-    texts = near.join(wanted, home).groupBy("node").agg(F.first("text").alias("text"))
+    texts = near.join(wanted, home).groupBy("node").agg(F.first("text").alias("text"), F.first("dfs").alias("dfs"))
     texts = materialise(texts, "near-texts")
-    links = materialise(verified(pairs, texts, log_weight, similarity), "near-found")
+    links = materialise(verified(pairs, texts, n, similarity), "near-found")
     labels = components(links)
-    labels = _cross_links(banded, pairs, links, labels, texts, log_weight, similarity)
+    labels = _cross_links(banded, pairs, links, labels, texts, n, similarity)
     nodes = reps.select("digest", "rep").join(labels, F.col("rep") == F.col("node"), "left")
     nodes = nodes.select("digest", F.coalesce("label", "rep").alias("node"))
     return materialise(rows.select("doc_id", "same", "digest").join(nodes, "digest", "left").select("doc_id", "same", "node"), "near-classes")
@@ -503,7 +578,7 @@ def _candidates(one: DataFrame, two: DataFrame, similarity: float, where: Column
     return pairs.select(F.greatest("rep_x", "rep_y").alias("a"), F.least("rep_x", "rep_y").alias("b")).distinct()
 
 
-def _cross_links(banded: DataFrame, pairs: DataFrame, links: DataFrame, labels: DataFrame, texts: DataFrame, log_weight: Weights, similarity: float) -> DataFrame:
+def _cross_links(banded: DataFrame, pairs: DataFrame, links: DataFrame, labels: DataFrame, texts: DataFrame, n: int, similarity: float) -> DataFrame:
     """Compare what shares a key and is in different classes, and add the links found.
 
     A key whose members are all of one class needs nothing more. In the others all members are first compared with a few of
@@ -521,11 +596,11 @@ def _cross_links(banded: DataFrame, pairs: DataFrame, links: DataFrame, labels:
             more = _candidates(rows, materialise(centers, "near-centers"), similarity, F.lit(True))
         else:
             crowd = rows.where(F.col("n") > CROWD).select(F.col("rep").alias("node")).distinct()
-            fine = materialise(fine_marks(dealt(texts.join(crowd, "node", "left_semi"), "node"), log_weight), "near-fine")
+            fine = materialise(fine_marks(dealt(texts.join(crowd, "node", "left_semi"), "node"), n), "near-fine")
             rows = materialise(rows.join(fine, F.col("rep") == F.col("node"), "left").drop("node"), "near-crowds")
             more = _candidates(rows, rows, similarity, F.col("rep_x") > F.col("rep_y"))
         more = materialise(more.join(seen, ["a", "b"], "left_anti"), "near-more")
-        extra = materialise(verified(more, texts, log_weight, similarity), "near-extra")
+        extra = materialise(verified(more, texts, n, similarity), "near-extra")
         seen = seen.union(more)
         if extra.limit(1).count():
             links = materialise(links.union(extra), "near-found")

@@ -573,3 +573,22 @@ def test_gru_gradients_and_scores(spark, odd, empty):
     want = sorted((len(gru.words_of(t)) + 1, round(sum(math.log10(counts[w] + 0.5) - under for w in [*gru.words_of(t), b""]), 6)) for _, t in [*TEXTS, TEXTS[0]])
     assert sorted((r["n_tokens"], round(r["base_score"], 6)) for r in rows) == want
     assert all(r["train_tokens"] == total and r["score"] < 0 for r in rows)
+
+
+def test_every_document_frequency_counts_however_rare(spark):
+    """20,000 texts: shingles of two to four of them weigh by their own frequency, in the list and with each text."""
+    rng = random.Random(21)
+    rows = [(k, " ".join([f"t{k // (2 + k % 3)}" if w % 2 else f"u{rng.randrange(3)}" for w in range(6)])) for k in range(20_000)]
+    docs, shingle = spark.createDataFrame(rows, "doc_id long, text string"), nearcopies.Shingler()
+    sets = {k: shingle(t)[0] for k, t in rows}
+    df = collections.Counter(h for s in sets.values() for h in s.tolist())
+    assert sum(1 < x < len(rows) / 4096 for x in df.values()) > 1000
+    weight = nearcopies.inverse_frequencies(docs)
+    for h in list(sets.values())[::500]:
+        assert np.allclose(weight(h), [math.log(math.log1p(len(rows) / df[x])) for x in h.tolist()])
+    parts = nearcopies.numbered(docs)
+    found = nearcopies.materialise(nearcopies.part_frequencies(parts), "test-frequencies")
+    got = {r["doc_id"]: nearcopies.unpack(r["dfs"]).tolist() for r in nearcopies.signatures(parts, found, len(rows)).select("doc_id", "dfs").collect()}
+    assert got == {k: [df[x] for x in h.tolist()] for k, h in sets.items()}
+    counts = np.array([1, 254, 255, 256, 7, 10**10])
+    assert nearcopies.unpack(nearcopies.pack(counts)).tolist() == counts.tolist()
