@@ -1,16 +1,20 @@
-"""Near copies by improved consistent weighted sampling over TF-IDF shingles.
+"""Near copies by improved consistent weighted sampling over TF-IDF shingles, and by plain minima of their hashes.
 
 A text is the weighted set of its shingles of five words: how often a shingle occurs, times its inverse document frequency. Document
 frequencies are counted for each shingle hash over all documents, in ranges of hashes. No task and no driver holds them all: the rows
 are numbered in parts, each range replies to every part that asked with the frequencies of the part's shingles, and part and replies
 meet again. From there on a text carries the frequencies of its shingles, a byte or so each.
 
+The text that a large group of copies shares weighs little for it, as many documents hold it, so what tells the copies apart weighs too
+much. Two texts are therefore also near copies if their sets without weights have that similarity, both of all shingles and of those
+that at most 1 in ``COMMON`` texts holds: beyond that share, shingles are what documents have in common, and do not make copies.
+
 Each of the ``BANDS * ROWS`` samples picks a shingle with a quantised weight such that two sets pick the same with a probability
 equal to their weighted Jaccard similarity. ``ROWS`` samples make a band's key. Texts with equal sets are one node from here on,
 whatever their ids. Of the nodes that share a key, each is compared with the first one, then with ``CENTERS`` others; links
 join classes. What shares a key and still is in different classes is a candidate pair if ``AGREE`` of the samples agree in
-their low bits, and a pair is looked at under the first key it shares. Every comparison is the exact weighted Jaccard
-similarity of the whole texts; ``SIMILARITY`` or more links them.
+their low bits, and a pair is looked at under the first key it shares. Every comparison is that of the whole texts' exact
+similarities; ``SIMILARITY`` or more links them. Least hashes of the set without weights are samples too, of as many bands and marks.
 
 At a similarity of exactly 0.8 a pair shares a key with a probability of 0.999 and has the bits with one of 0.9998, at 0.85 of
 0.99999 both. Texts under a key of more than ``CROWD`` that is still open get ``FINE`` samples in all, of which ``FINE_AGREE`` must
@@ -39,6 +43,8 @@ BANDS, ROWS = 16, 4
 #: Of 64 samples' lowest four bits, so many must agree; at a similarity of 0.8, 52 do on average (deviation 3.1).
 AGREE = 40
 CENTERS = 4
+#: Shingles that more than 1 in so many texts hold are left to the weighted similarity.
+COMMON = 32
 #: Members of a key from which on they are compared by more samples; 416 of them agree on average at a similarity of 0.8 (deviation 8.8).
 CROWD = 16
 FINE, FINE_AGREE = 512, 381
@@ -354,13 +360,7 @@ class Sampler:
     def keys(self, sets: list[tuple[np.ndarray, np.ndarray]], logs: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
         """For each set (none of them empty) an int64 key a band, and the samples' marks."""
         picked = self.picked(sets, logs)
-        out = np.empty((BANDS, len(sets)), np.uint64)
-        for band in range(BANDS):
-            key = np.full(len(sets), np.uint64(band + 1), np.uint64)
-            for k in range(ROWS):
-                key = _mix(key * _FOLD + picked[band * ROWS + k])
-            out[band] = key
-        return out.T.astype(np.int64), self.marks(picked)
+        return band_keys(picked, 1), self.marks(picked)
 
     @staticmethod
     def marks(picked: np.ndarray) -> np.ndarray:
@@ -371,14 +371,44 @@ class Sampler:
         return marks.T.astype(np.int64)
 
 
-_SAMPLERS: dict[int, Sampler] = {}
+class PlainSampler:
+    """For each sample the least hash of a set without weights."""
+
+    def __init__(self, samples: int = BANDS * ROWS):
+        self.factors = np.random.default_rng(SEED + 1).integers(1, 2**63, samples, dtype=np.uint64) | np.uint64(1)
+
+    def picked(self, sets: list[np.ndarray]) -> np.ndarray:
+        """The samples of each set of hashes (none of them empty), a row a sample."""
+        sizes = np.array([len(h) for h in sets])
+        out = np.empty((len(self.factors), len(sets)), np.uint64)
+        group = np.cumsum(sizes) // SAMPLED
+        cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(sets)]
+        for low, high in zip(cuts, cuts[1:], strict=False):
+            h, starts = np.concatenate(sets[low:high]), np.cumsum(sizes[low:high]) - sizes[low:high]
+            for k, factor in enumerate(self.factors):
+                out[k, low:high] = np.minimum.reduceat(h * factor, starts)
+        return out
+
+
+def band_keys(picked: np.ndarray, tag: int) -> np.ndarray:
+    """For each set an int64 key a band, a row a set; bands are told apart by their number from ``tag`` on."""
+    out = np.empty((BANDS, picked.shape[1]), np.uint64)
+    for band in range(BANDS):
+        key = np.full(picked.shape[1], np.uint64(tag + band), np.uint64)
+        for k in range(ROWS):
+            key = _mix(key * _FOLD + picked[band * ROWS + k])
+        out[band] = key
+    return out.T.astype(np.int64)
+
+
+_SAMPLERS: dict[tuple[type, int], Sampler | PlainSampler] = {}
 
 
-def _sampler(samples: int) -> Sampler:
+def _sampler(kind: type, samples: int) -> Sampler | PlainSampler:
     """One of a kind per worker process."""
-    if samples not in _SAMPLERS:
-        _SAMPLERS[samples] = Sampler(samples=samples)
-    return _SAMPLERS[samples]
+    if (kind, samples) not in _SAMPLERS:
+        _SAMPLERS[kind, samples] = kind(samples=samples)
+    return _SAMPLERS[kind, samples]
 
 
 def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], log_weight: Callable[[np.ndarray], np.ndarray]) -> float:
@@ -396,9 +426,23 @@ def jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray],
     return float(both / (wa.sum() + wb.sum() - both))
 
 
+def rare(df: np.ndarray, n: int) -> np.ndarray:
+    """Whether at most 1 in ``COMMON`` of ``n`` texts holds a shingle."""
+    return df * COMMON <= n
+
+
+def plain_similarity(a: np.ndarray, b: np.ndarray, rare_a: np.ndarray, rare_b: np.ndarray) -> float:
+    """The Jaccard similarity of two sets of hashes or of their rare ones, whichever is less; 0 for empty sets."""
+    _, i, _ = np.intersect1d(a, b, assume_unique=True, return_indices=True)
+    both, both_rare, sum_rare = len(i), int(rare_a[i].sum()), int(rare_a.sum() + rare_b.sum())
+    return min(both / (len(a) + len(b) - both), both_rare / (sum_rare - both_rare)) if both_rare else 0.0
+
+
 def signatures(docs: DataFrame, frequencies: DataFrame, n: int) -> DataFrame:
     """doc_id, same (hash of the text), digest, weight, keys, marks, dfs: a row per row of ``docs``; without words the last five are null.
 
+    The keys and marks of the set without weights stand behind the others, if the text has rare shingles.
+
     ``docs``: doc_id, text, part, as they were counted; ``frequencies``: those of their parts; ``n``: texts that have words.
     """
     ship_code(docs.sparkSession)
@@ -416,11 +460,16 @@ def signatures(docs: DataFrame, frequencies: DataFrame, n: int) -> DataFrame:
                 raise RuntimeError("a part has other rows than when it was counted")
             dfs = [df[np.searchsorted(known, sets[i][0])] for i in full]
             logs = [log_weights(x, n) for x in dfs]
-            for i, row, bits, x, w in zip(full, *_sampler(BANDS * ROWS).keys([sets[i] for i in full], logs), dfs, logs, strict=True):
+            for i, row, bits, x, w in zip(full, *_sampler(Sampler, BANDS * ROWS).keys([sets[i] for i in full], logs), dfs, logs, strict=True):
                 h, times = sets[i]
                 out["keys"][i], out["marks"][i], out["dfs"][i] = row, bits, pack(x)
                 out["digest"][i] = hashlib.blake2b(h.tobytes() + times.tobytes(), digest_size=16).digest()
                 out["weight"][i] = float((np.exp(w) * times).sum())
+            kept = [(i, sets[i][0][some]) for i, x in zip(full, dfs, strict=True) if (some := rare(x, n)).any()]
+            if kept:
+                picked = _sampler(PlainSampler, BANDS * ROWS).picked([h for _, h in kept])
+                for (i, _), row, bits in zip(kept, band_keys(picked, BANDS + 1), Sampler.marks(picked), strict=True):
+                    out["keys"][i], out["marks"][i] = np.append(out["keys"][i], row), np.append(out["marks"][i], bits)
         made = {"doc_id": rows.column("doc_id"), "same": rows.column("same"), **{c: pa.array(v, kinds[c]) for c, v in out.items()}}
         return pa.table({c: made[c].cast(k) for c, k in kinds.items()})
 
@@ -429,16 +478,23 @@ def signatures(docs: DataFrame, frequencies: DataFrame, n: int) -> DataFrame:
 
 
 def fine_marks(texts: DataFrame, n: int) -> DataFrame:
-    """node, fine: the marks of ``FINE`` samples. ``texts``: node, text, dfs, a row per node, all with words."""
+    """node, fine: the marks of ``FINE`` samples, and behind them those of the set without weights, if a text has rare shingles.
+
+    ``texts``: node, text, dfs, a row per node, all with words.
+    """
     ship_code(texts.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, BATCH_ROWS):
                 part = batch.slice(at, BATCH_ROWS)
-                logs = [log_weights(unpack(x), n) for x in part.column(2).to_pylist()]
-                marks = Sampler.marks(_sampler(FINE).picked(shingler().many(part.column(1)), logs))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(list(marks), pa.list_(pa.int64()))], names=["node", "fine"])
+                sets, dfs = shingler().many(part.column(1)), [unpack(x) for x in part.column(2).to_pylist()]
+                marks = list(Sampler.marks(_sampler(Sampler, FINE).picked(sets, [log_weights(x, n) for x in dfs])))
+                kept = [(i, h[some]) for i, ((h, _), x) in enumerate(zip(sets, dfs, strict=True)) if (some := rare(x, n)).any()]
+                if kept:
+                    for (i, _), bits in zip(kept, Sampler.marks(_sampler(PlainSampler, FINE).picked([h for _, h in kept])), strict=True):
+                        marks[i] = np.append(marks[i], bits)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(marks, pa.list_(pa.int64()))], names=["node", "fine"])
 
     return texts.select("node", "text", "dfs").mapInArrow(run, "node long, fine array<long>")
 
@@ -462,8 +518,9 @@ def verified(pairs: DataFrame, texts: DataFrame, n: int, similarity: float = SIM
             good = []
             for i, (id_b, text_a, dfs_a, text_b, dfs_b) in enumerate(zip(*(cols[c] for c in ("b", "text_a", "dfs_a", "text_b", "dfs_b")), strict=True)):
                 if last[0] != id_b:  # rows come sorted by b from the join
-                    last[:] = [id_b, shingle(text_b), log_weights(unpack(dfs_b), n)]
-                if jaccard(shingle(text_a), last[1], log_weights(unpack(dfs_a), n), last[2]) >= similarity:
+                    last[:] = [id_b, shingle(text_b), unpack(dfs_b)]
+                a, b, df_a, df_b = shingle(text_a), last[1], unpack(dfs_a), last[2]
+                if plain_similarity(a[0], b[0], rare(df_a, n), rare(df_b, n)) >= similarity or jaccard(a, b, log_weights(df_a, n), log_weights(df_b, n)) >= similarity:
                     good.append(i)
             return {c: [cols[c][i] for i in good] for c in ("a", "b")}
 
@@ -505,7 +562,7 @@ def _classes(docs: DataFrame, similarity: float) -> DataFrame:
     banded = reps.select("rep", F.explode("keys").alias("key"))
     shared = materialise(banded.groupBy("key").agg(F.min("rep").alias("first"), F.count("*").alias("n")).where("n > 1"), "near-keys")
     # only keys that several share; the numbers alone meet there, as the rest of a row would be moved once a band
-    banded = materialise(banded.join(shared, "key").join(reps.select("rep", "weight", "keys", "marks"), "rep"), "near-bands")
+    banded = materialise(banded.join(shared, "key").join(reps.select("rep", "weight", F.transform("keys", _short).alias("keys"), "marks"), "rep"), "near-bands")
     pairs = materialise(banded.where("rep <> first").select(F.col("rep").alias("a"), F.col("first").alias("b")).distinct(), "near-pairs")
     wanted = reps.select("rep", "home", "dfs").join(banded.select("rep").distinct(), "rep", "left_semi")
     wanted = materialise(wanted.select(F.col("rep").alias("node"), F.col("home.doc_id").alias("__id"), F.col("home.same").alias("__same"), "dfs"), "near-wanted")
@@ -536,12 +593,18 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     return rows.join(least, "node", "left").select("doc_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("class_id"))
 
 
-def agreeing(a: Column, b: Column) -> Column:
-    """How many samples agree in their four bits."""
+def _short(key: Column) -> Column:
+    """A key's upper half, by which a pair's first shared key is found: keys of all bands stand in every band's row."""
+    return F.shiftright(key, 32).cast("int")
+
+
+def agreeing(a: Column, b: Column, kind: int = 0) -> Column:
+    """How many samples agree in their four bits: those with weights, or for ``kind`` 1 those without (null where a side has none)."""
     ones = F.lit(0x1111111111111111)
     total = F.lit(BANDS * ROWS)
     for k in range(BANDS * ROWS // 16):
-        x = F.get(a, F.lit(k)).bitwiseXOR(F.get(b, F.lit(k)))
+        at = F.lit(kind * BANDS * ROWS // 16 + k)
+        x = F.get(a, at).bitwiseXOR(F.get(b, at))
         some = x
         for bit in (1, 2, 3):
             some = some.bitwiseOR(F.shiftrightunsigned(x, bit))
@@ -549,9 +612,10 @@ def agreeing(a: Column, b: Column) -> Column:
     return total
 
 
-def finely_agreeing(a: Column, b: Column) -> Column:
-    """Whether enough of the fine samples agree; true where one side has none."""
+def finely_agreeing(a: Column, b: Column, kind: int = 0) -> Column:
+    """Whether enough of the fine samples agree, with or without weights like `agreeing`; true where one side has none."""
     ones = F.lit(0x1111111111111111)
+    a, b = (F.slice(x, kind * FINE // 16 + 1, FINE // 16) for x in (a, b))
 
     def unlike(x: Column) -> Column:
         some = x.bitwiseOR(F.shiftrightunsigned(x, 1))
@@ -564,16 +628,18 @@ def finely_agreeing(a: Column, b: Column) -> Column:
 def _candidates(one: DataFrame, two: DataFrame, similarity: float, where: Column) -> DataFrame:
     """a, b (a > b): rows under one key, in different classes, that may be similar; each pair under the first key it shares.
 
-    Pairs whose total weights differ by more than the similarity allows cannot be similar.
+    Pairs whose total weights differ by more than the similarity allows cannot be similar by weights.
     """
     fine = ["fine"] * ("fine" in one.columns)
     one, two = (x.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("rep", "weight", "label", "marks", "keys", *fine)]) for x, s in ((one, "x"), (two, "y")))
     slack = similarity * (1 - 1e-9)
     close = (F.col("weight_x") >= F.col("weight_y") * slack) & (F.col("weight_y") >= F.col("weight_x") * slack)
-    first = F.get(F.array_intersect("keys_x", "keys_y"), F.lit(0)) == one["key"]
-    wanted = where & (F.col("label_x") != F.col("label_y")) & close & (agreeing(F.col("marks_x"), F.col("marks_y")) >= AGREE) & first
+    first = F.get(F.array_intersect("keys_x", "keys_y"), F.lit(0)) == _short(one["key"])
+    alike = [F.coalesce(agreeing(F.col("marks_x"), F.col("marks_y"), kind) >= AGREE, F.lit(False)) for kind in (0, 1)]
+    alike[0] = close & alike[0]
     if fine:
-        wanted = wanted & finely_agreeing(F.col("fine_x"), F.col("fine_y"))
+        alike = [x & finely_agreeing(F.col("fine_x"), F.col("fine_y"), kind) for kind, x in enumerate(alike)]
+    wanted = where & (F.col("label_x") != F.col("label_y")) & (alike[0] | alike[1]) & first
     pairs = one.join(two, (one["key"] == two["key"]) & wanted)
     return pairs.select(F.greatest("rep_x", "rep_y").alias("a"), F.least("rep_x", "rep_y").alias("b")).distinct()
 

@@ -592,3 +592,23 @@ def test_every_document_frequency_counts_however_rare(spark):
     assert got == {k: [df[x] for x in h.tolist()] for k, h in sets.items()}
     counts = np.array([1, 254, 255, 256, 7, 10**10])
     assert nearcopies.unpack(nearcopies.pack(counts)).tolist() == counts.tolist()
+
+
+def test_large_groups_of_copies_are_found(spark):
+    """60 copies of one text, two words of 200 changed in each: their common text is in 60 documents, the changes in one."""
+    rng = random.Random(23)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+    rows = [(1000 + k, " ".join(f"w{rng.randrange(10**6)}" for _ in range(30))) for k in range(2500)]
+    for k in range(60):
+        copy = list(base)
+        for at in (20, 120):
+            copy[at + rng.randrange(60)] = f"n{rng.randrange(10**9)}"
+        rows.append((k, " ".join(copy)))
+    # texts of what a third of the documents hold stay apart unless weights make them copies
+    head = [f"c{k}" for k in range(100)]
+    rows += [(10_000 + k, " ".join([*head, *(f"h{rng.randrange(10**9)}" for _ in range(8))])) for k in range(1300)]
+    got = {r["doc_id"]: r["class_id"] for r in nearcopies.near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {k: 0 if k < 60 else k for k, _ in rows}
+    h = np.arange(10, dtype=np.uint64)
+    assert nearcopies.plain_similarity(h, h[1:], h > 4, h[1:] > 4) == 0.9
+    assert nearcopies.plain_similarity(h, h[:9], h > 8, h[:9] > 8) == 0.0
