@@ -1,6 +1,7 @@
 """Invariants of the star, exact percentiles under skew, plan shape, streams."""
 
 import random
+import re
 import statistics
 
 from pyspark.sql import functions as F
@@ -241,3 +242,17 @@ def test_split_listings_extract_only_what_is_asked_for(spark, sf_dir, monkeypatc
     assert seen[0].columns == ["url", "reject_reason"]
     plan = seen[0]._jdf.queryExecution().optimizedPlan().toString()
     assert "is_verified" not in plan and "cong\\s*vien" not in plan
+
+
+def test_records_read_twice_are_joined_once(spark, sf_dir, monkeypatch):
+    from landlens.catalog import scans
+    from landlens.sources.listings import raw_listings
+
+    once = raw_listings(spark, sf_dir, staged=True)
+    assert all("listing-base" in x for x in once.inputFiles())
+    assert once.exceptAll(raw_listings(spark, sf_dir)).count() == 0 and once.count() == raw_listings(spark, sf_dir).count()
+    read = []
+    monkeypatch.setattr(scans.S, "write_csv", lambda df, *args, **options: read.append(df.inputFiles()))
+    monkeypatch.setattr(scans.S, "read_csv", lambda *args: None)
+    scans._written_csv(spark, sf_dir, append=True)
+    assert len(read) == 2 and all("listing-base" in x for files in read for x in files)
