@@ -14,8 +14,8 @@ def typed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return typed_listings(raw_listings(spark, sf_dir))
 
 
-def clean(spark: SparkSession, sf_dir: str, keep: list[str] | None = None) -> DataFrame:
-    return clean_listings(raw_listings(spark, sf_dir), keep)
+def clean(spark: SparkSession, sf_dir: str, keep: list[str] | None = None, staged: bool = False) -> DataFrame:
+    return clean_listings(raw_listings(spark, sf_dir, staged), keep)
 
 
 def view(spark: SparkSession, sf_dir: str) -> DataFrame:

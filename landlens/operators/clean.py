@@ -94,14 +94,19 @@ def impute_and_classify(df: DataFrame, medians: DataFrame) -> DataFrame:
             "price_total": F.col("price_total").cast(N.MONEY),
         }
     )
-    return filled.withColumns(
+    return with_classes(filled).drop("__med")
+
+
+def with_classes(df: DataFrame) -> DataFrame:
+    """The classes of imputed measures, each by its own measure alone."""
+    return df.withColumns(
         {
             "road_class": R.road_class(F.col("road_width")),
             "frontage_class": R.frontage_class(F.col("frontage")),
             "property_class": R.property_class(F.col("bedrooms"), F.col("bathrooms")),
             "trend_class": R.trend_class(F.col("price_trend_1y")),
         }
-    ).drop("__med")
+    )
 
 
 def clean_listings(raw: DataFrame, keep: list[str] | None = None) -> DataFrame:

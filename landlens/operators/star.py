@@ -10,6 +10,7 @@ from ..functions import numeric as N
 from ..functions import rules as R
 from ..session import materialise
 from ..sources.tables import date_table
+from .clean import IMPUTED_CLASSES, with_classes
 from .quantiles import exact_percentiles, with_scalar
 from .relational import first_per_key, first_rows, null_safe_lookup, with_sequence_key
 
@@ -28,6 +29,9 @@ FACT = [
     "location_skey", "feature_skey", "status_skey", "product_skey",
 ]
 
+#: What the fact and the dimensions that it looks up are made of.
+FACT_INPUT = list(dict.fromkeys(["product_id", *[c for c in FACT if not c.endswith("_skey")], *LOCATION, *FEATURES, *DETAILS]))
+
 
 #: Role -> the fact's date column that its own date table is joined by.
 DATE_ROLES = {"posted": "posted_date", "expiry": "expiry_date"}
@@ -86,16 +90,28 @@ def with_risk_flags(df: DataFrame) -> DataFrame:
     )
 
 
-def fact_listings(clean: DataFrame, dims: dict[str, DataFrame], with_id: bool = True) -> DataFrame:
-    """Distinct listings with the four surrogate keys, the flags and a sequence id."""
-    needed = list(dict.fromkeys([c for c in FACT if not c.endswith("_skey")] + LOCATION + FEATURES + DETAILS_JOIN))
-    rows = deduplicated(clean.select(*needed, "product_id", "src_pos"))
-    rows = null_safe_lookup(rows, dims["location"], LOCATION, ["location_skey"])
+def fact_listings(clean: DataFrame, dims: dict[str, DataFrame], columns: list[str] | None = None) -> DataFrame:
+    """Distinct listings with the four surrogate keys, the flags and a sequence id; or those ``columns`` of them and the id.
+
+    The dedup is the only shuffle of whole rows. The keys of the three dimensions of values are looked up before it, so it moves
+    them in place of the texts; product keys and ids are numbered over (product, posting date) alone, and a listing's pair meets
+    its rows in the dedup itself.
+    """
+    wanted = columns or FACT
+    rows = null_safe_lookup(clean, dims["location"], LOCATION, ["location_skey"])
     rows = null_safe_lookup(rows, dims["features"], FEATURES, ["feature_skey"])
     rows = null_safe_lookup(rows, dims["details"], DETAILS_JOIN, ["status_skey"])
-    rows = null_safe_lookup(rows, dims["product"], ["product_id"], ["product_skey"])
-    flagged = with_risk_flags(rows.select(*FACT))
-    return with_listing_id(flagged) if with_id else flagged
+    # classes are named after the dedup, by the measures that it moves
+    classes = [] if columns else IMPUTED_CLASSES
+    own = [c for c in wanted if c not in ("product_skey", "posted_date", *classes)]
+    rows = rows.select("product_id", "posted_date", F.struct(*own).alias("__row"), F.struct("src_pos").alias("__at"))
+    ids = listing_keys(clean, dims["product"]).select("product_id", "posted_date", F.struct("product_skey", "listing_id").alias("__ids"))
+    # a pair of keys has no place in the order, and `min_by` passes over it
+    both = rows.unionByName(ids, allowMissingColumns=True)
+    first = both.groupBy("product_id", "posted_date").agg(F.min_by("__row", "__at").alias("__row"), F.max("__ids").alias("__ids"))
+    taken = {c: F.col(f"__row.{c}") for c in own} | {"product_skey": F.col("__ids.product_skey"), "posted_date": F.col("posted_date")}
+    fact = first.select(*[taken[c].alias(c) for c in wanted if c in taken], F.col("__ids.listing_id").alias("listing_id"))
+    return fact if columns else with_risk_flags(with_classes(fact)).select(*FACT, "is_overcrowded", "is_fire_risk", "listing_id")
 
 
 def with_listing_id(fact: DataFrame) -> DataFrame:
@@ -103,34 +119,37 @@ def with_listing_id(fact: DataFrame) -> DataFrame:
     return with_sequence_key(fact, ["product_skey", "posted_date"], "listing_id", digits=4)
 
 
-def listing_ids(clean: DataFrame) -> DataFrame:
-    """product_skey, posted_date and listing_id of the fact, for callers that read no more of it.
+def listing_keys(clean: DataFrame, products: DataFrame | None = None) -> DataFrame:
+    """product_id, posted_date, product_skey and listing_id of the fact, by the product dimension if there is one.
 
     The lookups are many to one and a listing's first row has its key, so ids need neither the other columns nor row order.
     """
-    listings = materialise(clean.select("product_id", "posted_date").distinct(), "listing-keys")
-    rows = null_safe_lookup(listings, product_keys(listings), ["product_id"], ["product_skey"])
-    return with_listing_id(rows.select("product_skey", "posted_date"))
+    listings = materialise(clean.select("product_id", "posted_date").distinct(), "listing-keys", compression="zstd")
+    rows = null_safe_lookup(listings, product_keys(listings) if products is None else products, ["product_id"], ["product_skey"])
+    return with_listing_id(rows)
 
 
-def build_star(clean: DataFrame, stage: bool = True) -> dict[str, DataFrame]:
-    """All tables of the star.
+def listing_ids(clean: DataFrame) -> DataFrame:
+    """product_skey, posted_date and listing_id of the fact, for callers that read no more of it."""
+    return listing_keys(clean).select("product_skey", "posted_date", "listing_id")
+
+
+def build_star(clean: DataFrame, stage: bool = True, columns: list[str] | None = None) -> dict[str, DataFrame]:
+    """All tables of the star; the product dimension if its texts are there, of the fact ``columns`` if given.
 
     The cleaned table feeds five branches. It is written once to the shared folder, so
     the branches read parquet columns instead of repeating casts and medians, and a
-    lost executor costs only its own tasks.
+    lost executor costs only its own tasks. The fact looks up written dimensions: their size is known before its rows are moved.
     """
     base = materialise(clean, "clean-listings") if stage else clean
-    dims = {
-        "location": dim_location(base),
-        "features": dim_features(base),
-        "details": dim_property_details(base),
-        "product": dim_product(base),
-    }
+    makers = {"location": dim_location, "features": dim_features, "details": dim_property_details}
+    dims = {name: materialise(make(base), f"dim-{name}") for name, make in makers.items()}
     dates = {f"{role}_dates": dim_dates(base, role) for role in DATE_ROLES}
     # the fact looks up keys alone; of the whole dimension the texts would be shuffled with them
-    keys = product_keys(base)
-    return {**dims, **dates, "product_keys": keys, "fact": fact_listings(base, {**dims, "product": keys})}
+    keys = materialise(product_keys(base), "product-keys", compression="zstd")
+    fact = fact_listings(base, {**dims, "product": keys}, columns)
+    products = {"product": dim_product(base)} if {*PRODUCT} <= {*base.columns} else {}
+    return {**dims, **products, **dates, "product_keys": keys, "fact": fact}
 
 
 def write_star(clean: DataFrame, root: str) -> None:
@@ -167,7 +186,7 @@ def star_view(star: dict[str, DataFrame]) -> DataFrame:
         .join(loc, "location_skey", "left")
         .join(det, "status_skey", "left")
         .join(star["features"], "feature_skey", "left")
-        .join(star.get("product_keys", star["product"]).select("product_skey", "product_id"), "product_skey", "left")
+        .join(star["product_keys" if "product_keys" in star else "product"].select("product_skey", "product_id"), "product_skey", "left")
     )
 
 

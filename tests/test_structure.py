@@ -256,3 +256,26 @@ def test_records_read_twice_are_joined_once(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(scans.S, "read_csv", lambda *args: None)
     scans._written_csv(spark, sf_dir, append=True)
     assert len(read) == 2 and all("listing-base" in x for files in read for x in files)
+
+
+def test_fact_rows_are_moved_once(spark, sf_dir, capsys):
+    """Whole rows pass the dedup's shuffle alone; keys and ids are numbered without them, and listings stay as they were."""
+    from landlens.catalog.frames import clean
+    from landlens.operators.clean import with_classes
+
+    star = S.build_star(clean(spark, sf_dir, S.FACT_INPUT, staged=True), stage=False)
+    star["fact"].explain(mode="formatted")
+    moved = [x for x in capsys.readouterr().out.split("\n\n") if re.match(r"\(\d+\) Exchange", x.strip())]
+    assert [x for x in moved if "unit_price#" in x] == []
+    assert sum("valueWithExtremumOrdering" in x for x in moved) == 1
+    whole = clean(spark, sf_dir)
+    plain = S.deduplicated(whole)
+    for dim, keys, name in (("location", S.LOCATION, "location_skey"), ("features", S.FEATURES, "feature_skey"), ("details", S.DETAILS_JOIN, "status_skey"), ("product_keys", ["product_id"], "product_skey")):
+        plain = S.null_safe_lookup(plain, star[dim], keys, [name])
+    plain = S.with_risk_flags(plain.select(*S.FACT))
+    assert star["fact"].drop("listing_id").exceptAll(plain).count() == 0 and plain.count() == star["fact"].count()
+    ids = star["fact"].agg({"listing_id": "max"}).first()[0]
+    assert ids == star["fact"].select("listing_id").distinct().count() == plain.count()
+    some = S.build_star(whole, columns=["product_skey", "posted_date", "area"])["fact"]
+    assert some.columns == ["product_skey", "posted_date", "area", "listing_id"] and some.count() == plain.count()
+    assert with_classes(whole).exceptAll(whole).count() == 0
