@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.pages import extract_listings
-from ..session import dealt
 
 PAGE_SCHEMA = "page_id bigint, url string, html string"
 
@@ -33,6 +32,16 @@ def page_stream(spark: SparkSession, folder: str, glob: str | None = "*.parquet"
     return reader.parquet(folder)
 
 
+def first_versions(pages: DataFrame) -> DataFrame:
+    """One delivery per address and text over the life of the stream, for what is extracted depends on no more.
+
+    That also deals the pages before the dear step: a batch may be a few files, each with one row group. The state holds 16 bytes a version.
+    """
+    parts = [F.col("url").isNull().cast("string"), F.coalesce("url", F.lit("")), F.lit("\n"), F.col("html").isNull().cast("string"), F.coalesce("html", F.lit(""))]
+    version = F.unhex(F.md5(F.concat(F.length(F.coalesce("url", F.lit(""))).cast("string"), *parts)))
+    return pages.withColumn("__version", version).dropDuplicates(["__version"]).drop("__version")
+
+
 def first_by_url(rows: DataFrame) -> DataFrame:
     """One delivery per address and outcome over the life of the stream.
 
@@ -69,8 +78,7 @@ def ingest_pages(
     Writing a batch into its own folder in overwrite mode makes a repeated batch
     harmless; the rows a batch holds are fixed by the checkpoint.
     """
-    # a batch may be a few files, each with one row group: its pages are dealt before the dear step
-    pages = dealt(page_stream(spark, folder, glob, max_files), "url")
+    pages = first_versions(page_stream(spark, folder, glob, max_files))
     rows = first_by_url(extract_listings(pages, site, as_of))
 
     def deliver(batch: DataFrame, batch_id: int) -> None:

@@ -279,3 +279,18 @@ def test_fact_rows_are_moved_once(spark, sf_dir, capsys):
     some = S.build_star(whole, columns=["product_skey", "posted_date", "area"])["fact"]
     assert some.columns == ["product_skey", "posted_date", "area", "listing_id"] and some.count() == plain.count()
     assert with_classes(whole).exceptAll(whole).count() == 0
+
+
+def test_a_page_version_is_extracted_once(spark, tmp_path, monkeypatch):
+    """Of deliveries that repeat address and text one is extracted, over all batches; versions that differ in either all are."""
+    rows = [(1, "u1", "h"), (2, "u1", "h2"), (3, "u1", None), (4, None, "u1"), (5, None, None), (6, "", ""), (7, "u", "1h"), (8, None, "")]
+    pages = spark.createDataFrame(rows, I.PAGE_SCHEMA).coalesce(1)
+    for _ in range(2):
+        pages.write.mode("append").parquet(str(tmp_path / "in"))
+    reached = spark.sparkContext.accumulator(0)
+    seen = F.udf(lambda url: reached.add(1) or "bad", "string").asNondeterministic()
+    monkeypatch.setattr(I, "extract_listings", lambda df, site, as_of: df.withColumn("reject_reason", seen("url")))
+    I.ingest_pages(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "at"), SITE, F.current_date(), max_files=1).awaitTermination()
+    assert reached.value == len(rows)
+    assert I.read_rejects(spark, str(tmp_path / "out")).count() == len({url for _, url, _ in rows})
+    assert I.first_versions(pages.union(pages)).count() == len(rows)
